@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -43,3 +44,8 @@ def day_number(day: Column) -> Column:
 def text_of(value: Column) -> Column:
     """Printable form of a value; NULL stays NULL, booleans print as true/false."""
     return value.cast("string")
+
+
+def known(*cols: str) -> Column:
+    """No column is NULL, in the form Parquet scans can take over as a filter."""
+    return reduce(Column.__and__, [F.col(c).isNotNull() for c in cols])

@@ -3,10 +3,11 @@ from hubtrace.operators.cooccur import cooccurrence
 from hubtrace.operators.graph import fk_edges, label_table
 from hubtrace.operators.keys import key_match, top_keys
 from hubtrace.operators.latest import latest_per_key
+from hubtrace.operators.percentiles import distributions
 from hubtrace.operators.profile import (
     categorical_profile,
-    exact_percentiles,
     numeric_profile,
+    numeric_profiles,
     table_inventory,
     table_stats,
 )
@@ -28,16 +29,17 @@ __all__ = [
     "burstiness",
     "categorical_profile",
     "cooccurrence",
+    "distributions",
     "event_rate_by_attr",
     "event_rate_by_key",
     "event_sites",
     "events_per_key",
-    "exact_percentiles",
     "fk_edges",
     "key_match",
     "label_table",
     "latest_per_key",
     "numeric_profile",
+    "numeric_profiles",
     "period_overlap",
     "sample_for_keys",
     "sample_rows",

@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hubtrace.functions import day_number
+from hubtrace.functions import day_number, known
 
 _HOW = ("inner", "left", "left_semi", "left_anti")
 
@@ -71,29 +72,42 @@ def event_sites(
     rows; rows without an id count there when ``with_unnamed`` is set.
     """
     site = list(site)
-    seen = events.dropna(subset=site).groupBy(event_id, *site).agg(
-        F.count("*").alias("_rows")
-    )
-    named = seen.where(F.col(event_id).isNotNull())
+    placed = events.where(known(*site))
+    named = placed.where(known(event_id))
     spans = named.groupBy(event_id).agg(
-        F.count("*").alias("_sites"),
-        *[F.min(c).alias(c) for c in site],
-        F.sum("_rows").alias("_rows"),
+        F.count("*").alias("_rows"),
+        *[F.min(c).alias(f"_first_{c}") for c in site],
+        *[F.max(c).alias(f"_last_{c}") for c in site],
+    )
+    one_place = reduce(
+        Column.__and__, [F.col(f"_first_{c}") == F.col(f"_last_{c}") for c in site]
+    )
+    settled = spans.where((F.col("_rows") == 1) | one_place).select(
+        *[F.col(f"_first_{c}").alias(c) for c in site], F.lit(1).alias("_ids"), "_rows"
     )
-    settled = spans.where("_sites = 1").select(*site, F.lit(1).alias("_ids"), "_rows")
     if with_unnamed:
-        unnamed = seen.where(F.col(event_id).isNull())
+        unnamed = placed.where(F.col(event_id).isNull()).groupBy(*site)
         settled = settled.unionByName(
-            unnamed.select(*site, F.lit(0).alias("_ids"), "_rows")
+            unnamed.agg(F.lit(0).alias("_ids"), F.count("*").alias("_rows"))
         )
     id_type = events.schema[event_id].dataType
     settled = settled.groupBy(*site).agg(
         F.sum("_ids").alias("_ids"), F.sum("_rows").alias("_rows")
     ).select(*site, F.lit(None).cast(id_type).alias("_roam"), "_ids", "_rows")
-    roaming = named.join(
-        spans.where("_sites > 1").select(event_id), event_id, "left_semi"
-    ).select(
-        *site, F.col(event_id).alias("_roam"), F.lit(0).cast("bigint").alias("_ids"), "_rows"
+
+    # The filters of both branches read every column of ``spans``, so that Spark
+    # sees one and the same aggregate and computes it once.
+    roamers = spans.where((F.col("_rows") > 1) & ~one_place).select(event_id)
+    roaming = (
+        named.groupBy(event_id, *site)
+        .agg(F.count("*").alias("_rows"))
+        .join(roamers, event_id, "left_semi")
+        .select(
+            *site,
+            F.col(event_id).alias("_roam"),
+            F.lit(0).cast("bigint").alias("_ids"),
+            "_rows",
+        )
     )
     return settled.unionByName(roaming)
 

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hubtrace.functions import day_number
+from hubtrace.functions import day_number, known
+from hubtrace.sources.scratch import settle
 
 
 def cooccurrence(
@@ -21,64 +22,53 @@ def cooccurrence(
 ) -> DataFrame:
     """Item pairs ``a < b`` with the (key, day) and key counts they share.
 
-    Days are kept as 64-day bit masks per (key, item): repeated rows of a day
-    vanish in the map tasks, and a pair that meets on many days is one row with a
-    popcount per 64 days rather than one row per day.
+    Repeated rows of a (key, day, item) vanish in the map tasks. An item seen on fewer than
+    ``min_support`` key-days cannot be in a reported pair, so it is dropped
+    before pairing; that is exact. Where more than ``crowd`` items share a key and
+    day, they are hashed to groups and the pairing is divided among tasks by
+    pairs of groups. Every pair of items meets exactly once.
 
-    An item active on fewer than ``min_support`` key-days cannot be in a reported
-    pair, so it is dropped before pairing; that is exact. Where more than
-    ``crowd`` items share a (key, mask), both sides are laid on a grid of
-    hashed cells, so the pairing is divided among tasks. Every pair
-    meets in exactly one cell.
+    The distinct marks are written once, as are the two short lists made from them,
+    so that Spark knows their sizes and picks the joins accordingly.
     """
-    number = day_number(F.col(day))
-    marks = (
-        df.select(key, F.col(item).alias("_item"), number.alias("_n"))
-        .dropna()
-        .select(
-            key,
-            "_item",
-            F.shiftright("_n", 6).alias("_span"),
-            F.expr("shiftleft(1L, _n & 63)").alias("_bit"),
-        )
-        .groupBy(key, "_span", "_item")
-        .agg(F.bit_or("_bit").alias("_days"))
+    marks = settle(
+        df.where(known(key, day, item))
+        .select(key, F.col(item).alias("_item"), day_number(F.col(day)).alias("_day"))
+        .distinct()
     )
-    frequent = (
+    frequent = settle(
         marks.groupBy("_item")
-        .agg(F.sum(F.bit_count("_days")).alias("_support"))
+        .agg(F.count("*").alias("_support"))
         .where(F.col("_support") >= min_support)
         .select("_item")
     )
-    marks = marks.join(frequent, "_item", "left_semi")
-    crowded = (
-        marks.groupBy(key, "_span")
+    crowded = settle(
+        marks.groupBy(key, "_day")
         .agg(F.count("*").alias("_size"))
         .where(F.col("_size") > crowd)
-        .select(key, "_span", F.ceil(F.col("_size") / crowd).cast("int").alias("_cells"))
+        .select(key, "_day", F.ceil(F.col("_size") / crowd).cast("int").alias("_groups"))
     )
+    own, other = F.col("_own"), F.col("_other")
     placed = (
-        marks.join(crowded, [key, "_span"], "left")
-        .withColumn("_cells", F.coalesce("_cells", F.lit(1)))
-        .withColumn("_own", F.pmod(F.hash("_item"), F.col("_cells")))
-        .withColumn("_all", F.sequence(F.lit(0), F.col("_cells") - 1))
+        marks.join(frequent, "_item", "left_semi")
+        .join(crowded, [key, "_day"], "left")
+        .withColumn("_groups", F.coalesce("_groups", F.lit(1)))
+        .withColumn("_own", F.pmod(F.hash("_item"), F.col("_groups")))
+        .withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_groups") - 1)))
+        .select(
+            key, "_day", F.least(own, other).alias("_low"), F.greatest(own, other).alias("_high"),
+            "_own", "_item",
+        )
     )
     a, b = pair
-    first = placed.select(
-        key, "_span", F.col("_own").alias("_row"), F.explode("_all").alias("_col"),
-        F.col("_item").alias(a), F.col("_days").alias("_days_a"),
-    )
-    second = placed.select(
-        key, "_span", F.explode("_all").alias("_row"), F.col("_own").alias("_col"),
-        F.col("_item").alias(b), F.col("_days").alias("_days_b"),
-    )
-    shared = F.bit_count(F.col("_days_a").bitwiseAND(F.col("_days_b")))
+    first, second = placed.alias("f"), placed.alias("s")
+    # Two groups meet in the cell of both; a group meets itself in its own cell only.
+    once = (F.col("_low") == F.col("_high")) | (F.col("f._own") != F.col("s._own"))
     return (
-        first.join(second, [key, "_span", "_row", "_col"])
-        .where(F.col(a) < F.col(b))
-        .select(a, b, key, shared.cast("bigint").alias("_shared"))
-        .where("_shared > 0")
+        first.join(second, [key, "_day", "_low", "_high"])
+        .where((F.col("f._item") < F.col("s._item")) & once)
+        .select(F.col("f._item").alias(a), F.col("s._item").alias(b), key)
         .groupBy(a, b)
-        .agg(F.sum("_shared").alias(n_days), F.countDistinct(key).alias(n_keys))
+        .agg(F.count("*").alias(n_days), F.countDistinct(key).alias(n_keys))
         .where(F.col(n_days) >= min_support)
     )

@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hubtrace.functions import day_number
+from hubtrace.functions import day_number, known
 
 
 def fk_edges(
@@ -32,7 +32,7 @@ def fk_edges(
 
     rows = reduce(DataFrame.unionByName, [edges(n, d) for n, d in facts.items()])
     counted = (
-        rows.dropna(subset=[key])
+        rows.where(known(key))
         .groupBy("src_table", key, "event_time")
         .agg(F.count("*").alias("n_rows"))
     )
@@ -69,12 +69,12 @@ def label_table(
     day and are reduced to (key, anchor) inside the map tasks. Everything after joins
     on (key, anchor), which spreads a busy key over its anchors.
     """
-    dates = anchors.select(F.col(anchor).cast("date").alias(anchor)).dropna().distinct()
+    dates = anchors.select(F.col(anchor).cast("date").alias(anchor)).where(known(anchor)).distinct()
 
     def reached(df: DataFrame, day: str, first: int, last: int) -> DataFrame:
         span = F.sequence(F.date_add(anchor, first), F.date_add(anchor, last))
         looked_at = dates.select(anchor, F.explode(span).alias("_day"))
-        days = df.select(key, F.col(day).cast("date").alias("_day")).dropna()
+        days = df.where(known(key, day)).select(key, F.col(day).cast("date").alias("_day"))
         return days.join(looked_at, "_day").select(key, anchor).distinct()
 
     candidates = reached(active, active_day, 1 - lookback, 0).join(

@@ -6,12 +6,16 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from hubtrace.functions import text_of
-
-PERCENTILES = (0.25, 0.50, 0.75, 0.95, 0.99)
+from hubtrace.operators.percentiles import (
+    PERCENTILES,
+    distributions,
+    long_numbers,
+    percentile_name,
+)
 
 
 def table_stats(
@@ -87,13 +91,14 @@ def numeric_profile(
 ) -> DataFrame:
     """Count, NULLs, range, mean, sample deviation and percentiles per column.
 
-    ``accuracy=None`` finds the percentiles exactly (see ``exact_percentiles``).
-    A number uses Spark's approximate percentile with that accuracy instead: one
+    ``accuracy=None`` finds the percentiles exactly (see ``distributions``). A
+    number uses Spark's approximate percentile with that accuracy instead: one
     scan for everything, but each task then ships a summary of up to ``accuracy``
     entries per column to a single merge.
     """
+    if accuracy is None:
+        return numeric_profiles({"": (df, cols)}).drop("table")
     cols = list(cols)
-    names = [_percentile_name(p) for p in PERCENTILES]
     measures = [F.count("*").alias("_rows")]
     for i, c in enumerate(cols):
         x = F.col(c).cast("double")
@@ -103,14 +108,10 @@ def numeric_profile(
             F.max(x).alias(f"_hi{i}"),
             F.avg(x).alias(f"_mean{i}"),
             F.stddev_samp(x).alias(f"_std{i}"),
+            F.percentile_approx(x, list(PERCENTILES), accuracy).alias(f"_p{i}"),
         ]
-        if accuracy is not None:
-            measures.append(
-                F.percentile_approx(x, list(PERCENTILES), accuracy).alias(f"_p{i}")
-            )
-    lines = []
-    for i, c in enumerate(cols):
-        fields = [
+    lines = [
+        F.struct(
             F.lit(c).alias("column"),
             F.col(f"_n{i}").alias("count"),
             (F.col("_rows") - F.col(f"_n{i}")).alias("null_count"),
@@ -118,126 +119,27 @@ def numeric_profile(
             F.col(f"_hi{i}").alias("max"),
             F.col(f"_mean{i}").alias("mean"),
             F.col(f"_std{i}").alias("std"),
-        ]
-        if accuracy is not None:
-            fields += [F.get(f"_p{i}", j).alias(n) for j, n in enumerate(names)]
-        lines.append(F.struct(*fields))
-    base = df.agg(*measures).select(F.inline(F.array(*lines)))
-    if accuracy is not None:
-        return base
-    exact = exact_percentiles(df, cols, PERCENTILES)
-    wide = exact.groupBy("column").agg(
-        *[
-            F.max(F.when(F.col("p") == p, F.col("value"))).alias(n)
-            for p, n in zip(PERCENTILES, names)
-        ]
-    )
-    return base.join(wide, "column", "left")
-
-
-def _percentile_name(p: float) -> str:
-    return f"p{round(p * 100)}"
-
-
-def exact_percentiles(
-    df: DataFrame, cols: Sequence[str], probs: Sequence[float] = PERCENTILES
-) -> DataFrame:
-    """Exact discrete percentiles, long form ``(column, p, value)``.
-
-    The value at percentile ``p`` of ``n`` values is the one at rank
-    ``ceil(p * n)``. It is found by counting, in three scans, rather than sorting:
-
-    1. count values in bins of fixed relative width, find the bins holding a rank;
-    2. split just those bins into equal parts and count again;
-    3. count the single values of the parts that hold a rank.
-
-    Map tasks reduce each scan to its bins, so no task and no merge ever holds a
-    column's values; bins per column are bounded by the number format.
-    """
-    parts_per_bin = 1 << 16
-    cols = list(cols)
-    thousandths = [(p, round(p * 1000)) for p in probs]
-    if any(abs(p * 1000 - t) > 1e-9 or not 0 < t <= 1000 for p, t in thousandths):
-        raise ValueError("probs must be whole thousandths in (0, 1]")
-
-    # Adding 0.0 folds -0.0 into 0.0, so equal numbers stay one value.
-    doubles = df.select(*[(F.col(c).cast("double") + 0.0).alias(c) for c in cols])
-    long = doubles.unpivot([], cols, "column", "x").where("x IS NOT NULL")
-    binned = long.withColumn("_bin", _magnitude_bin(F.col("x")))
-
-    first = binned.groupBy("column", "_bin").agg(
-        F.count("*").alias("_n"), F.min("x").alias("_lo"), F.max("x").alias("_hi")
-    )
-    whole = Window.partitionBy("column")
-    running = whole.orderBy("_bin").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ranks = F.array(
-        *[F.struct(F.lit(float(p)).alias("p"), F.lit(t).alias("t")) for p, t in thousandths]
-    )
-    at_bin = (
-        first.withColumn("_upto", F.sum("_n").over(running))
-        .withColumn("_total", F.sum("_n").over(whole))
-        .withColumn("_ask", F.explode(ranks))
-        .withColumn("_rank", F.expr("(_total * _ask.t + 999) div 1000"))
-        .where("_rank <= _upto AND _rank > _upto - _n")
-        .select(
-            "column", "_bin", "_lo", "_hi", F.col("_ask.p").alias("p"),
-            F.expr("_rank - (_upto - _n)").alias("_rank"),
+            *[
+                F.get(f"_p{i}", j).alias(percentile_name(p))
+                for j, p in enumerate(PERCENTILES)
+            ],
         )
-    )
-
-    # At most one bin per column and percentile: a list this short can be broadcast.
-    asked_bins = F.broadcast(at_bin.select("column", "_bin", "_lo", "_hi").distinct())
-    part = F.when(F.col("_hi") == F.col("_lo"), F.lit(0)).otherwise(
-        F.least(
-            F.floor((F.col("x") - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * parts_per_bin),
-            F.lit(parts_per_bin - 1),
-        )
-    )
-    split = binned.join(asked_bins, ["column", "_bin"]).select(
-        "column", "_bin", "x", part.cast("int").alias("_part")
-    )
-    second = split.groupBy("column", "_bin", "_part").agg(F.count("*").alias("_n"))
-    at_part = _locate(second, at_bin.select("column", "_bin", "p", "_rank"), ["column", "_bin"], "_part")
-
-    asked_parts = F.broadcast(at_part.select("column", "_bin", "_part").distinct())
-    third = (
-        split.join(asked_parts, ["column", "_bin", "_part"])
-        .groupBy("column", "_bin", "_part", "x")
-        .agg(F.count("*").alias("_n"))
-    )
-    found = _locate(third, at_part, ["column", "_bin", "_part"], "x")
-    return found.select("column", "p", F.col("x").alias("value"))
+        for i, c in enumerate(cols)
+    ]
+    return df.agg(*measures).select(F.inline(F.array(*lines)))
 
 
-def _locate(counts: DataFrame, asked: DataFrame, group: list[str], item: str) -> DataFrame:
-    """For each asked rank within a group, the item holding it and the rank inside it."""
-    running = (
-        Window.partitionBy(*group)
-        .orderBy(item)
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    )
-    upto = counts.withColumn("_upto", F.sum("_n").over(running))
-    return (
-        upto.join(F.broadcast(asked), group)
-        .where("_rank <= _upto AND _rank > _upto - _n")
-        .select(*group, item, "p", F.expr("_rank - (_upto - _n)").alias("_rank"))
-    )
-
-
-def _magnitude_bin(x: Column) -> Column:
-    """An integer that never falls as ``x`` rises: sign and 1/64 octave of size.
-
-    Infinities take the outermost bins; NaN sorts above them, as in Spark.
-    """
-    bins_per_octave, offset, outer = 64, 1 << 17, 1 << 18
-    size = F.abs(x)
-    octave = F.floor(F.log2(size) * bins_per_octave) + offset
-    finite = F.when(x > 0, octave).when(x < 0, -octave).otherwise(F.lit(0))
-    infinite = float("inf")
-    return (
-        F.when(F.isnan(x), F.lit(outer + 1))
-        .when(x == infinite, F.lit(outer))
-        .when(x == -infinite, F.lit(-outer))
-        .otherwise(finite)
-        .cast("int")
-    )
+def numeric_profiles(
+    columns: Mapping[str, tuple[DataFrame, Sequence[str]]],
+) -> DataFrame:
+    """Exact ``numeric_profile`` of columns of several tables, in the same three scans."""
+    series = ["table", "column"]
+    parts, names = [], []
+    for table, (df, cols) in columns.items():
+        parts.append(long_numbers(df, cols).select(F.lit(table).alias("table"), "*"))
+        names += [F.struct(F.lit(table).alias("table"), F.lit(c).alias("column")) for c in cols]
+    long = reduce(DataFrame.unionByName, parts)
+    found = distributions(long, series)
+    # Columns of empty tables have no values to count and get their line here.
+    every = long.sparkSession.range(1).select(F.inline(F.array(*names)))
+    return every.join(found, series, "left").fillna(0, subset=["count", "null_count"])

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hubtrace.functions import safe_ratio
+from hubtrace.functions import known, safe_ratio
 from hubtrace.operators.band import distinct_events, event_sites
 
 
@@ -22,7 +22,7 @@ def events_per_key(
 ) -> DataFrame:
     """Distinct event ids per key. NULL keys are left out: they match nothing."""
     return (
-        events.dropna(subset=[key])
+        events.where(known(key))
         .groupBy(key)
         .agg(F.countDistinct(event_id).alias(name))
     )
@@ -47,7 +47,7 @@ def event_rate_by_key(
 ) -> DataFrame:
     """Every hub key with its distinct events, first and last day; zeros kept."""
     per_key = (
-        events.dropna(subset=[key])
+        events.where(known(key))
         .groupBy(key)
         .agg(
             F.countDistinct(event_id).alias(n_events),
@@ -76,16 +76,11 @@ def event_rate_by_attr(
     occur under several keys; a busy key costs no more than a quiet one.
     """
     sites = event_sites(events, [key], event_id)
-    matched = attrs.select(key, attr).join(sites, key)
-    counts = matched.groupBy(attr).agg(distinct_events().alias(n_events))
-    sizes = attrs.groupBy(attr).agg(F.count(key).alias(n_keys))
     out = (
-        sizes.unionByName(counts, allowMissingColumns=True)
+        attrs.select(key, attr)
+        .join(sites, key, "left")
         .groupBy(attr)
-        .agg(
-            F.sum(n_keys).alias(n_keys),
-            F.coalesce(F.sum(n_events), F.lit(0)).alias(n_events),
-        )
+        .agg(F.countDistinct(key).alias(n_keys), distinct_events().alias(n_events))
     )
     if ratio:
         out = out.withColumn(ratio, safe_ratio(F.col(n_events), F.col(n_keys), 2))
@@ -164,7 +159,7 @@ def period_overlap(
 
     def periods(df: DataFrame, day: str) -> DataFrame:
         start = F.trunc(F.col(day).cast("date"), unit).alias("_start")
-        return df.select(key, start).dropna().distinct()
+        return df.where(known(key, day)).select(key, start).distinct()
 
     busy = periods(activity, activity_day).withColumn("_busy", F.lit(1))
     return (

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hubtrace.functions import text_of
+from hubtrace.functions import known, text_of
 
 
 def sample_rows(df: DataFrame, n: int = 20, order: Sequence[str] = ()) -> DataFrame:
@@ -27,5 +27,5 @@ def sample_for_keys(
 
     ``keys`` comes from ``top_keys``: its limit bounds what is broadcast.
     """
-    chosen = F.broadcast(keys.select(key).dropna())
+    chosen = F.broadcast(keys.where(known(key)).select(key))
     return sample_rows(df.join(chosen, key, "left_semi"), n, order)

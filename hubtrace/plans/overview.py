@@ -8,39 +8,35 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hubtrace.operators import categorical_profile, numeric_profile, sample_for_keys, top_keys
+from hubtrace.operators import categorical_profile, numeric_profiles, sample_for_keys, top_keys
 from hubtrace.sources.schema import TableSpec, categorical_columns, numeric_columns
 
 
-def _for_each(tables, specs, columns_of, profile) -> DataFrame:
-    parts = []
-    for name, df in tables.items():
-        cols = columns_of(df, specs.get(name, TableSpec()))
-        if cols:
-            parts.append(profile(df, cols).select(F.lit(name).alias("table"), "*"))
-    return reduce(DataFrame.unionByName, parts)
+Tables = Mapping[str, DataFrame]
+Specs = Mapping[str, TableSpec]
+
 
+def _chosen(tables: Tables, specs: Specs, columns_of) -> dict[str, tuple[DataFrame, list[str]]]:
+    chosen = {n: (df, columns_of(df, specs.get(n, TableSpec()))) for n, df in tables.items()}
+    return {n: (df, cols) for n, (df, cols) in chosen.items() if cols}
 
-def profile_categories(
-    tables: Mapping[str, DataFrame], specs: Mapping[str, TableSpec], k: int = 100
-) -> DataFrame:
+
+def profile_categories(tables: Tables, specs: Specs, k: int = 100) -> DataFrame:
     """Top ``k`` values of every categorical column of every table."""
-    return _for_each(
-        tables, specs, categorical_columns, lambda df, cols: categorical_profile(df, cols, k)
-    )
+    parts = [
+        categorical_profile(df, cols, k).select(F.lit(name).alias("table"), "*")
+        for name, (df, cols) in _chosen(tables, specs, categorical_columns).items()
+    ]
+    return reduce(DataFrame.unionByName, parts)
 
 
-def profile_numbers(
-    tables: Mapping[str, DataFrame], specs: Mapping[str, TableSpec], accuracy: int | None = None
-) -> DataFrame:
+def profile_numbers(tables: Tables, specs: Specs) -> DataFrame:
     """Distribution of every numerical column of every table."""
-    return _for_each(
-        tables, specs, numeric_columns, lambda df, cols: numeric_profile(df, cols, accuracy)
-    )
+    return numeric_profiles(_chosen(tables, specs, numeric_columns))
 
 
 def sample_top_projects(
-    tables: Mapping[str, DataFrame], events: DataFrame, key: str,
+    tables: Tables, events: DataFrame, key: str,
     k: int = 5, n: int = 200, order: Mapping[str, list[str]] | None = None,
 ) -> dict[str, DataFrame]:
     """Rows of each table that belong to the ``k`` keys with most events."""

@@ -3,31 +3,42 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping
+from concurrent.futures import ThreadPoolExecutor
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from hubtrace.sources.report import write_report
+
 
 def run_suite(
-    spark: SparkSession, named: Mapping[str, Callable[[], DataFrame]], path: str | None = None
+    spark: SparkSession,
+    named: Mapping[str, Callable[[], DataFrame]],
+    path: str | None = None,
+    at_once: int = 4,
 ) -> DataFrame:
     """Run every query; one that fails is reported and the others still run.
 
     Results go to ``path/name`` as JSON, or nowhere when no path is given; rows
-    are counted by the write itself. Returns ``(name, status, row_count, error)``.
+    are counted by the write itself. ``at_once`` jobs share the cluster, so the
+    last tasks of one query do not leave it idle. Returns ``(name, status, row_count, error)``.
     """
-    lines = []
-    for name, build in named.items():
+
+    def run(name: str) -> tuple[str, str, int | None, str | None]:
         seen = Observation()
         try:
-            out = build().observe(seen, F.count(F.lit(1)).alias("rows")).write.mode("overwrite")
+            out = named[name]().observe(seen, F.count(F.lit(1)).alias("rows"))
             if path is None:
-                out.format("noop").save()
+                out.write.format("noop").mode("overwrite").save()
             else:
-                out.option("ignoreNullFields", "false").json(f"{path.rstrip('/')}/{name}")
-            lines.append((name, "ok", seen.get["rows"], None))
+                write_report(out, f"{path.rstrip('/')}/{name}")
+            return name, "ok", seen.get["rows"], None
         except Exception as e:  # noqa: BLE001 - the status line reports it
-            lines.append((name, "error", None, str(e).splitlines()[0]))
+            return name, "error", None, str(e).splitlines()[0]
+
+    with ThreadPoolExecutor(at_once) as pool:
+        lines = list(pool.map(inheritable_thread_target(spark)(run), named))
     return spark.createDataFrame(
         lines, "name string, status string, row_count bigint, error string"
     )

@@ -10,7 +10,7 @@ from hubtrace.sources.schema import (
     numeric_columns,
     semantic_type,
 )
-from hubtrace.sources.scratch import scratch_dir
+from hubtrace.sources.scratch import scratch_dir, settle
 from hubtrace.sources.tables import catalog_tables, load_tables
 
 __all__ = [
@@ -30,5 +30,6 @@ __all__ = [
     "read_report",
     "scratch_dir",
     "semantic_type",
+    "settle",
     "write_report",
 ]

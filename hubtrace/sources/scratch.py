@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def scratch_dir(spark: SparkSession) -> str:
@@ -20,3 +20,13 @@ def scratch_dir(spark: SparkSession) -> str:
     if not spark.conf.get("spark.master", "").startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
     return tempfile.mkdtemp(prefix="hubtrace-")
+
+
+def settle(df: DataFrame) -> DataFrame:
+    """Write an intermediate table once and go on from what was written.
+
+    Later steps then neither repeat the work behind it nor lose it with an executor.
+    """
+    path = f"{scratch_dir(df.sparkSession)}/settled"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
