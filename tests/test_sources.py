@@ -1,0 +1,206 @@
+"""Export, reports, typing and the query suite."""
+
+import datetime
+import decimal
+import os
+
+import pytest
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from hubtrace import sources
+from hubtrace.plans import SPECS, profile_categories, profile_numbers, run_suite
+from hubtrace.sources import TableSpec
+
+
+def parts(path):
+    return sorted(f for f in os.listdir(path) if f.endswith(".parquet"))
+
+
+def test_export_bounds_part_size_and_skips_existing(spark, tmp_path):
+    path = str(tmp_path / "t")
+    df = spark.range(0, 1_250_000, 1, 1)
+    assert sources.export_table(df, path) == 1_250_000
+    assert len(parts(path)) == 3
+    sizes = [spark.read.parquet(os.path.join(path, p)).count() for p in parts(path)]
+    assert sorted(sizes) == [250_000, 500_000, 500_000]
+    assert sources.export_table(df, path) is None
+    assert sources.export_table(spark.range(5), path, if_exists="overwrite") == 5
+    assert spark.read.parquet(path).count() == 5
+
+
+def test_export_writes_into_an_empty_folder_and_keeps_empty_tables_typed(spark, tmp_path):
+    path = str(tmp_path / "t")
+    os.makedirs(path)
+    assert sources.export_table(spark.range(0), path) == 0
+    assert spark.read.parquet(path).schema["id"].dataType == T.LongType()
+    with pytest.raises(ValueError):
+        sources.export_table(spark.range(1), path, if_exists="fail")
+
+
+def test_export_summary_reports_each_table(spark, tmp_path):
+    base = str(tmp_path)
+    bad = spark.range(3).select(F.raise_error(F.lit("broken")).alias("x"), "id")
+    tables = {"good": spark.range(7), "bad": bad, "left_out": spark.range(1)}
+    got = {r["table"]: r for r in sources.export_tables(spark, tables, base, ["good", "bad"]).collect()}
+    assert set(got) == {"good", "bad", "TOTAL"}
+    assert (got["good"]["rows"], got["good"]["status"]) == (7, "ok")
+    assert got["good"]["bytes"] > 0
+    assert got["bad"]["status"].startswith("error: ") and got["bad"]["bytes"] == 0
+    assert got["TOTAL"]["rows"] == 7
+    again = {r["table"]: r for r in sources.export_tables(spark, tables, base, ["good"]).collect()}
+    assert (again["good"]["rows"], again["good"]["status"]) == (0, "skipped")
+    assert again["good"]["bytes"] == got["good"]["bytes"]
+    exported = sources.load_tables(spark, base, ["good"], suffix="")
+    assert exported["good"].count() == 7
+
+
+def test_part_files(spark, tmp_path):
+    path = str(tmp_path / "t")
+    assert sources.part_files(spark, path).count() == 0
+    spark.range(10).repartition(3).write.parquet(path)
+    listed = [r for r in sources.part_files(spark, path).collect()]
+    assert [os.path.basename(r["path"]) for r in listed] == parts(path)
+    assert all(r["bytes"] == os.path.getsize(r["path"].removeprefix("file:")) for r in listed)
+
+
+def test_coercion(spark, tmp_path):
+    schema = "a decimal(10,2), b binary, c date, d timestamp, e int, f array<int>, g void"
+    when = datetime.datetime(2024, 1, 2, 3, 4, 5, 678901)
+    data = [
+        (None, None, None, None, None, None, None),
+        (decimal.Decimal("1.25"), b"ok \xff!", when.date(), when, 3, [1, 2], None),
+    ]
+    df = sources.conform_for_export(spark.createDataFrame(data, schema))
+    path = str(tmp_path / "t")
+    df.write.parquet(path)
+    back = spark.read.parquet(path)
+    assert [f.dataType.simpleString() for f in back.schema] == [
+        "double", "string", "date", "timestamp", "int", "array<int>", "string",
+    ]
+    line = back.where("e = 3").first()
+    assert line[:6] == (1.25, "ok �!", when.date(), when, 3, [1, 2])
+
+
+def test_report_keeps_nulls_and_types(spark, tmp_path):
+    path = str(tmp_path / "r")
+    df = spark.createDataFrame([("a", None, datetime.date(2024, 1, 1)), (None, 2.5, None)], "x string, y double, z date")
+    sources.write_report(df, path)
+    back = sources.read_report(spark, path, df.schema)
+    assert sorted(back.collect(), key=repr) == sorted(df.collect(), key=repr)
+    text = "".join(r.value for r in spark.read.text(path).collect())
+    assert '"y":null' in text
+
+
+def test_suite_reports_failures_and_goes_on(spark, tmp_path):
+    def broken():
+        raise RuntimeError("no such thing")
+
+    named = {
+        "ok": lambda: spark.range(4),
+        "broken": broken,
+        "late": lambda: spark.range(2).select(F.raise_error(F.lit("bad row"))),
+        "empty": lambda: spark.range(0),
+    }
+    got = {r["name"]: r for r in run_suite(spark, named, str(tmp_path)).collect()}
+    assert [got[n]["status"] for n in named] == ["ok", "error", "error", "ok"]
+    assert (got["ok"]["row_count"], got["empty"]["row_count"]) == (4, 0)
+    assert got["broken"]["error"] == "no such thing" and got["late"]["error"]
+    assert spark.read.json(str(tmp_path / "ok")).count() == 4
+
+
+class Session:
+    """Just the settings of a session."""
+
+    def __init__(self, **settings):
+        self.settings = {k.replace("_", "."): v for k, v in settings.items()}
+        self.conf = self
+
+    def get(self, key, default=None):
+        return self.settings.get(key, default)
+
+
+def test_scratch_folder_comes_from_the_session(spark):
+    shared = Session(spark_checkpoint_dir="s3a://shared/tmp/", spark_master="yarn")
+    first, second = sources.scratch_dir(shared), sources.scratch_dir(shared)
+    assert first.startswith("s3a://shared/tmp/hubtrace-") and first != second
+    with pytest.raises(RuntimeError):
+        sources.scratch_dir(Session(spark_master="yarn"))
+    assert os.path.isdir(sources.scratch_dir(Session(spark_master="local[2]")))
+    assert sources.settle(spark.range(3)).count() == 3
+
+
+# --- schema ------------------------------------------------------------------------
+
+
+def test_semantic_types_follow_names_then_overrides():
+    string, long = T.StringType(), T.LongType()
+    incident = SPECS["incident"]
+    assert sources.semantic_type("ids_project_number", string) == "ID"
+    assert sources.semantic_type("project_key", long) == "ID"
+    assert sources.semantic_type("is_scd", T.BooleanType()) == "categorical"
+    assert sources.semantic_type("n_unit", long) == "numerical"
+    assert sources.semantic_type("str_city", string) == "text"
+    assert sources.semantic_type("dt_fact", T.DateType()) == "timestamp"
+    assert sources.semantic_type("pkey_columns", string) == "multicategorical"
+    assert sources.semantic_type("pkey_columns", string, incident) == "categorical"
+    assert sources.semantic_type("id_person_created", long, incident) == "categorical"
+    assert sources.semantic_type("cat_schedule_code", string, SPECS["schedule_update"]) == "ID"
+    assert sources.semantic_type("price", T.DoubleType()) == "numerical"
+    assert sources.semantic_type("colour", string) == "categorical"
+
+
+def test_conform(spark):
+    df = spark.createDataFrame(
+        [], "id_person int, ids_vendor string, n_unit int, amt_x float, amt_y decimal(9,2), "
+        "is_x boolean, cat_n bigint, cat_s string, str_t string, dt_d date, dt_s string"
+    )
+    got = {f.name: f.dataType.simpleString() for f in sources.conform(df).schema}
+    assert got == {
+        "id_person": "bigint", "ids_vendor": "string", "n_unit": "bigint", "amt_x": "double",
+        "amt_y": "double", "is_x": "boolean", "cat_n": "bigint", "cat_s": "string",
+        "str_t": "string", "dt_d": "timestamp_ntz", "dt_s": "timestamp_ntz",
+    }
+
+
+def test_roles_and_features(spark):
+    df = spark.createDataFrame(
+        [], "is_scd boolean, ids_project_number string, cat_schedule_code string, "
+        "dt_snapshot date, dt_effective_from date, dt_effective_to date, n_recent_snapshot bigint"
+    )
+    spec = SPECS["schedule_baseline"]
+    assert sources.feature_columns(df, spec) == ["is_scd", "dt_snapshot", "n_recent_snapshot"]
+    lines = {r["column"]: r for r in sources.describe_columns({"schedule_baseline": df}, SPECS).collect()}
+    assert lines["cat_schedule_code"]["role"] == "primary_key"
+    assert lines["ids_project_number"]["references"] == "hub"
+    assert lines["dt_effective_to"]["role"] == "end_time"
+    assert lines["dt_snapshot"]["ingested_type"] == "timestamp_ntz"
+    kept = sources.annotate(df, spec)
+    assert kept.schema["cat_schedule_code"].metadata["semantic_type"] == "ID"
+
+
+def test_profiles_pick_their_columns(spark):
+    log = spark.createDataFrame(
+        [(True, "own", 5, "p", "mason", 2, 1.5)],
+        "is_scd boolean, cat_data_source string, id_construction_report_logs bigint, "
+        "ids_project_number string, cat_trade string, n_workers_foreman bigint, amt_hours_total double",
+    )
+    tables = {"site_log": log, "hub": log.select("ids_project_number")}
+    cats = profile_categories(tables, SPECS)
+    assert {(r["table"], r["column"]) for r in cats.collect()} == {
+        ("site_log", "cat_data_source"), ("site_log", "cat_trade"),
+    }
+    nums = profile_numbers(tables, SPECS)
+    assert {r["column"] for r in nums.collect()} == {"n_workers_foreman", "amt_hours_total"}
+
+
+def test_catalog_tables(spark, tmp_path):
+    spark.range(3).write.mode("overwrite").option("path", str(tmp_path / "c")).saveAsTable("hub_copy")
+    try:
+        assert sources.catalog_tables(spark, {"hub": "hub_copy"})["hub"].count() == 3
+    finally:
+        spark.sql("DROP TABLE hub_copy")
+
+
+def test_default_spec_is_plain():
+    assert TableSpec().primary_key is None and not TableSpec().foreign_keys
