@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hubtrace.functions import day_number, known
+from hubtrace.sources.scratch import settle
 
 _HOW = ("inner", "left", "left_semi", "left_anti")
 
@@ -61,60 +62,51 @@ def band_join(
 
 def event_sites(
     events: DataFrame, site: Sequence[str], event_id: str, with_unnamed: bool = False
-) -> DataFrame:
+) -> tuple[DataFrame, DataFrame | None]:
     """Condense events so that distinct ids can be *added up* per site.
 
     A site is a combination of the ``site`` columns, e.g. (key, day). Almost every
-    id occurs at one site only; such ids are counted per site in ``_ids``.
-    An id seen at several sites cannot be added up, so it keeps one row per
-    site with its id in ``_roam``. Distinct ids over any set of sites are then
-    ``sum(_ids) + count(distinct _roam)``, exactly. ``_rows`` counts event
-    rows; rows without an id count there when ``with_unnamed`` is set.
+    id occurs at one site only. The first result has one row per site with the
+    number of such ids in ``_ids`` and of event rows in ``_rows``. An id seen at several
+    sites cannot be added up; the second result lists the sites of those ids, and is None
+    if there are none. Distinct ids over any set of sites are then ``sum(_ids)`` plus the
+    distinct listed ids, exactly. Rows without an id count in ``_rows`` when
+    ``with_unnamed`` is set.
     """
     site = list(site)
     placed = events.where(known(*site))
     named = placed.where(known(event_id))
-    spans = named.groupBy(event_id).agg(
-        F.count("*").alias("_rows"),
-        *[F.min(c).alias(f"_first_{c}") for c in site],
-        *[F.max(c).alias(f"_last_{c}") for c in site],
+    spans = settle(
+        named.groupBy(event_id).agg(
+            F.count("*").alias("_rows"),
+            *[F.min(c).alias(f"_first_{c}") for c in site],
+            *[F.max(c).alias(f"_last_{c}") for c in site],
+        )
     )
     one_place = reduce(
         Column.__and__, [F.col(f"_first_{c}") == F.col(f"_last_{c}") for c in site]
     )
-    settled = spans.where((F.col("_rows") == 1) | one_place).select(
-        *[F.col(f"_first_{c}").alias(c) for c in site], F.lit(1).alias("_ids"), "_rows"
-    )
-    if with_unnamed:
-        unnamed = placed.where(F.col(event_id).isNull()).groupBy(*site)
-        settled = settled.unionByName(
-            unnamed.agg(F.lit(0).alias("_ids"), F.count("*").alias("_rows"))
+    nothing = F.lit(0).alias("_ids")
+    parts = [
+        spans.where(one_place).select(
+            *[F.col(f"_first_{c}").alias(c) for c in site], F.lit(1).alias("_ids"), "_rows"
         )
-    id_type = events.schema[event_id].dataType
-    settled = settled.groupBy(*site).agg(
-        F.sum("_ids").alias("_ids"), F.sum("_rows").alias("_rows")
-    ).select(*site, F.lit(None).cast(id_type).alias("_roam"), "_ids", "_rows")
-
-    # The filters of both branches read every column of ``spans``, so that Spark
-    # sees one and the same aggregate and computes it once.
-    roamers = spans.where((F.col("_rows") > 1) & ~one_place).select(event_id)
-    roaming = (
-        named.groupBy(event_id, *site)
-        .agg(F.count("*").alias("_rows"))
-        .join(roamers, event_id, "left_semi")
-        .select(
-            *site,
-            F.col(event_id).alias("_roam"),
-            F.lit(0).cast("bigint").alias("_ids"),
-            "_rows",
+    ]
+    roaming = None
+    # Written out, the list shows its size: Spark broadcasts it only if it is short.
+    roamers = settle(spans.where(~one_place).select(event_id))
+    if not roamers.isEmpty():
+        roaming = settle(
+            named.join(roamers, event_id, "left_semi")
+            .groupBy(event_id, *site)
+            .agg(F.count("*").alias("_rows"))
         )
-    )
-    return settled.unionByName(roaming)
-
-
-def distinct_events() -> Column:
-    """Distinct ids over joined ``event_sites`` rows, each site present once."""
-    return F.coalesce(F.sum("_ids"), F.lit(0)) + F.countDistinct("_roam")
+        parts.append(roaming.select(*site, nothing, "_rows"))
+    if with_unnamed:
+        unnamed = placed.where(F.col(event_id).isNull()).groupBy(*site)
+        parts.append(unnamed.agg(nothing, F.count("*").alias("_rows")).select(*site, "_ids", "_rows"))
+    sites = reduce(DataFrame.unionByName, parts).groupBy(*site)
+    return sites.agg(F.sum("_ids").alias("_ids"), F.sum("_rows").alias("_rows")), roaming
 
 
 def band_rates(
@@ -142,7 +134,8 @@ def band_rates(
 
     * facts are first combined to cells of (dims, key, day), events to sites
       of (key, day), so the join pairs days with days and never rows with rows;
-    * each site reaches a group once, and ids add up (see ``event_sites``).
+    * each site reaches a group once, and ids add up; the few ids that do not are
+      looked up by site afterwards (see ``event_sites``).
 
     ``weight_sum`` repeats a fact once per matching event row, as a sum taken
     after the join does; ``dedupe=True`` counts every fact once instead.
@@ -155,7 +148,7 @@ def band_rates(
     else:
         cells = facts.groupBy(*wanted).agg(F.sum(weight).alias("_w"))
     fans_out = weight is not None and not dedupe
-    sites = event_sites(events, [key, event_day], event_id, with_unnamed=fans_out)
+    sites, roaming = event_sites(events, [key, event_day], event_id, with_unnamed=fans_out)
 
     # Counting the key itself needs the unmatched cells too; any other entity is
     # counted on the facts, and only matched cells matter here.
@@ -164,35 +157,37 @@ def band_rates(
         cells.withColumnRenamed(fact_day, "_day"),
         sites.withColumnRenamed(event_day, "_event_day"),
         key, "_day", "_event_day", lo, hi,
-        how="left" if by_key or weight is not None else "inner",
+        how="left" if by_key or fans_out else "inner",
     )
     per_site = [F.max("_ids").alias("_ids")]
     if fans_out:
         repeated = F.col("_w") * F.coalesce(F.col("_rows"), F.lit(1))
         per_site.append(F.sum(repeated).alias("_w"))
-    reached = joined.groupBy(*dims, key, "_event_day", "_roam").agg(*per_site)
+    reached = joined.groupBy(*dims, key, "_event_day").agg(*per_site)
+    if roaming is not None:
+        reached = settle(reached)
 
-    measures = [distinct_events().alias(n_events)]
+    measures = [F.sum("_ids").alias(n_events)]
     if by_key:
         measures.append(F.countDistinct(key).alias(n_entities))
     if fans_out:
         measures.append(F.sum("_w").alias(weight_sum))
-    out = reached.groupBy(*dims).agg(*measures)
-
-    # Measures of the facts alone join by union, which treats NULL groups alike.
-    extra = []
+    parts = [reached.groupBy(*dims).agg(*measures)]
+    if roaming is not None:
+        listed = roaming.select(
+            key, F.col(event_day).alias("_event_day"), F.col(event_id).alias("_roam")
+        )
+        met = reached.join(listed, [key, "_event_day"]).groupBy(*dims)
+        parts.append(met.agg(F.countDistinct("_roam").alias(n_events)))
     if not by_key:
-        extra.append(facts.groupBy(*dims).agg(F.countDistinct(entity).alias(n_entities)))
+        parts.append(facts.groupBy(*dims).agg(F.countDistinct(entity).alias(n_entities)))
     if weight is not None and dedupe:
-        extra.append(cells.groupBy(*dims).agg(F.sum("_w").alias(weight_sum)))
-    for part in extra:
-        out = out.unionByName(part, allowMissingColumns=True)
-    if extra:
-        names = [c for c in (n_entities, weight_sum, n_events) if c]
-        out = out.groupBy(*dims).agg(*[F.sum(c).alias(c) for c in names])
+        parts.append(cells.groupBy(*dims).agg(F.sum("_w").alias(weight_sum)))
 
-    columns = [F.col(c) for c in dims] + [F.col(n_entities)]
-    if weight is not None:
-        columns.append(F.col(weight_sum))
-    columns.append(F.coalesce(F.col(n_events), F.lit(0)).cast("bigint").alias(n_events))
-    return out.select(*columns)
+    # Parts meet by union, which treats NULL groups alike; a join would lose them.
+    names = [c for c in (n_entities, weight_sum, n_events) if c]
+    out = reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True), parts)
+    if len(parts) > 1:
+        out = out.groupBy(*dims).agg(*[F.sum(c).alias(c) for c in names])
+    counted = F.coalesce(F.col(n_events), F.lit(0)).cast("bigint").alias(n_events)
+    return out.select(*dims, *names[:-1], counted)

@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hubtrace.functions import known, safe_ratio
-from hubtrace.operators.band import distinct_events, event_sites
+from hubtrace.operators.band import event_sites
+from hubtrace.sources.scratch import settle
 
 
 def top_k(df: DataFrame, by: Sequence[str], k: int, ties: Sequence[str]) -> DataFrame:
@@ -72,16 +73,21 @@ def event_rate_by_attr(
     """Keys and distinct events per attribute value.
 
     ``attrs`` has one row per key (see ``latest_per_key``). Events are condensed
-    per key first, so the join carries one row per key plus the few ids that
-    occur under several keys; a busy key costs no more than a quiet one.
+    per key first, so the join carries one row per key, and a busy key costs no
+    more than a quiet one; the few ids that occur under several keys are added apart.
     """
-    sites = event_sites(events, [key], event_id)
-    out = (
-        attrs.select(key, attr)
-        .join(sites, key, "left")
-        .groupBy(attr)
-        .agg(F.countDistinct(key).alias(n_keys), distinct_events().alias(n_events))
+    attrs = attrs.select(key, attr)
+    sites, roaming = event_sites(events, [key], event_id)
+    if roaming is not None:
+        attrs = settle(attrs)
+    out = attrs.join(sites, key, "left").groupBy(attr).agg(
+        F.count(key).alias(n_keys), F.coalesce(F.sum("_ids"), F.lit(0)).alias(n_events)
     )
+    if roaming is not None:
+        met = attrs.join(roaming, key).groupBy(attr)
+        met = met.agg(F.lit(0).alias(n_keys), F.countDistinct(event_id).alias(n_events))
+        out = out.unionByName(met).groupBy(attr)
+        out = out.agg(*[F.sum(c).alias(c) for c in (n_keys, n_events)])
     if ratio:
         out = out.withColumn(ratio, safe_ratio(F.col(n_events), F.col(n_keys), 2))
     return out

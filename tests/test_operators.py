@@ -128,14 +128,12 @@ def test_sites_add_up_to_distinct_ids(spark):
         ],
         "i string, k string, t date",
     )
-    sites = ops.event_sites(events, ["k", "t"], "i", with_unnamed=True)
-    assert rows(sites, "k", "t", "_roam", "_ids", "_rows") == sorted(
-        [
-            ("a", d(0), None, 1, 2), ("b", d(1), None, 1, 2),
-            ("a", d(0), "two", 0, 1), ("b", d(0), "two", 0, 1),
-        ],
-        key=repr,
-    )
+    sites, roaming = ops.event_sites(events, ["k", "t"], "i", with_unnamed=True)
+    assert rows(sites, "k", "t", "_ids", "_rows") == [
+        ("a", d(0), 1, 3), ("b", d(0), 0, 1), ("b", d(1), 1, 2),
+    ]
+    assert rows(roaming, "i", "k", "t", "_rows") == [("two", "a", d(0), 1), ("two", "b", d(0), 1)]
+    assert ops.event_sites(events.where("i = 'one'"), ["k", "t"], "i")[1] is None
 
 
 def test_weight_repeats_per_matching_event_row(spark):
