@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from hubtrace.functions import day_number, known
@@ -76,15 +76,18 @@ def event_sites(
     site = list(site)
     placed = events.where(known(*site))
     named = placed.where(known(event_id))
+    one_place = reduce(
+        Column.__and__, [F.col(f"_first_{c}") == F.col(f"_last_{c}") for c in site]
+    )
+    seen = Observation()
     spans = settle(
-        named.groupBy(event_id).agg(
+        named.groupBy(event_id)
+        .agg(
             F.count("*").alias("_rows"),
             *[F.min(c).alias(f"_first_{c}") for c in site],
             *[F.max(c).alias(f"_last_{c}") for c in site],
         )
-    )
-    one_place = reduce(
-        Column.__and__, [F.col(f"_first_{c}") == F.col(f"_last_{c}") for c in site]
+        .observe(seen, F.count_if(~one_place).alias("roaming"))
     )
     nothing = F.lit(0).alias("_ids")
     parts = [
@@ -93,9 +96,9 @@ def event_sites(
         )
     ]
     roaming = None
-    # Written out, the list shows its size: Spark broadcasts it only if it is short.
-    roamers = settle(spans.where(~one_place).select(event_id))
-    if not roamers.isEmpty():
+    if seen.get["roaming"]:
+        # Written out, the list shows its size: Spark broadcasts it only if it is short.
+        roamers = settle(spans.where(~one_place).select(event_id))
         roaming = settle(
             named.join(roamers, event_id, "left_semi")
             .groupBy(event_id, *site)
@@ -142,6 +145,8 @@ def band_rates(
     Groups with a NULL dimension are kept.
     """
     dims = list(dims)
+    facts = facts.withColumn(fact_day, F.col(fact_day).cast("date"))
+    events = events.withColumn(event_day, F.col(event_day).cast("date"))
     wanted = [*dims, key, fact_day]
     if weight is None:
         cells = facts.select(*wanted).distinct()
