@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from hubtrace.functions import day_number, known
@@ -28,38 +28,33 @@ def cooccurrence(
     day, they are hashed to groups and the pairing is divided among tasks by
     pairs of groups. Every pair of items meets exactly once.
 
-    The distinct marks are written once, as are the two short lists made from them,
-    so that Spark knows their sizes and picks the joins accordingly.
+    The distinct marks and the short lists made from them are written once, so that
+    Spark knows their sizes and picks the joins accordingly. The steps that turn out to
+    have nothing to do, such as dividing when there are few items at all, are left out.
     """
     marks = settle(
         df.where(known(key, day, item))
         .select(key, F.col(item).alias("_item"), day_number(F.col(day)).alias("_day"))
         .distinct()
     )
+    enough = F.col("_support") >= min_support
+    seen = Observation()
     frequent = settle(
         marks.groupBy("_item")
         .agg(F.count("*").alias("_support"))
-        .where(F.col("_support") >= min_support)
+        .observe(seen, F.count(F.lit(1)).alias("all"), F.count_if(enough).alias("enough"))
+        .where(enough)
         .select("_item")
     )
-    crowded = settle(
-        marks.groupBy(key, "_day")
-        .agg(F.count("*").alias("_size"))
-        .where(F.col("_size") > crowd)
-        .select(key, "_day", F.ceil(F.col("_size") / crowd).cast("int").alias("_groups"))
-    )
-    own, other = F.col("_own"), F.col("_other")
-    placed = (
-        marks.join(frequent, "_item", "left_semi")
-        .join(crowded, [key, "_day"], "left")
-        .withColumn("_groups", F.coalesce("_groups", F.lit(1)))
-        .withColumn("_own", F.pmod(F.hash("_item"), F.col("_groups")))
-        .withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_groups") - 1)))
-        .select(
-            key, "_day", F.least(own, other).alias("_low"), F.greatest(own, other).alias("_high"),
-            "_own", "_item",
-        )
+    items = seen.get
+    if items["enough"] < items["all"]:
+        marks = marks.join(frequent, "_item", "left_semi")
+    one = F.lit(0)
+    placed = marks.select(
+        key, "_day", one.alias("_low"), one.alias("_high"), one.alias("_own"), "_item"
     )
+    if items["enough"] > crowd:
+        placed = _divided(marks, key, crowd)
     a, b = pair
     first, second = placed.alias("f"), placed.alias("s")
     # Two groups meet in the cell of both; a group meets itself in its own cell only.
@@ -72,3 +67,28 @@ def cooccurrence(
         .agg(F.count("*").alias(n_days), F.countDistinct(key).alias(n_keys))
         .where(F.col(n_days) >= min_support)
     )
+
+
+def _divided(marks: DataFrame, key: str, crowd: int) -> DataFrame:
+    """Marks in the cells where they meet: one for few items, else one per pair of groups."""
+    crowded = settle(
+        marks.groupBy(key, "_day")
+        .agg(F.count("*").alias("_size"))
+        .where(F.col("_size") > crowd)
+        .select(key, "_day", F.ceil(F.col("_size") / crowd).cast("int").alias("_groups"))
+    )
+    own, other = F.col("_own"), F.col("_other")
+    return (
+        marks.join(crowded, [key, "_day"], "left")
+        .withColumn("_groups", F.coalesce("_groups", F.lit(1)))
+        .withColumn("_own", F.pmod(F.hash("_item"), F.col("_groups")))
+        .withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_groups") - 1)))
+        .select(
+            key,
+            "_day",
+            F.least(own, other).alias("_low"),
+            F.greatest(own, other).alias("_high"),
+            "_own",
+            "_item",
+        )
+    )

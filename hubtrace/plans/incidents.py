@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hubtrace.functions import bucketize
@@ -48,6 +48,15 @@ def _ranked(df: DataFrame, by: str, *ties: str) -> DataFrame:
     return df.orderBy(F.desc_nulls_last(by), *[F.asc_nulls_last(c) for c in ties])
 
 
+def _few(df: DataFrame, *order: Column) -> DataFrame:
+    """Order a result of a dozen rows at most, without sampling it for ranges first."""
+    return df.repartition(1).sortWithinPartitions(*order)
+
+
+def _few_ranked(df: DataFrame, by: str, tie: str) -> DataFrame:
+    return _few(df, F.desc_nulls_last(by), F.asc_nulls_last(tie))
+
+
 def rate_by_project(t: Tables) -> DataFrame:
     rates = event_rate_by_key(
         t["hub"], t["incident"], KEY, INCIDENT, OCCURRED,
@@ -151,14 +160,15 @@ def after_schedule_float(t: Tables) -> DataFrame:
         event_id=INCIDENT, dims=["float_bucket"], lo=0, hi=14, entity=KEY,
         n_entities="n_projects", n_events="n_incidents",
     )
-    return _ranked(after, "n_incidents", "float_bucket")
+    return _few_ranked(after, "n_incidents", "float_bucket")
 
 
 def _by_calendar(t: Tables, part: str, name: str) -> DataFrame:
     dated = t["incident"].where(F.col(OCCURRED).isNotNull())
     day = F.col(OCCURRED)
     unit = F.month(day) if part == "month" else F.dayofweek(day)
-    return dated.groupBy(unit.alias(name)).agg(F.count("*").alias("n_incidents")).orderBy(name)
+    counts = dated.groupBy(unit.alias(name)).agg(F.count("*").alias("n_incidents"))
+    return _few(counts, F.col(name))
 
 
 def by_month(t: Tables) -> DataFrame:
@@ -193,7 +203,7 @@ def by_contract_size(t: Tables) -> DataFrame:
         sizes, t["incident"], KEY, INCIDENT, "size_bucket",
         "n_projects", "n_incidents", "incidents_per_project",
     )
-    return _ranked(rates, "incidents_per_project", "size_bucket")
+    return _few_ranked(rates, "incidents_per_project", "size_bucket")
 
 
 def timecard_overlap(t: Tables) -> DataFrame:

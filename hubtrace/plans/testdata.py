@@ -6,11 +6,13 @@ split by event type into the fact roles.
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hubtrace.plans.construction import KEY
-from hubtrace.sources import load_tables
+from hubtrace.sources import Tables, load_tables
 
 TABLES = (
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
@@ -18,62 +20,120 @@ TABLES = (
 )
 
 
-def raw(spark: SparkSession, base: str, *names: str) -> dict[str, DataFrame]:
-    return load_tables(spark, base, names or TABLES)
+# The schemas of the relational tables.
+SCHEMAS = {
+    "region": "r_regionkey int, r_name string",
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "customer": "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, "
+    "c_mktsegment string",
+    "part": "p_partkey bigint, p_name string, p_brand string, p_type string, p_size int, "
+    "p_retailprice double",
+    "orders": "o_orderkey bigint, o_custkey bigint, o_orderstatus string, "
+    "o_totalprice double, o_orderdate timestamp_ntz, o_orderpriority string",
+    "lineitem": "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, "
+    "l_quantity double, l_extendedprice double, l_discount double, l_tax double, "
+    "l_returnflag string, l_linestatus string, l_shipdate timestamp_ntz",
+    "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, "
+    "value double, props string",
+}
+
 
+def raw(spark: SparkSession, base: str, *names: str) -> Tables:
+    return load_tables(spark, base, names or TABLES, schemas=SCHEMAS)
 
-def star(spark: SparkSession, base: str) -> dict[str, DataFrame]:
+
+def star(spark: SparkSession, base: str) -> Tables:
+    """The role tables of ``construction.SPECS`` that the test tables can fill."""
     t = raw(spark, base, "customer", "orders", "events")
-    events, value = t["events"], F.col("value")
-    key, day = F.col("user_id").alias(KEY), F.col("ts").cast("date")
-
-    def of(kind: str) -> DataFrame:
-        return events.where(F.col("event_type") == kind)
-
-    level = F.when(value < 20, "low").when(value < 80, "mid").otherwise("high")
-    price = F.col("o_totalprice")
-    return {
-        "hub": t["customer"].select(F.col("c_custkey").alias(KEY)),
-        "project_daily": t["orders"].select(
-            F.col("o_custkey").alias(KEY),
-            F.col("o_custkey").alias("ids_customer"),
-            F.col("o_orderdate").cast("date").alias("dt_fact"),
-            F.col("o_orderpriority").alias("cat_market_sector"),
-            F.col("o_orderstatus").alias("cat_phase"),
-            F.when(price >= 20000, price * 400).alias("amt_contract"),
-        ),
-        "incident": of("error").select(
-            F.col("event_id").alias("ids_incident_number"),
-            key,
-            day.alias("dt_incident_occurred"),
-            level.alias("cat_incident_type"),
-            F.get_json_object("props", "$.k").alias("cat_osha_status"),
-            (value > 50).alias("is_trir"),
-            (value > 100).alias("is_ltir"),
-        ),
-        "site_log": events.where(F.col("event_type") != "error").select(
-            key,
-            day.alias("dt_log_date"),
-            F.col("event_type").alias("cat_trade"),
-            F.floor(value / 10).cast("int").alias("ids_vendor"),
-            value.alias("n_workers_total"),
-        ),
-        "observation": of("view").select(
-            F.col("event_id").alias("ids_observation"),
-            key,
-            day.alias("dt_observation_created"),
-            level.alias("cat_severity"),
-            (value > 50).alias("is_overdue"),
-            F.when(value <= 100, value / 5).alias("amt_days_to_close_actual"),
-        ),
-        "task_update": of("signup").select(
-            key,
-            day.alias("dt_effective_from"),
-            F.round(value - 50, 0).alias("amt_float"),
-            (F.col("event_id") % 2 == 0).alias("is_active_record"),
-        ),
-        "timecard": of("purchase").select(key, day.alias("dt_item_date")),
-    }
+    return Tables({role: partial(view, t) for role, view in _VIEWS.items()})
+
+
+def _events(t: Tables, where: str, *columns: str) -> DataFrame:
+    key = f"user_id AS {KEY}"
+    return t["events"].where(where).selectExpr(key, *columns)
+
+
+def _day(name: str) -> str:
+    return f"CAST(ts AS DATE) AS {name}"
+
+
+_LEVEL = "CASE WHEN value < 20 THEN 'low' WHEN value < 80 THEN 'mid' ELSE 'high' END"
+
+
+def _hub(t: Tables) -> DataFrame:
+    return t["customer"].selectExpr(f"c_custkey AS {KEY}")
+
+
+def _project_daily(t: Tables) -> DataFrame:
+    return t["orders"].selectExpr(
+        f"o_custkey AS {KEY}",
+        "o_custkey AS ids_customer",
+        "CAST(o_orderdate AS DATE) AS dt_fact",
+        "o_orderpriority AS cat_market_sector",
+        "o_orderstatus AS cat_phase",
+        "CASE WHEN o_totalprice >= 20000 THEN o_totalprice * 400 END AS amt_contract",
+    )
+
+
+def _incident(t: Tables) -> DataFrame:
+    return _events(
+        t,
+        "event_type = 'error'",
+        "event_id AS ids_incident_number",
+        _day("dt_incident_occurred"),
+        f"{_LEVEL} AS cat_incident_type",
+        "get_json_object(props, '$.k') AS cat_osha_status",
+        "value > 50 AS is_trir",
+        "value > 100 AS is_ltir",
+    )
+
+
+def _site_log(t: Tables) -> DataFrame:
+    return _events(
+        t,
+        "event_type <> 'error'",
+        _day("dt_log_date"),
+        "event_type AS cat_trade",
+        "CAST(floor(value / 10) AS INT) AS ids_vendor",
+        "value AS n_workers_total",
+    )
+
+
+def _observation(t: Tables) -> DataFrame:
+    return _events(
+        t,
+        "event_type = 'view'",
+        "event_id AS ids_observation",
+        _day("dt_observation_created"),
+        f"{_LEVEL} AS cat_severity",
+        "value > 50 AS is_overdue",
+        "CASE WHEN value <= 100 THEN value / 5 END AS amt_days_to_close_actual",
+    )
+
+
+def _task_update(t: Tables) -> DataFrame:
+    return _events(
+        t,
+        "event_type = 'signup'",
+        _day("dt_effective_from"),
+        "round(value - 50, 0) AS amt_float",
+        "event_id % 2 = 0 AS is_active_record",
+    )
+
+
+def _timecard(t: Tables) -> DataFrame:
+    return _events(t, "event_type = 'purchase'", _day("dt_item_date"))
+
+
+_VIEWS = {
+    "hub": _hub,
+    "project_daily": _project_daily,
+    "incident": _incident,
+    "site_log": _site_log,
+    "observation": _observation,
+    "task_update": _task_update,
+    "timecard": _timecard,
+}
 
 
 def region_lookup(spark: SparkSession, base: str) -> tuple[str, DataFrame]:

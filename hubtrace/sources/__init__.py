@@ -11,10 +11,11 @@ from hubtrace.sources.schema import (
     semantic_type,
 )
 from hubtrace.sources.scratch import scratch_dir, settle
-from hubtrace.sources.tables import catalog_tables, load_tables
+from hubtrace.sources.tables import Tables, catalog_tables, load_tables
 
 __all__ = [
     "TableSpec",
+    "Tables",
     "annotate",
     "catalog_tables",
     "categorical_columns",
