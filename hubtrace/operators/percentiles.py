@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from hubtrace.sources.scratch import settle
@@ -26,14 +27,15 @@ def distributions(
     """Count, NULLs, range, mean, sample deviation and percentiles of each series of ``x``.
 
     The value at percentile ``p`` of ``n`` values is the one at rank
-    ``ceil(p * n)``. Ranks are found by counting, in three scans:
+    ``ceil(p * n)``. Ranks are found by counting, in up to three scans:
 
     1. count values in bins of fixed relative width, find the bins holding a rank;
        the other statistics come from the same bins;
     2. split just those bins into equal parts and count again;
     3. count the single values of the parts that hold a rank.
 
-    Map tasks reduce each scan to its bins, so no task and no merge ever holds the
+    A bin or part whose least and greatest value agree needs no further scan. Map
+    tasks reduce each scan to its bins, so no task and no merge ever holds the
     values of a series; the bins of a series are bounded by the number format.
     What one scan hands to the next is a line per series and percentile.
     """
@@ -43,29 +45,30 @@ def distributions(
         raise ValueError("probs must be whole thousandths in (0, 1]")
 
     binned = long.withColumn("_bin", _magnitude_bin(F.col("x")))
-    summary = settle(_summary(binned, series, thousandths))
-    at_bin = summary.select(*series, F.inline("_asked")).where("_bin IS NOT NULL")
-
-    # At most one bin per series and percentile, so these lists can be broadcast.
-    asked = F.broadcast(at_bin.select(*series, "_bin", "_lo", "_hi").distinct())
-    place = (F.col("x") - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * _PARTS_PER_BIN
-    part = F.when(F.col("_hi") == F.col("_lo"), F.lit(0)).otherwise(
-        F.least(F.floor(place), F.lit(_PARTS_PER_BIN - 1))
+    open_bins, open_parts = Observation(), Observation()
+    still_open = F.size(F.filter("_asked", lambda a: a["_lo"] < a["_hi"]))
+    summary = settle(
+        _summary(binned, series, thousandths).observe(open_bins, F.sum(still_open).alias("n"))
     )
-    split = (
-        binned.where("x IS NOT NULL")
-        .join(asked, [*series, "_bin"])
-        .select(*series, "_bin", "x", part.cast("int").alias("_part"))
-    )
-    in_bin = [*series, "_bin"]
-    parts = split.groupBy(*in_bin, "_part").agg(F.count("*").alias("_n"))
-    at_part = settle(_locate(parts, at_bin, in_bin, "_part"))
-
-    in_part = [*in_bin, "_part"]
-    asked = F.broadcast(at_part.select(*in_part).distinct())
-    values = split.join(asked, in_part).groupBy(*in_part, "x").agg(F.count("*").alias("_n"))
-    found = _locate(values, at_part, in_part, "x")
-    wide = found.groupBy(*series).agg(
+    at_bin = summary.select(*series, F.inline("_asked")).where("_bin IS NOT NULL")
+    found = [_settled(at_bin, series)]
+    if open_bins.get["n"]:
+        at_bin = at_bin.where("_lo < _hi")
+        split = _split(binned.where("x IS NOT NULL"), at_bin, series)
+        in_bin = [*series, "_bin"]
+        at_part = settle(
+            _locate(split, at_bin, in_bin, "_part").observe(
+                open_parts, F.count_if(F.col("_lo") < F.col("_hi")).alias("n")
+            )
+        )
+        found.append(_settled(at_part, series))
+        if open_parts.get["n"]:
+            at_part = at_part.where("_lo < _hi")
+            in_part = [*in_bin, "_part"]
+            asked = F.broadcast(at_part.select(*in_part).distinct())
+            within = split.join(asked, in_part).withColumn("_value", F.col("x"))
+            found.append(_settled(_locate(within, at_part, in_part, "_value"), series))
+    wide = reduce(DataFrame.unionByName, found).groupBy(*series).agg(
         *[
             F.max(F.when(F.col("_t") == t, F.col("x"))).alias(percentile_name(p))
             for p, t in zip(probs, thousandths)
@@ -74,6 +77,11 @@ def distributions(
     return summary.drop("_asked").join(wide, series, "left")
 
 
+def _settled(at: DataFrame, series: list[str]) -> DataFrame:
+    """Ranks whose bin, part or value leaves one possible answer."""
+    return at.where("_lo = _hi").select(*series, "_t", F.col("_lo").alias("x"))
+
+
 def percentile_name(p: float) -> str:
     return f"p{p * 100:g}"
 
@@ -121,8 +129,22 @@ def _summary(binned: DataFrame, series: list[str], thousandths: list[int]) -> Da
     )
 
 
-def _locate(counts: DataFrame, asked: DataFrame, group: list[str], item: str) -> DataFrame:
+def _split(binned: DataFrame, at_bin: DataFrame, series: list[str]) -> DataFrame:
+    """The values of the asked bins, each with its part of the bin."""
+    # At most one bin per series and percentile, so this list can be broadcast.
+    asked = F.broadcast(at_bin.select(*series, "_bin", "_lo", "_hi").distinct())
+    place = (F.col("x") - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * _PARTS_PER_BIN
+    part = F.least(F.floor(place), F.lit(_PARTS_PER_BIN - 1)).cast("int")
+    return binned.join(asked, [*series, "_bin"]).select(
+        *series, "_bin", "x", part.alias("_part")
+    )
+
+
+def _locate(values: DataFrame, asked: DataFrame, group: list[str], item: str) -> DataFrame:
     """For each asked rank within a group, the item holding it and the rank inside it."""
+    counts = values.groupBy(*group, item).agg(
+        F.count("*").alias("_n"), F.min("x").alias("_lo"), F.max("x").alias("_hi")
+    )
     running = (
         Window.partitionBy(*group)
         .orderBy(item)
@@ -132,7 +154,9 @@ def _locate(counts: DataFrame, asked: DataFrame, group: list[str], item: str) ->
     return (
         upto.join(F.broadcast(asked.select(*group, "_t", "_rank")), group)
         .where("_rank <= _upto AND _rank > _upto - _n")
-        .select(*group, item, "_t", F.expr("_rank - (_upto - _n)").alias("_rank"))
+        .select(
+            *group, item, "_lo", "_hi", "_t", F.expr("_rank - (_upto - _n)").alias("_rank")
+        )
     )
 
 

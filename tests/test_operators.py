@@ -271,6 +271,15 @@ def test_exact_percentiles(spark):
     assert got["one"]["std"] is None and got["one"]["p50"] == 7.0
 
 
+def test_percentiles_of_crowded_values(spark):
+    values = [1.0 + k * 1e-12 for k in range(300)] * 2 + [1.0105] * 5
+    df = spark.createDataFrame([(x, -x) for x in values], "x double, y double")
+    up, down = ops.numeric_profile(df, ["x", "y"]).orderBy("column").collect()
+    for p in (0.25, 0.5, 0.75, 0.95, 0.99):
+        assert up[f"p{round(p * 100)}"] == nth(values, p)
+        assert down[f"p{round(p * 100)}"] == nth([-x for x in values], p)
+
+
 def test_percentiles_of_special_values_and_empty_table(spark):
     inf = float("inf")
     data = [(x,) for x in (-inf, -1e308, -5e-324, 0.0, 5e-324, 2.0, 1.7e308, inf, float("nan"))]
