@@ -25,7 +25,8 @@ def sample_for_keys(
 ) -> DataFrame:
     """Up to ``n`` rows whose key is among ``keys``, as text.
 
-    ``keys`` comes from ``top_keys``: its limit bounds what is broadcast.
+    ``keys`` usually comes from ``top_keys``; its limit tells Spark that it is short
+    enough to broadcast, so the table itself is not shuffled.
     """
-    chosen = F.broadcast(keys.where(known(key)).select(key))
+    chosen = keys.where(known(key)).select(key)
     return sample_rows(df.join(chosen, key, "left_semi"), n, order)

@@ -70,6 +70,11 @@ def test_top_categories_are_limited_before_the_final_rank(spark):
     assert plan.count("WindowGroupLimit") == 2
 
 
+def test_few_keys_are_broadcast_by_their_limit(spark):
+    plan = plan_of(QUERIES["sample_top_keys"](spark, SF))
+    assert "BroadcastHashJoin" in plan and "LeftSemi" in plan
+
+
 def test_report_set(spark, tmp_path):
     star = testdata.star(spark, SF)
     newest = star["project_daily"].withColumn("cat_region", F.lit("all"))
