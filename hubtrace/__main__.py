@@ -22,7 +22,9 @@ def main() -> None:
     parser.add_argument("out")
     parser.add_argument("roles", nargs="*")
     args = parser.parse_args()
-    spark = SparkSession.builder.appName("hubtrace").getOrCreate()
+    spark = (
+        SparkSession.builder.appName("hubtrace").config("spark.ui.enabled", "false").getOrCreate()
+    )
     tables = load_tables(spark, args.tables, args.roles or SPECS, suffix="")
     if args.command == "report":
         done = write_report_set(spark, tables, args.out)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping
 from functools import partial
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
 from hubtrace.operators import key_match, sample_for_keys, sample_rows, table_inventory, table_stats
@@ -20,26 +21,40 @@ def write_report_set(
 ) -> DataFrame:
     """Statistics, profiles, incident queries and samples; one status line per report.
 
-    ``tables`` are the role tables at hand. A report whose tables are missing fails
-    alone; the others are written.
+    ``tables`` are the role tables at hand. A table that cannot be read is left out of the
+    statistics and shows as failed in its sample; a report that needs it fails alone.
     """
-    facts = {n: df for n, df in tables.items() if n != HUB and KEY in df.columns}
+    here = _readable(tables)
+    facts = {n: df for n, df in here.items() if n != HUB and KEY in df.columns}
     named = {
-        "table_stats": lambda: table_stats(tables, KEY, TIME_COLS),
-        "table_inventory": lambda: table_inventory(tables),
+        "table_stats": lambda: table_stats(here, KEY, TIME_COLS),
+        "table_inventory": lambda: table_inventory(here),
         "key_match": lambda: key_match(tables[HUB], facts, KEY),
-        "categorical_distributions": lambda: profile_categories(tables, SPECS),
-        "numerical_distributions": lambda: profile_numbers(tables, SPECS),
+        "categorical_distributions": lambda: profile_categories(here, SPECS),
+        "numerical_distributions": lambda: profile_numbers(here, SPECS),
         "top_incident_projects": lambda: top_keys(tables["incident"], KEY, 5),
     }
     for name, query in INCIDENT_QUERIES.items():
         named[name] = partial(query, tables)
-    for name, df in tables.items():
-        named[f"sample_{name}"] = partial(sample_rows, df, 20)
-        if KEY in df.columns:
-            named[f"sample_top_projects_{name}"] = partial(_of_top_projects, tables, name)
+    for name in tables:
+        named[f"sample_{name}"] = partial(_some_rows, tables, name)
+        named[f"sample_top_projects_{name}"] = partial(_of_top_projects, tables, name)
     return run_suite(spark, named, path, at_once)
 
 
+def _readable(tables: Mapping[str, DataFrame]) -> dict[str, DataFrame]:
+    opened = {}
+    for name in tables:
+        try:
+            opened[name] = tables[name]
+        except AnalysisException:
+            continue
+    return opened
+
+
+def _some_rows(tables: Mapping[str, DataFrame], name: str) -> DataFrame:
+    return sample_rows(tables[name], 20)
+
+
 def _of_top_projects(tables: Mapping[str, DataFrame], name: str) -> DataFrame:
     return sample_for_keys(tables[name], top_keys(tables["incident"], KEY, 5), KEY, 200)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry
 from hubtrace import operators as ops
 from hubtrace.plans import INCIDENT_QUERIES, testdata, write_report_set
+from hubtrace.sources import Tables
 
 SF = "/root/testdata/sf0.001"
 QUERIES = entry.queries()
@@ -88,7 +89,11 @@ def test_report_set(spark, tmp_path):
 
 def test_report_set_without_a_table(spark, tmp_path):
     star = testdata.star(spark, SF)
-    some = {"hub": star["hub"], "incident": star["incident"]}
+    gone = lambda: spark.read.parquet(str(tmp_path / "gone"))
+    some = Tables(
+        {"hub": lambda: star["hub"], "incident": lambda: star["incident"], "site_log": gone}
+    )
     done = {r["name"]: r["status"] for r in write_report_set(spark, some, str(tmp_path)).collect()}
     assert done["incident_rate_by_project"] == "ok"
-    assert done["incidents_by_trade"] == "error"
+    assert done["table_stats"] == "ok"
+    assert done["incidents_by_trade"] == done["sample_site_log"] == "error"

@@ -55,6 +55,12 @@ def test_export_summary_reports_each_table(spark, tmp_path):
     assert exported["good"].count() == 7
 
 
+def test_export_reports_a_missing_table(spark, tmp_path):
+    tables = sources.load_tables(spark, str(tmp_path / "none"), ["gone"], suffix="")
+    got = sources.export_tables(spark, tables, str(tmp_path / "out")).collect()
+    assert got[0]["table"] == "gone" and got[0]["status"].startswith("error: ")
+
+
 def test_part_files(spark, tmp_path):
     path = str(tmp_path / "t")
     assert sources.part_files(spark, path).count() == 0
