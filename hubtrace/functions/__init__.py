@@ -3,7 +3,8 @@ from hubtrace.functions.columns import (
     day_number,
     known,
     safe_ratio,
+    steady_round,
     text_of,
 )
 
-__all__ = ["bucketize", "day_number", "known", "safe_ratio", "text_of"]
+__all__ = ["bucketize", "day_number", "known", "safe_ratio", "steady_round", "text_of"]

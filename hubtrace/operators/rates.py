@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hubtrace.functions import known, safe_ratio
+from hubtrace.functions import known, safe_ratio, steady_round
 from hubtrace.operators.band import event_sites
 from hubtrace.sources.scratch import settle
 
@@ -114,7 +114,7 @@ def activity_density(
         F.sum(value).alias("_sum"), F.count(value).alias("_n"), F.max(value).alias("_max")
     )
     per_key = daily.groupBy(key).agg(
-        F.round(safe_ratio(F.sum("_sum"), F.sum("_n")), 1).alias(mean),
+        steady_round(safe_ratio(F.sum("_sum"), F.sum("_n")), 1).alias(mean),
         F.round(F.max("_max"), 1).alias(peak),
         F.count(day).alias(days),
     )
@@ -142,7 +142,7 @@ def burstiness(
         )
         .where(F.col("n_days") >= min_days)
     )
-    cv = safe_ratio(F.col("std_daily"), F.col("avg_daily"), 2).alias("cv")
+    cv = steady_round(safe_ratio(F.col("std_daily"), F.col("avg_daily")), 2).alias("cv")
     stats = stats.select(key, "avg_daily", "std_daily", cv, "n_days")
     return _with_event_count(stats, events, key, event_id, n_events)
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from compare import of_frame
 from hubtrace import operators as ops
-from hubtrace.functions import bucketize, safe_ratio
+from hubtrace.functions import bucketize, safe_ratio, steady_round
 from hubtrace.plans import incidents
 
 
@@ -55,6 +55,11 @@ def test_safe_ratio(spark):
     assert got == [None, None, 0.33]
 
 
+def test_noise_does_not_decide_a_half(spark):
+    df = spark.createDataFrame([(60.949999999999996,), (60.95,), (60.9499,)], "x double")
+    assert [r[0] for r in df.select(steady_round(F.col("x"), 1)).collect()] == [61.0, 61.0, 60.9]
+
+
 # --- latest ------------------------------------------------------------------------
 
 
