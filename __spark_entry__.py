@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import importlib
+import importlib.util
 import os
 import sys
 from collections.abc import Callable
@@ -222,14 +224,29 @@ PREPARATION: dict[str, Query] = {
 }
 
 
+def _extra() -> list:
+    """Modules that may be absent with their folders; only absence is tolerated, no error inside them."""
+    present = lambda m: (spec := importlib.util.find_spec(m)) is not None and spec.origin is not None
+    if not present("hubtrace.llm"):
+        return []
+    names = ["hubtrace.llm.queries", *filter(present, ["corpus_pipeline"])]
+    return [importlib.import_module(m) for m in names]
+
+
 def entry(spark: SparkSession) -> DataFrame:
     """Distinct events with first and last day for every hub key."""
     return CORRELATIONS["event_rate_by_key"](spark, SMOKE_DIR)
 
 
 def queries() -> dict[str, Query]:
-    return {**CORRELATIONS, **PREPARATION}
+    found = {**CORRELATIONS, **PREPARATION}
+    for module in _extra():
+        found |= module.queries()
+    return found
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(oracle.ORACLE)
+    found = dict(oracle.ORACLE)
+    for module in _extra():
+        found |= module.oracle_sql()
+    return found
