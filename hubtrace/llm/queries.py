@@ -7,10 +7,20 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import public_tokenizers
+
+from hubtrace.llm.bpe import bpe_digests
+from hubtrace.llm.common import words_of
+from hubtrace.llm.fingerprint import edited_fingerprints
 from hubtrace.llm.license_scan import license_scan
+from hubtrace.llm.line_dedup import line_dedup
 from hubtrace.llm.oracle import LICENSE_SCAN
+from hubtrace.llm.packing import pack
+from hubtrace.llm.pii import fit_on, personal_data
+from hubtrace.llm.quality_classifier import quality_classifier
 from hubtrace.llm.quality_rules import quality_rules
 from hubtrace.llm.simhash import near_duplicates
+from hubtrace.llm.token_store import token_store
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -37,13 +47,63 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(_table(spark, sf_dir, "documents"), trusted)
 
 
+def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Score of every document; fitted on labelled documents that are not held out."""
+    return quality_classifier(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What every document loses to earlier ones: lines that lie in shared passages of 50 words or more."""
+    done = line_dedup(_table(spark, sf_dir, "documents"))
+    return done.select(
+        "doc_id",
+        F.size("deleted_lines").cast("long").alias("n_deleted"),
+        F.array_join("deleted_lines", ",").alias("deleted_lines"),
+        F.length(F.coalesce("text", F.lit(""))).cast("long").alias("n_chars_left"),
+        F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"),
+        "emptied",
+    )
+
+
+def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document encoded and decoded with the lower-case word vocabulary."""
+    return bpe_digests(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and component of every document: 3-word shingles, 2 bits."""
     return near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document packed; its length is its number of words and one for its end."""
+    return pack(_table(spark, sf_dir, "documents"), F.size(words_of(F.col("text"))) + 1)
+
+
+def op8_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's ids written as wavelet matrices and read back."""
+    return token_store(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def op9_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every document and its edited text, and how alike they are."""
+    return edited_fingerprints(_table(spark, sf_dir, "documents"))
+
+
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every document: base counts and digest, all spans."""
+    docs = _table(spark, sf_dir, "documents")
+    return personal_data(docs, fit_on(docs)).drop("masked")
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_license_scan, op2_quality_rules, op6_simhash)}
+    return {
+        f.__name__: f
+        for f in (
+            op1_license_scan, op2_quality_rules, op3_quality_classifier, op4_line_dedup, op5_bpe,
+            op6_simhash, op7_packing, op8_token_store, op9_fingerprint, op10_pii,
+        )
+    }
 
 
 def oracle_sql() -> dict[str, str]:

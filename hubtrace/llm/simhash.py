@@ -16,16 +16,14 @@ of rows per member.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
-import pandas as pd
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hubtrace.llm.common import BLANKS, settle
+from hubtrace.llm.common import BLANKS, map_texts, settle
 
 BITS = 64
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -57,19 +55,8 @@ def fingerprints(
 ) -> DataFrame:
     """Rows (id, fp): the signed long fingerprint of each row's text; null texts count as empty."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            yield pd.DataFrame({
-                "id": pdf["id"],
-                "fp": np.array([simhash(t, shingle, seed) for t in pdf["text"]], dtype=np.int64),
-            })
-
-    kind = docs.schema[id_col].dataType.simpleString()
-    source = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    if kind not in ("string", "binary"):  # pandas would turn longs with nulls into doubles
-        source = source.withColumn("id", F.col("id").cast("string"))
-    out = source.mapInPandas(run, "id string, fp long")
-    return out.select(F.col("id").cast(kind).alias(id_col), "fp")
+    run = lambda: lambda texts: {"fp": [simhash(t, shingle, seed) for t in texts]}
+    return map_texts(docs, id_col, text_col, run, {"fp": "long"})
 
 
 def covering_masks(radius: int, bits: int = BITS) -> list[int]:
@@ -168,3 +155,29 @@ def near_duplicates(
 
 def _hex(fp: str) -> Column:
     return F.lower(F.lpad(F.hex(F.col(fp)), 16, "0"))
+
+
+def representatives(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, radius: int = 2
+) -> DataFrame:
+    """One row of `docs`, unchanged, for each component of near_duplicates.
+
+    It is the row with the component's smallest id; among rows with that id the one
+    with the smallest hash of its text. A component whose ids are all null keeps
+    its smallest hash.
+    """
+    own = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
+    marked = settle(
+        fingerprints(docs.withColumn("_key", F.struct(F.col(id_col).alias("id"), own.alias("h"))), "_key", text_col, shingle)
+    )
+    order = F.struct(F.col("_key.id").isNull().alias("no_id"), F.col("_key.id").alias("id"), F.col("_key.h").alias("h"))
+    distinct = marked.groupBy("fp").agg(F.min(order).alias("_least"))
+    member = settle(components(link_edges(distinct.select("fp"), radius)))
+    rooted = distinct.join(member, distinct["fp"] == member["node"], "left")
+    chosen = rooted.groupBy(F.coalesce("root", "fp").alias("root")).agg(F.min("_least").alias("_one")).select(
+        F.col("_one.id").alias("_one_id"), F.col("_one.h").alias("_one_h")
+    )
+    same = F.col(id_col).eqNullSafe(F.col("_one_id")) & (own == F.col("_one_h"))
+    kept = docs.join(chosen, same, "left_semi")
+    # Rows that repeat with id and text are one document.
+    return kept.dropDuplicates([id_col, text_col])
