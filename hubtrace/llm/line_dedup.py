@@ -46,8 +46,9 @@ def hashed_lines(text: str) -> tuple[list[int], list[int], list[int]]:
     return place, hashes, words
 
 
-def run_hashes(hashes: list[int], words: list[int], min_words: int) -> list[int]:
-    """Hash of the shortest run from each line on that holds `min_words` words; lines too near the end have none."""
+def runs_of(hashes: list[int], words: list[int], min_words: int) -> list[tuple[int, int, int]]:
+    """(hash, first, end) of the shortest run from each line on that holds `min_words` words;
+    lines too near the end have none."""
     found, end, held = [], 0, 0
     for k in range(len(hashes)):
         while end < len(hashes) and held < min_words:
@@ -56,7 +57,7 @@ def run_hashes(hashes: list[int], words: list[int], min_words: int) -> list[int]
         if held < min_words:
             break
         key = b"".join(h.to_bytes(8, "little", signed=True) for h in hashes[k:end])
-        found.append(xxhash.xxh64_intdigest(key, seed=1) - (1 << 63))
+        found.append((xxhash.xxh64_intdigest(key, seed=1) - (1 << 63), k, end))
         held -= words[k]
     return found
 
@@ -126,15 +127,28 @@ def _numbered(values: list[int]) -> list[tuple[int, int]]:
     return out
 
 
+def _stretches(places: list[int]) -> Iterator[list[int]]:
+    """Neighbouring numbers together."""
+    part: list[int] = []
+    for k in places:
+        if part and k != part[-1] + 1:
+            yield part
+            part = []
+        part.append(k)
+    if part:
+        yield part
+
+
 def common_blocks(
-    later: list[int], earlier: list[int], words: list[int], min_words: int
+    later: list[int], earlier: list[int], words: list[int], earlier_runs: list[int], min_words: int
 ) -> list[int]:
     """Indexes of `later` in aligned common blocks of at least `min_words` words.
 
-    A block is a stretch of neighbouring elements in both. What is left is aligned again, so
-    that passages in another order are found too, until nothing more goes.
+    A block is a stretch of neighbouring elements in both. What is left is aligned again until
+    nothing more goes. Passages that stand in another order than in `earlier`, so that no
+    alignment takes them, are found by their runs (`earlier_runs`) at the end.
     """
-    left, gone = list(range(len(later))), []
+    left, gone = list(range(len(later))), set()
     while True:
         found: list[int] = []
         block: list[int] = []
@@ -150,10 +164,13 @@ def common_blocks(
             last = (i, j)
         if not found:
             break
-        gone += found
-        taken = set(found)
-        left = [k for k in left if k not in taken]
-    # A passage that occurs several times in the later document matches the same lines again.
+        gone |= set(found)
+        left = [k for k in left if k not in gone]
+    known = set(earlier_runs)
+    for part in _stretches(left):
+        for run, first, end in runs_of([later[k] for k in part], [words[k] for k in part], min_words):
+            if run in known:
+                gone |= set(part[first:end])
     return sorted(gone)
 
 
@@ -181,7 +198,7 @@ def repeated_lines(
             return {
                 "place": [p for p, _, _ in rows], "hashes": [h for _, h, _ in rows],
                 "words": [w for _, _, w in rows],
-                "runs": [list(dict.fromkeys(run_hashes(h, w, min_words))) for _, h, w in rows],
+                "runs": [list(dict.fromkeys(r for r, _, _ in runs_of(h, w, min_words))) for _, h, w in rows],
             }
 
         return work
@@ -200,8 +217,10 @@ def repeated_lines(
     )
     one = lines.dropDuplicates(["doc"])
     later = pairs.join(one.select("doc", "place", "hashes", "words"), "doc")
-    earlier = lines.select(F.col("doc").alias("first"), F.col("hashes").alias("earlier")).dropDuplicates(["first"])
-    both = later.join(earlier, "first").select("doc", "place", "hashes", "words", "earlier")
+    earlier = one.select(
+        F.col("doc").alias("first"), F.col("hashes").alias("earlier"), F.col("runs").alias("earlier_runs")
+    )
+    both = later.join(earlier, "first").select("doc", "place", "hashes", "words", "earlier", "earlier_runs")
     doc_type = both.schema["doc"].dataType
     schema = T.StructType([T.StructField("doc", doc_type), T.StructField("lines", T.ArrayType(T.IntegerType()))])
 
@@ -209,10 +228,10 @@ def repeated_lines(
         for batch in batches:
             for k in range(0, batch.num_rows, 500):
                 part = batch.slice(k, 500)
-                place, hashes, words, earlier_of = (part.column(c).to_pylist() for c in range(1, 5))
+                columns = [part.column(c).to_pylist() for c in range(1, 6)]
                 gone = [
-                    [p[x] for x in common_blocks(h, e, w, min_words)]
-                    for p, h, w, e in zip(place, hashes, words, earlier_of)
+                    [place[x] for x in common_blocks(later, earlier, words, runs, min_words)]
+                    for place, later, words, earlier, runs in zip(*columns)
                 ]
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), pa.array(gone, pa.list_(pa.int32()))], ["doc", "lines"]

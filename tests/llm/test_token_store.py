@@ -1,0 +1,84 @@
+import zlib
+
+import numpy as np
+import public_tokenizers
+import pytest
+from tokenizers import Tokenizer
+
+from hubtrace.llm import token_store as ts
+from llm_docs import ODD, docs_of
+
+PATH = public_tokenizers.path("byte_bpe_50k.json")
+
+
+@pytest.fixture(scope="module")
+def library():
+    return Tokenizer.from_file(PATH)
+
+
+@pytest.mark.parametrize("size,bits", [(0, 3), (1, 1), (511, 3), (512, 4), (5000, 16), (3000, 20)])
+def test_wavelet_matrix_answers_like_a_list(size, bits):
+    rng = np.random.default_rng(size)
+    ids = rng.integers(0, min(1 << bits, 60), size=size)
+    if size > 2:
+        ids[1] = (1 << bits) - 1
+    m = ts.WaveletMatrix.build(ids, bits)
+    m = ts.WaveletMatrix.from_row(m.size, bits, m.planes.tobytes(), m.zeros.tobytes(), m.ranks.tobytes())
+    assert m.unpack().tolist() == ids.tolist()
+    for i in rng.integers(0, max(size, 1), size=min(size, 20)).tolist():
+        assert m[i] == ids[i]
+    for token in {0, 1, 2, (1 << bits) - 1, 1 << bits, *ids[:5].tolist()}:
+        places = np.nonzero(ids == token)[0].tolist()
+        assert m.count(token) == len(places)
+        assert m.occurrences(token)[:50] == places[:50]
+        for end in (0, size // 2, size):
+            assert m.rank(token, end) == int((ids[:end] == token).sum())
+    with pytest.raises(IndexError):
+        m[size]
+    with pytest.raises(IndexError):
+        m.select(0, size + 1)
+
+
+def test_encoder_equals_library(library, small):
+    texts = [
+        "", " ", "  ", "a  b", "a   b", " a", "a ", "a\n b", "a\n  b", "a \n\nb", "a\xa0 b", "a\xa0\xa0 b ", "\n\n x",
+        "it's we'll 'tis", "x<|endoftext|> y <|endoftext|>  z", "é日本 😀", "a\x1cb \x1f c", "tab\t end\t\t", "12 345,6",
+    ] + [t for _, t in small]
+    encoder = ts.LibraryEncoder(open(PATH, encoding="utf-8").read(), cache=300)
+    got = [x.tolist() for k in range(0, len(texts), 5) for x in encoder.encode(texts[k : k + 5])]
+    assert got == [library.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_store_round_trip(spark, tmp_path, library, small):
+    path = f"file://{tmp_path}/store"
+    ts.write_store(docs_of(spark, small), path, PATH, shard_tokens=20_000)
+    assert spark.read.parquet(path).count() > 5
+    rows = {r["doc_id"]: r for r in ts.read_documents(spark, path).collect()}
+    start = 0
+    for i, text in sorted(small):
+        ids = np.array([*library.encode(text, add_special_tokens=False).ids, 2], dtype="<u4")
+        r = rows[i]
+        assert (r["start"], r["n_tokens"], r["ids_crc32"]) == (start, len(ids), zlib.crc32(ids.tobytes()))
+        start += len(ids)
+
+
+def test_lookup_in_one_file(spark, tmp_path, library):
+    path = f"file://{tmp_path}/store"
+    ts.write_store(docs_of(spark, [(2, "the cat the"), (1, "a cat")]).coalesce(1), path, PATH)
+    rows = spark.read.parquet(path).orderBy("part").collect()
+    cat = library.encode(" cat", add_special_tokens=False).ids[0]
+    matrices = [ts.WaveletMatrix.from_row(r["n_tokens"], r["bits"], r["planes"], r["zeros"], r["ranks"]) for r in rows]
+    assert sum(m.count(cat) for m in matrices) == 2
+
+
+def test_odd_rows(odd_docs, no_docs, library):
+    rows = ts.token_store(odd_docs, PATH).collect()
+    assert len(rows) == len(ODD)
+    by_start = sorted(rows, key=lambda r: r["start"])
+    order = sorted(ODD, key=lambda x: (x[0] is not None, x[0] or 0, x[1] or ""))
+    assert [r["doc_id"] for r in by_start] == [i for i, _ in order]
+    for r, (_, text) in zip(by_start, order):
+        assert r["n_tokens"] == len(library.encode(text or "", add_special_tokens=False).ids) + 1
+    assert ts.token_store(no_docs, PATH).count() == 0
+    with pytest.raises(Exception, match="does not fit"):
+        ts.token_store(odd_docs, PATH, bits=4)
