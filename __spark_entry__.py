@@ -7,6 +7,7 @@ import importlib.util
 import os
 import sys
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,7 +28,7 @@ SMOKE_DIR = "/root/testdata/sf0.001"
 
 def _rounded(df: DataFrame, digits: int, *cols: str) -> DataFrame:
     """Sums of doubles depend on their order in the last digits; both engines are cut alike."""
-    return df.withColumns({c: F.round(c, digits) for c in cols})
+    return df.withColumns({c: F.round(F.col(c).cast("double"), digits) for c in cols})
 
 
 def _incidents(name: str, *double_sums: str, digits: int = 2) -> Query:
@@ -86,6 +87,19 @@ def key_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ops.key_match(hub, facts, KEY)
 
 
+def describe_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sources.describe_columns(testdata.raw(spark, sf_dir), {})
+
+
+def part_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = [
+        sources.part_files(spark, f"{sf_dir}/{t}.parquet").select(F.lit(t).alias("table"), "*")
+        for t in oracle.ALL_TABLES
+    ]
+    every = reduce(DataFrame.unionByName, files).groupBy("table")
+    return every.agg((F.count("*") > 0).alias("has_files"), (F.min("bytes") > 0).alias("has_bytes"))
+
+
 def _described(columns: dict[str, list[str]], stype: str) -> dict[str, sources.TableSpec]:
     return {t: sources.TableSpec(semantic=dict.fromkeys(c, stype)) for t, c in columns.items()}
 
@@ -127,10 +141,24 @@ def cooccurrence_brands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ops.top_k(pairs, ["cooccurrence_days"], 100, ["brand_a", "brand_b"])
 
 
+def _as_lines(table: str, sampled: DataFrame, columns: list[str]) -> DataFrame:
+    """Extracts of different tables under one schema: the named columns joined by |."""
+    return sampled.select(F.lit(table).alias("table"), F.concat_ws("|", *columns).alias("line"))
+
+
 def sample_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ops.sample_rows(testdata.raw(spark, sf_dir, "orders")["orders"], 20, ["o_orderkey"])
 
 
+def sample_all_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = testdata.raw(spark, sf_dir, *oracle.SAMPLES)
+    parts = [
+        _as_lines(name, ops.sample_rows(t[name], 20, keys), columns)
+        for name, (keys, columns) in oracle.SAMPLES.items()
+    ]
+    return reduce(DataFrame.unionByName, parts)
+
+
 def top_event_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ops.top_keys(testdata.star(spark, sf_dir)["incident"], KEY, 5)
 
@@ -153,15 +181,24 @@ def export_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def export_coercion(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = testdata.raw(spark, sf_dir, "lineitem")["lineitem"]
-    return sources.conform_for_export(
+    path = f"{sources.scratch_dir(spark)}/coerced"
+    price = F.col("l_extendedprice").cast("decimal(18,2)")
+    sources.export_table(
         lines.select(
             "l_orderkey",
             "l_linenumber",
-            F.col("l_extendedprice").cast("decimal(18,2)").alias("l_extendedprice"),
+            price.alias("l_extendedprice"),
             F.col("l_returnflag").cast("binary").alias("l_returnflag"),
             F.col("l_shipdate").cast("date").alias("l_shipdate"),
             F.col("l_shipdate").alias("shipped_at"),
-        )
+            F.convert_timezone(F.lit("UTC"), F.current_timezone(), "l_shipdate").cast("timestamp").alias("zoned"),
+            F.array(F.struct(price.alias("p"))).alias("nested"),
+        ),
+        path,
+    )
+    return spark.read.parquet(path).select(
+        "l_orderkey", "l_linenumber", "l_extendedprice", "l_returnflag", "l_shipdate", "shipped_at",
+        F.unix_micros("zoned").alias("zoned_micros"), F.col("nested")[0]["p"].alias("nested_price"),
     )
 
 
@@ -191,7 +228,7 @@ def conform_types(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def fk_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = testdata.star(spark, sf_dir)
-    facts = {name: t[name] for name in ("project_daily", "incident")}
+    facts = {name: t[name] for name in t if name != "hub"}
     return ops.fk_edges(t["hub"], facts, KEY, TIME_COLS)
 
 
@@ -215,8 +252,9 @@ def feature_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
 PREPARATION: dict[str, Query] = {
     f.__name__: f
     for f in (
-        table_stats, table_inventory, key_match, categorical_profile, numeric_profile,
-        latest_per_key, band_join, cooccurrence_brands, sample_rows, top_event_keys,
+        table_stats, table_inventory, describe_columns, part_files, key_match,
+        categorical_profile, numeric_profile, latest_per_key, band_join, cooccurrence_brands,
+        sample_rows, sample_all_rows, top_event_keys,
         sample_top_keys, export_roundtrip, export_coercion, export_summary,
         report_roundtrip, suite_status, conform_types, fk_edges, label_table,
         feature_projection,

@@ -46,15 +46,6 @@ def text_of(value: Column) -> Column:
     return value.cast("string")
 
 
-def steady_round(value: Column, digits: int) -> Column:
-    """Round half up, without letting the last bits decide a half.
-
-    A sum of doubles depends on the order of its parts, so a mean of 60.95 may arrive as
-    60.949999999999996; the noise is rounded away first.
-    """
-    return F.round(F.round(value, digits + 8), digits)
-
-
 def known(*cols: str) -> Column:
     """No column is NULL, in the form Parquet scans can take over as a filter."""
     return reduce(Column.__and__, [F.col(c).isNotNull() for c in cols])

@@ -5,11 +5,10 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Observation
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hubtrace.functions import day_number, known
-from hubtrace.sources.scratch import settle
 
 _HOW = ("inner", "left", "left_semi", "left_anti")
 
@@ -30,7 +29,9 @@ def band_join(
     left days that a right row can meet span at most two. Repeating the right
     row for those turns the band into an equality on (key, block) plus a range
     check, so a key with a long history is spread over its blocks rather
-    than landing in one task, and each matching pair still meets exactly once.
+    than landing in one task, and each matching pair still meets exactly once. Rows of
+    one key and block stay together: if those are very many on both sides, count with
+    ``band_rates`` instead, which combines them before the join.
     """
     if how not in _HOW:
         raise ValueError(f"how must be one of {_HOW}, not {how!r}")
@@ -62,16 +63,19 @@ def band_join(
 
 def event_sites(
     events: DataFrame, site: Sequence[str], event_id: str, with_unnamed: bool = False
-) -> tuple[DataFrame, DataFrame | None]:
+) -> tuple[DataFrame, DataFrame]:
     """Condense events so that distinct ids can be *added up* per site.
 
     A site is a combination of the ``site`` columns, e.g. (key, day). Almost every
     id occurs at one site only. The first result has one row per site with the
     number of such ids in ``_ids`` and of event rows in ``_rows``. An id seen at several
-    sites cannot be added up; the second result lists the sites of those ids, and is None
+    sites cannot be added up; the second result lists the sites of those ids, and has no row
     if there are none. Distinct ids over any set of sites are then ``sum(_ids)`` plus the
     distinct listed ids, exactly. Rows without an id count in ``_rows`` when
     ``with_unnamed`` is set.
+
+    Both results read the same columns of the ids' spans, so Spark shuffles events
+    on their id once for both.
     """
     site = list(site)
     placed = events.where(known(*site))
@@ -79,32 +83,23 @@ def event_sites(
     one_place = reduce(
         Column.__and__, [F.col(f"_first_{c}") == F.col(f"_last_{c}") for c in site]
     )
-    seen = Observation()
-    spans = settle(
-        named.groupBy(event_id)
-        .agg(
-            F.count("*").alias("_rows"),
-            *[F.min(c).alias(f"_first_{c}") for c in site],
-            *[F.max(c).alias(f"_last_{c}") for c in site],
-        )
-        .observe(seen, F.count_if(~one_place).alias("roaming"))
+    spans = named.groupBy(event_id).agg(
+        F.count("*").alias("_rows"),
+        *[F.min(c).alias(f"_first_{c}") for c in site],
+        *[F.max(c).alias(f"_last_{c}") for c in site],
     )
     nothing = F.lit(0).alias("_ids")
-    parts = [
-        spans.where(one_place).select(
-            *[F.col(f"_first_{c}").alias(c) for c in site], F.lit(1).alias("_ids"), "_rows"
-        )
-    ]
-    roaming = None
-    if seen.get["roaming"]:
-        # Written out, the list shows its size: Spark broadcasts it only if it is short.
-        roamers = settle(spans.where(~one_place).select(event_id))
-        roaming = settle(
-            named.join(roamers, event_id, "left_semi")
-            .groupBy(event_id, *site)
-            .agg(F.count("*").alias("_rows"))
-        )
-        parts.append(roaming.select(*site, nothing, "_rows"))
+    settled = spans.where(one_place).select(
+        *[F.col(f"_first_{c}").alias(c) for c in site], F.lit(1).alias("_ids"), "_rows"
+    )
+    # Several places mean several rows; saying so keeps the columns of both branches alike.
+    roamers = spans.where(~one_place & (F.col("_rows") > 1)).select(event_id)
+    roaming = (
+        named.join(roamers, event_id, "left_semi")
+        .groupBy(event_id, *site)
+        .agg(F.count("*").alias("_rows"))
+    )
+    parts = [settled, roaming.select(*site, nothing, "_rows")]
     if with_unnamed:
         unnamed = placed.where(F.col(event_id).isNull()).groupBy(*site)
         parts.append(unnamed.agg(nothing, F.count("*").alias("_rows")).select(*site, "_ids", "_rows"))
@@ -169,8 +164,6 @@ def band_rates(
         repeated = F.col("_w") * F.coalesce(F.col("_rows"), F.lit(1))
         per_site.append(F.sum(repeated).alias("_w"))
     reached = joined.groupBy(*dims, key, "_event_day").agg(*per_site)
-    if roaming is not None:
-        reached = settle(reached)
 
     measures = [F.sum("_ids").alias(n_events)]
     if by_key:
@@ -178,12 +171,15 @@ def band_rates(
     if fans_out:
         measures.append(F.sum("_w").alias(weight_sum))
     parts = [reached.groupBy(*dims).agg(*measures)]
-    if roaming is not None:
-        listed = roaming.select(
-            key, F.col(event_day).alias("_event_day"), F.col(event_id).alias("_roam")
-        )
-        met = reached.join(listed, [key, "_event_day"]).groupBy(*dims)
-        parts.append(met.agg(F.countDistinct("_roam").alias(n_events)))
+    # Only sites that hold an id seen elsewhere are looked up again, each once per group.
+    listed = roaming.select(key, F.col(event_day).alias("_event_day"), F.col(event_id).alias("_roam"))
+    touched = band_join(
+        cells.select(*dims, key, F.col(fact_day).alias("_day")),
+        listed.select(key, "_event_day").distinct(),
+        key, "_day", "_event_day", lo, hi,
+    ).select(*dims, key, "_event_day").distinct()
+    met = touched.join(listed, [key, "_event_day"]).groupBy(*dims)
+    parts.append(met.agg(F.countDistinct("_roam").alias(n_events)))
     if not by_key:
         parts.append(facts.groupBy(*dims).agg(F.countDistinct(entity).alias(n_entities)))
     if weight is not None and dedupe:
@@ -192,7 +188,6 @@ def band_rates(
     # Parts meet by union, which treats NULL groups alike; a join would lose them.
     names = [c for c in (n_entities, weight_sum, n_events) if c]
     out = reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True), parts)
-    if len(parts) > 1:
-        out = out.groupBy(*dims).agg(*[F.sum(c).alias(c) for c in names])
+    out = out.groupBy(*dims).agg(*[F.sum(c).alias(c) for c in names])
     counted = F.coalesce(F.col(n_events), F.lit(0)).cast("bigint").alias(n_events)
     return out.select(*dims, *names[:-1], counted)

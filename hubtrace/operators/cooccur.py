@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hubtrace.functions import day_number, known
-from hubtrace.sources.scratch import settle
 
 
 def cooccurrence(
@@ -24,37 +23,22 @@ def cooccurrence(
 
     Repeated rows of a (key, day, item) vanish in the map tasks. An item seen on fewer than
     ``min_support`` key-days cannot be in a reported pair, so it is dropped
-    before pairing; that is exact. Where more than ``crowd`` items share a key and
-    day, they are hashed to groups and the pairing is divided among tasks by
-    pairs of groups. Every pair of items meets exactly once.
-
-    The distinct marks and the short lists made from them are written once, so that
-    Spark knows their sizes and picks the joins accordingly. The steps that turn out to
-    have nothing to do, such as dividing when there are few items at all, are left out.
+    before pairing; that is exact. The items of a key and day are hashed to
+    ``ceil(items / crowd)`` groups, and the pairing is divided among tasks by pairs of
+    groups. Every pair of items meets exactly once. The plan is the same whatever the sizes.
     """
-    marks = settle(
+    marks = (
         df.where(known(key, day, item))
         .select(key, F.col(item).alias("_item"), day_number(F.col(day)).alias("_day"))
         .distinct()
     )
-    enough = F.col("_support") >= min_support
-    seen = Observation()
-    frequent = settle(
+    frequent = (
         marks.groupBy("_item")
         .agg(F.count("*").alias("_support"))
-        .observe(seen, F.count(F.lit(1)).alias("all"), F.count_if(enough).alias("enough"))
-        .where(enough)
+        .where(F.col("_support") >= min_support)
         .select("_item")
     )
-    items = seen.get
-    if items["enough"] < items["all"]:
-        marks = marks.join(frequent, "_item", "left_semi")
-    one = F.lit(0)
-    placed = marks.select(
-        key, "_day", one.alias("_low"), one.alias("_high"), one.alias("_own"), "_item"
-    )
-    if items["enough"] > crowd:
-        placed = _divided(marks, key, crowd)
+    placed = _divided(marks.join(frequent, "_item", "left_semi"), marks, key, crowd)
     a, b = pair
     first, second = placed.alias("f"), placed.alias("s")
     # Two groups meet in the cell of both; a group meets itself in its own cell only.
@@ -69,18 +53,13 @@ def cooccurrence(
     )
 
 
-def _divided(marks: DataFrame, key: str, crowd: int) -> DataFrame:
-    """Marks in the cells where they meet: one for few items, else one per pair of groups."""
-    crowded = settle(
-        marks.groupBy(key, "_day")
-        .agg(F.count("*").alias("_size"))
-        .where(F.col("_size") > crowd)
-        .select(key, "_day", F.ceil(F.col("_size") / crowd).cast("int").alias("_groups"))
-    )
+def _divided(marks: DataFrame, sized: DataFrame, key: str, crowd: int) -> DataFrame:
+    """Marks in the cells where they meet: one per pair of groups of their key and day."""
+    groups = F.ceil(F.count("*") / crowd).cast("int").alias("_groups")
+    sizes = sized.groupBy(key, "_day").agg(groups)
     own, other = F.col("_own"), F.col("_other")
     return (
-        marks.join(crowded, [key, "_day"], "left")
-        .withColumn("_groups", F.coalesce("_groups", F.lit(1)))
+        marks.join(sizes, [key, "_day"])
         .withColumn("_own", F.pmod(F.hash("_item"), F.col("_groups")))
         .withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_groups") - 1)))
         .select(

@@ -65,16 +65,17 @@ def label_table(
     before the anchor can leak into it.
 
     Hub and anchors are never multiplied. The anchor list is small (distinct days)
-    and is laid out over the days each anchor looks at; rows meet it on their
-    day and are reduced to (key, anchor) inside the map tasks. Everything after joins
-    on (key, anchor), which spreads a busy key over its anchors.
+    and is laid out over the days each anchor looks at. Rows are reduced to (key, day)
+    inside the map tasks before they meet it on their day, so a busy day holds a row per
+    key at most. Everything after joins on (key, anchor), which spreads a busy key
+    over its anchors.
     """
     dates = anchors.select(F.col(anchor).cast("date").alias(anchor)).where(known(anchor)).distinct()
 
     def reached(df: DataFrame, day: str, first: int, last: int) -> DataFrame:
         span = F.sequence(F.date_add(anchor, first), F.date_add(anchor, last))
         looked_at = dates.select(anchor, F.explode(span).alias("_day"))
-        days = df.where(known(key, day)).select(key, F.col(day).cast("date").alias("_day"))
+        days = df.where(known(key, day)).select(key, F.col(day).cast("date").alias("_day")).distinct()
         return days.join(looked_at, "_day").select(key, anchor).distinct()
 
     candidates = reached(active, active_day, 1 - lookback, 0).join(

@@ -5,20 +5,20 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Observation, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from hubtrace.sources.scratch import settle
-
 PERCENTILES = (0.25, 0.50, 0.75, 0.95, 0.99)
 _BINS_PER_OCTAVE = 64
-_PARTS_PER_BIN = 1 << 16
+_PARTS = 1 << 16
+_CUTS = 4
 
 
 def long_numbers(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """``(column, x)`` with every number as double and -0.0 folded into 0.0."""
-    doubles = df.select(*[(F.col(c).cast("double") + 0.0).alias(c) for c in cols])
-    return doubles.unpivot([], list(cols), "column", "x")
+    names = [F.col(f"`{c}`") for c in cols]
+    doubles = df.select(*[(c.cast("double") + 0.0).alias(n) for c, n in zip(names, cols)])
+    return doubles.unpivot([], names, "column", "x")
 
 
 def distributions(
@@ -27,17 +27,20 @@ def distributions(
     """Count, NULLs, range, mean, sample deviation and percentiles of each series of ``x``.
 
     The value at percentile ``p`` of ``n`` values is the one at rank
-    ``ceil(p * n)``. Ranks are found by counting, in up to three scans:
+    ``ceil(p * n)``. Ranks are found by counting, in rounds:
 
     1. count values in bins of fixed relative width, find the bins holding a rank;
        the other statistics come from the same bins;
-    2. split just those bins into equal parts and count again;
-    3. count the single values of the parts that hold a rank.
+    2. cut just the bins that hold a rank into equal parts between their least and greatest
+       value, count again, and find the parts holding a rank; and so on with those.
+
+    A bin or part whose least and greatest value agree is done. A bin spans less than
+    2^46 numbers and each cut divides it by 2^16, so three cuts settle every rank (a
+    fourth allows for rounding). Map tasks reduce each round to at most 2^16
+    counters per open part, so no task and no merge ever holds the values of a series.
 
-    A bin or part whose least and greatest value agree needs no further scan. Map
-    tasks reduce each scan to its bins, so no task and no merge ever holds the
-    values of a series; the bins of a series are bounded by the number format.
-    What one scan hands to the next is a line per series and percentile.
+    Each round is a job that runs while the plan is built: what it finds, a line per series and
+    percentile, comes to the driver and shapes the next one. Nothing is written.
     """
     series = list(series)
     thousandths = [round(p * 1000) for p in probs]
@@ -45,29 +48,18 @@ def distributions(
         raise ValueError("probs must be whole thousandths in (0, 1]")
 
     binned = long.withColumn("_bin", _magnitude_bin(F.col("x")))
-    open_bins, open_parts = Observation(), Observation()
-    still_open = F.size(F.filter("_asked", lambda a: a["_lo"] < a["_hi"]))
-    summary = settle(
-        _summary(binned, series, thousandths).observe(open_bins, F.sum(still_open).alias("n"))
-    )
-    at_bin = summary.select(*series, F.inline("_asked")).where("_bin IS NOT NULL")
-    found = [_settled(at_bin, series)]
-    if open_bins.get["n"]:
-        at_bin = at_bin.where("_lo < _hi")
-        split = _split(binned.where("x IS NOT NULL"), at_bin, series)
-        in_bin = [*series, "_bin"]
-        at_part = settle(
-            _locate(split, at_bin, in_bin, "_part").observe(
-                open_parts, F.count_if(F.col("_lo") < F.col("_hi")).alias("n")
-            )
-        )
-        found.append(_settled(at_part, series))
-        if open_parts.get["n"]:
-            at_part = at_part.where("_lo < _hi")
-            in_part = [*in_bin, "_part"]
-            asked = F.broadcast(at_part.select(*in_part).distinct())
-            within = split.join(asked, in_part).withColumn("_value", F.col("x"))
-            found.append(_settled(_locate(within, at_part, in_part, "_value"), series))
+    summary = _at_hand(_summary(binned, series, thousandths))
+    at = summary.select(*series, F.inline("_asked")).where("_bin IS NOT NULL")
+    found = [_settled(at, series)]
+    values, inside = binned.where("x IS NOT NULL"), [*series, "_bin"]
+    for cut in range(_CUTS):
+        at = at.where("_lo < _hi")
+        if at.isEmpty():
+            break
+        values = _split(values, at, inside, f"_part{cut}")
+        at = _at_hand(_locate(values, at, inside, f"_part{cut}"))
+        inside = [*inside, f"_part{cut}"]
+        found.append(_settled(at, series))
     wide = reduce(DataFrame.unionByName, found).groupBy(*series).agg(
         *[
             F.max(F.when(F.col("_t") == t, F.col("x"))).alias(percentile_name(p))
@@ -129,14 +121,19 @@ def _summary(binned: DataFrame, series: list[str], thousandths: list[int]) -> Da
     )
 
 
-def _split(binned: DataFrame, at_bin: DataFrame, series: list[str]) -> DataFrame:
-    """The values of the asked bins, each with its part of the bin."""
-    # At most one bin per series and percentile, so this list can be broadcast.
-    asked = F.broadcast(at_bin.select(*series, "_bin", "_lo", "_hi").distinct())
-    place = (F.col("x") - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * _PARTS_PER_BIN
-    part = F.least(F.floor(place), F.lit(_PARTS_PER_BIN - 1)).cast("int")
-    return binned.join(asked, [*series, "_bin"]).select(
-        *series, "_bin", "x", part.alias("_part")
+def _at_hand(df: DataFrame) -> DataFrame:
+    """A few lines, a bounded number per column profiled, as a table of the driver."""
+    return df.sparkSession.createDataFrame(df.collect(), df.schema)
+
+
+def _split(values: DataFrame, at: DataFrame, inside: list[str], part: str) -> DataFrame:
+    """The values of the asked parts, each with its place when the part is cut into equal ones."""
+    # At most one part per series and percentile, so this list can be broadcast.
+    asked = F.broadcast(at.select(*inside, "_lo", "_hi").distinct())
+    share = (F.col("x") - F.col("_lo")) / (F.col("_hi") - F.col("_lo"))
+    place = F.least(F.floor(share * _PARTS), F.lit(_PARTS - 1))
+    return values.join(asked, inside).select(
+        *inside, "x", F.greatest(place, F.lit(0)).cast("int").alias(part)
     )
 
 

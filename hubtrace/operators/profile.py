@@ -76,8 +76,9 @@ def categorical_profile(df: DataFrame, cols: Sequence[str], k: int = 100) -> Dat
     Before ranking, every task keeps only its own best ``k`` per column, so a
     column with very many values never gathers in one place.
     """
-    cells = df.select(*[text_of(F.col(c)).alias(c) for c in cols]).unpivot(
-        [], list(cols), "column", "value"
+    names = [F.col(f"`{c}`") for c in cols]
+    cells = df.select(*[text_of(c).alias(n) for c, n in zip(names, cols)]).unpivot(
+        [], names, "column", "value"
     )
     counts = cells.groupBy("column", "value").agg(F.count("*").alias("count"))
     best = Window.partitionBy("column").orderBy(
@@ -101,9 +102,9 @@ def numeric_profile(
     cols = list(cols)
     measures = [F.count("*").alias("_rows")]
     for i, c in enumerate(cols):
-        x = F.col(c).cast("double")
+        x = F.col(f"`{c}`").cast("double")
         measures += [
-            F.count(c).alias(f"_n{i}"),
+            F.count(x).alias(f"_n{i}"),
             F.min(x).alias(f"_lo{i}"),
             F.max(x).alias(f"_hi{i}"),
             F.avg(x).alias(f"_mean{i}"),

@@ -7,9 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hubtrace.functions import known, safe_ratio, steady_round
+from hubtrace.functions import known, safe_ratio
 from hubtrace.operators.band import event_sites
-from hubtrace.sources.scratch import settle
 
 
 def top_k(df: DataFrame, by: Sequence[str], k: int, ties: Sequence[str]) -> DataFrame:
@@ -78,16 +77,13 @@ def event_rate_by_attr(
     """
     attrs = attrs.select(key, attr)
     sites, roaming = event_sites(events, [key], event_id)
-    if roaming is not None:
-        attrs = settle(attrs)
     out = attrs.join(sites, key, "left").groupBy(attr).agg(
         F.count(key).alias(n_keys), F.coalesce(F.sum("_ids"), F.lit(0)).alias(n_events)
     )
-    if roaming is not None:
-        met = attrs.join(roaming, key).groupBy(attr)
-        met = met.agg(F.lit(0).alias(n_keys), F.countDistinct(event_id).alias(n_events))
-        out = out.unionByName(met).groupBy(attr)
-        out = out.agg(*[F.sum(c).alias(c) for c in (n_keys, n_events)])
+    met = attrs.join(roaming, key).groupBy(attr)
+    met = met.agg(F.lit(0).alias(n_keys), F.countDistinct(event_id).alias(n_events))
+    out = out.unionByName(met).groupBy(attr)
+    out = out.agg(*[F.sum(c).alias(c) for c in (n_keys, n_events)])
     if ratio:
         out = out.withColumn(ratio, safe_ratio(F.col(n_events), F.col(n_keys), 2))
     return out
@@ -107,6 +103,9 @@ def activity_density(
 ) -> DataFrame:
     """Mean and peak of a logged value, active days, and distinct events per key.
 
+    The mean is rounded once, to one digit. A sum of doubles depends on the order of its parts in
+    the last bits; a decimal value column makes it exact.
+
     Rows combine to (key, day) and then to the key before the events are joined;
     a join on the key alone would only repeat rows and leave mean and peak as they are.
     """
@@ -114,8 +113,8 @@ def activity_density(
         F.sum(value).alias("_sum"), F.count(value).alias("_n"), F.max(value).alias("_max")
     )
     per_key = daily.groupBy(key).agg(
-        steady_round(safe_ratio(F.sum("_sum"), F.sum("_n")), 1).alias(mean),
-        F.round(F.max("_max"), 1).alias(peak),
+        safe_ratio(F.sum("_sum"), F.sum("_n"), 1).alias(mean),
+        F.round(F.max("_max").cast("double"), 1).alias(peak),
         F.count(day).alias(days),
     )
     return _with_event_count(per_key, events, key, event_id, n_events)
@@ -136,13 +135,13 @@ def burstiness(
     stats = (
         daily.groupBy(key)
         .agg(
-            F.avg("_daily").alias("avg_daily"),
+            F.avg("_daily").cast("double").alias("avg_daily"),
             F.stddev_samp("_daily").alias("std_daily"),
             F.count("*").alias("n_days"),
         )
         .where(F.col("n_days") >= min_days)
     )
-    cv = steady_round(safe_ratio(F.col("std_daily"), F.col("avg_daily")), 2).alias("cv")
+    cv = safe_ratio(F.col("std_daily"), F.col("avg_daily"), 2).alias("cv")
     stats = stats.select(key, "avg_daily", "std_daily", cv, "n_days")
     return _with_event_count(stats, events, key, event_id, n_events)
 

@@ -16,8 +16,8 @@ def sample_rows(df: DataFrame, n: int = 20, order: Sequence[str] = ()) -> DataFr
     Without ``order`` any rows do and Spark stops after the first partitions;
     with it the extract is repeatable and each task sends at most ``n`` rows.
     """
-    picked = df.orderBy(*[F.asc_nulls_last(c) for c in order]) if order else df
-    return picked.limit(n).select(*[text_of(F.col(c)).alias(c) for c in df.columns])
+    picked = df.orderBy(*[F.col(f"`{c}`").asc_nulls_last() for c in order]) if order else df
+    return picked.limit(n).select(*[text_of(F.col(f"`{c}`")).alias(c) for c in df.columns])
 
 
 def sample_for_keys(

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 from functools import partial
+from threading import Lock
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -21,27 +22,53 @@ def write_report_set(
 ) -> DataFrame:
     """Statistics, profiles, incident queries and samples; one status line per report.
 
-    ``tables`` are the role tables at hand. A table that cannot be read is left out of the
-    statistics and shows as failed in its sample; a report that needs it fails alone.
+    ``tables`` are the role tables at hand. Statistics, profiles and samples are made table by
+    table, so one that cannot be read fails in its own lines alone, as does a query that needs it.
     """
-    here = _readable(tables)
-    facts = {n: df for n, df in here.items() if n != HUB and KEY in df.columns}
+    busiest = _Once(lambda: _at_hand(top_keys(tables["incident"], KEY, 5)))
     named = {
-        "table_stats": lambda: table_stats(here, KEY, TIME_COLS),
-        "table_inventory": lambda: table_inventory(here),
-        "key_match": lambda: key_match(tables[HUB], facts, KEY),
-        "categorical_distributions": lambda: profile_categories(here, SPECS),
-        "numerical_distributions": lambda: profile_numbers(here, SPECS),
-        "top_incident_projects": lambda: top_keys(tables["incident"], KEY, 5),
+        "key_match": lambda: key_match(tables[HUB], _facts(tables), KEY),
+        "top_incident_projects": busiest,
     }
     for name, query in INCIDENT_QUERIES.items():
         named[name] = partial(query, tables)
     for name in tables:
+        one = partial(_only, tables, name)
+        named[f"table_stats_{name}"] = lambda one=one: table_stats(one(), KEY, TIME_COLS)
+        named[f"table_inventory_{name}"] = lambda one=one: table_inventory(one())
+        named[f"categorical_distributions_{name}"] = lambda one=one: profile_categories(one(), SPECS)
+        named[f"numerical_distributions_{name}"] = lambda one=one: profile_numbers(one(), SPECS)
         named[f"sample_{name}"] = partial(_some_rows, tables, name)
-        named[f"sample_top_projects_{name}"] = partial(_of_top_projects, tables, name)
+        named[f"sample_top_projects_{name}"] = partial(_of_top_projects, tables, name, busiest)
     return run_suite(spark, named, path, at_once)
 
 
+class _Once:
+    """A value that several reports use, made by the first that asks; a failure is not kept."""
+
+    def __init__(self, make):
+        self._make, self._lock, self._made = make, Lock(), []
+
+    def __call__(self):
+        with self._lock:
+            if not self._made:
+                self._made.append(self._make())
+            return self._made[0]
+
+
+def _at_hand(df: DataFrame) -> DataFrame:
+    """A table cut to a few rows, as a table of the driver."""
+    return df.sparkSession.createDataFrame(df.collect(), df.schema)
+
+
+def _only(tables: Mapping[str, DataFrame], name: str) -> dict[str, DataFrame]:
+    return {name: tables[name]}
+
+
+def _facts(tables: Mapping[str, DataFrame]) -> dict[str, DataFrame]:
+    return {n: df for n, df in _readable(tables).items() if n != HUB and KEY in df.columns}
+
+
 def _readable(tables: Mapping[str, DataFrame]) -> dict[str, DataFrame]:
     opened = {}
     for name in tables:
@@ -56,5 +83,5 @@ def _some_rows(tables: Mapping[str, DataFrame], name: str) -> DataFrame:
     return sample_rows(tables[name], 20)
 
 
-def _of_top_projects(tables: Mapping[str, DataFrame], name: str) -> DataFrame:
-    return sample_for_keys(tables[name], top_keys(tables["incident"], KEY, 5), KEY, 200)
+def _of_top_projects(tables: Mapping[str, DataFrame], name: str, busiest: _Once) -> DataFrame:
+    return sample_for_keys(tables[name], busiest(), KEY, 200)

@@ -9,6 +9,7 @@ from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from hubtrace.sources.export import message_of
 from hubtrace.sources.report import write_report
 
 
@@ -35,7 +36,7 @@ def run_suite(
                 write_report(out, f"{path.rstrip('/')}/{name}")
             return name, "ok", seen.get["rows"], None
         except Exception as e:  # noqa: BLE001 - the status line reports it
-            return name, "error", None, str(e).splitlines()[0]
+            return name, "error", None, message_of(e)
 
     with ThreadPoolExecutor(at_once) as pool:
         lines = list(pool.map(inheritable_thread_target(spark)(run), named))

@@ -43,7 +43,7 @@ def raw(spark: SparkSession, base: str, *names: str) -> Tables:
 
 
 def star(spark: SparkSession, base: str) -> Tables:
-    """The role tables of ``construction.SPECS`` that the test tables can fill."""
+    """All role tables of ``construction.SPECS``, filled from the test tables."""
     t = raw(spark, base, "customer", "orders", "events")
     return Tables({role: partial(view, t) for role, view in _VIEWS.items()})
 
@@ -95,7 +95,7 @@ def _site_log(t: Tables) -> DataFrame:
         _day("dt_log_date"),
         "event_type AS cat_trade",
         "CAST(floor(value / 10) AS INT) AS ids_vendor",
-        "value AS n_workers_total",
+        "CAST(value AS DECIMAL(18, 6)) AS n_workers_total",  # sums do not depend on their order
     )
 
 
@@ -125,6 +125,27 @@ def _timecard(t: Tables) -> DataFrame:
     return _events(t, "event_type = 'purchase'", _day("dt_item_date"))
 
 
+def _hours_weekly(t: Tables) -> DataFrame:
+    return _events(t, "event_type = 'click'", _day("dt_date"), "value AS n_hours")
+
+
+def _schedules(t: Tables, status: str, day: str) -> DataFrame:
+    return t["orders"].where(f"o_orderstatus = '{status}'").selectExpr(
+        "CAST(o_orderkey AS STRING) AS cat_schedule_code",
+        f"o_custkey AS {KEY}",
+        f"CAST(o_orderdate AS DATE) AS {day}",
+        "o_totalprice AS amt_cost",
+    )
+
+
+def _schedule_update(t: Tables) -> DataFrame:
+    return _schedules(t, "O", "dt_snapshot")
+
+
+def _schedule_baseline(t: Tables) -> DataFrame:
+    return _schedules(t, "F", "dt_effective_from")
+
+
 _VIEWS = {
     "hub": _hub,
     "project_daily": _project_daily,
@@ -133,6 +154,9 @@ _VIEWS = {
     "observation": _observation,
     "task_update": _task_update,
     "timecard": _timecard,
+    "hours_weekly": _hours_weekly,
+    "schedule_update": _schedule_update,
+    "schedule_baseline": _schedule_baseline,
 }
 
 

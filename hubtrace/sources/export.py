@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Mapping
+from collections.abc import Iterable, Iterator, Mapping
 from concurrent.futures import ThreadPoolExecutor
+from contextlib import contextmanager, nullcontext
 
 from pyspark import inheritable_thread_target
 from pyspark.errors import AnalysisException
@@ -18,24 +19,51 @@ def conform_for_export(df: DataFrame) -> DataFrame:
     """Cast to types every Parquet reader takes, decided by the schema alone.
 
     Decimals become doubles, bytes become text with bad sequences replaced, and
-    types Parquet cannot hold become text. Dates and timestamps stay.
+    types Parquet cannot hold become text; so do those inside arrays, maps and structs.
+    Dates and timestamps stay.
     """
-    return df.select(*[_exportable(f).alias(f.name) for f in df.schema.fields])
+    return df.select(
+        *[_exportable(F.col(f"`{f.name}`"), f.dataType).alias(f.name) for f in df.schema.fields]
+    )
 
 
-def _exportable(field: T.StructField) -> Column:
-    value = F.col(f"`{field.name}`")
-    if isinstance(field.dataType, T.DecimalType):
+def _exportable(value: Column, kind: T.DataType) -> Column:
+    if isinstance(kind, T.DecimalType):
         return value.cast("double")
-    if isinstance(field.dataType, T.BinaryType):
+    if isinstance(kind, T.BinaryType):
         return F.make_valid_utf8(value.cast("string"))
-    if isinstance(field.dataType, (T.NullType, T.CalendarIntervalType)):
+    if isinstance(kind, (T.NullType, T.CalendarIntervalType)):
         return value.cast("string")
-    if isinstance(field.dataType, T.VariantType):
+    if isinstance(kind, T.VariantType):
         return F.to_json(value)
+    if isinstance(kind, T.ArrayType):
+        return F.transform(value, lambda x: _exportable(x, kind.elementType))
+    if isinstance(kind, T.MapType):
+        keys = F.transform_keys(value, lambda k, _: _exportable(k, kind.keyType))
+        return F.transform_values(keys, lambda _, v: _exportable(v, kind.valueType))
+    if isinstance(kind, T.StructType):
+        parts = [_exportable(value.getField(f.name), f.dataType).alias(f.name) for f in kind.fields]
+        return F.when(value.isNotNull(), F.struct(*parts))
     return value
 
 
+@contextmanager
+def microseconds(spark: SparkSession) -> Iterator[None]:
+    """Let Parquet writes of the session store timestamps in microseconds, then restore its setting."""
+    name = "spark.sql.parquet.outputTimestampType"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "TIMESTAMP_MICROS")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+def message_of(error: Exception) -> str:
+    """First line of an error's text, or its type if it has none."""
+    return next(iter(str(error).splitlines()), type(error).__name__)
+
+
 def part_files(spark: SparkSession, path: str) -> DataFrame:
     """Part files of a table in name order with their sizes; empty if there is none."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet")
@@ -48,11 +76,16 @@ def part_files(spark: SparkSession, path: str) -> DataFrame:
 
 
 def export_table(
-    df: DataFrame, path: str, max_rows: int = ROWS_PER_PART, if_exists: str = "skip"
+    df: DataFrame,
+    path: str,
+    max_rows: int = ROWS_PER_PART,
+    if_exists: str = "skip",
+    set_up: bool = True,
 ) -> int | None:
     """Write a table as snappy Parquet with at most ``max_rows`` rows per part.
 
-    Rows are counted by the write itself. With ``if_exists="skip"`` a folder that
+    Timestamps are stored in microseconds; ``set_up=False`` leaves that to a caller who has set
+    the session up already. Rows are counted by the write itself. With ``if_exists="skip"`` a folder that
     already holds a part is left alone and the result is None; an empty folder is
     written to. A write that fails commits no part, so a rerun does not skip it.
     """
@@ -62,14 +95,15 @@ def export_table(
     if if_exists == "skip" and not part_files(spark, path).isEmpty():
         return None
     seen = Observation()
-    (
-        conform_for_export(df)
-        .observe(seen, F.count(F.lit(1)).alias("rows"))
-        .write.mode("overwrite")
-        .option("compression", "snappy")
-        .option("maxRecordsPerFile", max_rows)
-        .parquet(path)
-    )
+    with microseconds(spark) if set_up else nullcontext():
+        (
+            conform_for_export(df)
+            .observe(seen, F.count(F.lit(1)).alias("rows"))
+            .write.mode("overwrite")
+            .option("compression", "snappy")
+            .option("maxRecordsPerFile", max_rows)
+            .parquet(path)
+        )
     return seen.get["rows"]
 
 
@@ -85,22 +119,30 @@ def export_tables(
     """Export tables, ``at_once`` at a time; one that fails does not stop the rest.
 
     Returns ``(table, rows, bytes, status)`` with a TOTAL line. Skipped and failed tables
-    show 0 rows; ``bytes`` is what their folder holds.
+    show 0 rows; ``bytes`` is what their folder holds. Names in ``only`` that are no table are
+    reported as errors.
     """
 
+    known = list(tables)
+    chosen = known if only is None else list(dict.fromkeys(only))
+
     def export(name: str) -> tuple[str, int, int, str]:
         path = f"{base.rstrip('/')}/{name}"
         try:
-            rows = export_table(tables[name], path, max_rows, if_exists)
+            if name not in known:
+                return name, 0, 0, "error: no such table"
+            rows = export_table(tables[name], path, max_rows, if_exists, set_up=False)
             status = "ok" if rows is not None else "skipped"
         except Exception as e:  # noqa: BLE001 - the status line reports it
-            rows, status = None, f"error: {str(e).splitlines()[0]}"
-        size = part_files(spark, path).agg(F.sum("bytes").alias("b")).first()["b"]
+            rows, status = None, f"error: {message_of(e)}"
+        try:
+            size = part_files(spark, path).agg(F.sum("bytes").alias("b")).first()["b"]
+        except Exception as e:  # noqa: BLE001 - the status line reports it
+            size, status = None, f"error: {message_of(e)}"
         return name, rows or 0, size or 0, status
 
-    chosen = set(tables if only is None else only)
-    with ThreadPoolExecutor(at_once) as pool:
-        names = [n for n in tables if n in chosen]
+    names = [n for n in known if n in chosen] + [n for n in chosen if n not in known]
+    with microseconds(spark), ThreadPoolExecutor(at_once) as pool:
         lines = list(pool.map(inheritable_thread_target(spark)(export), names))
     lines.append(("TOTAL", sum(r[1] for r in lines), sum(r[2] for r in lines), ""))
     return spark.createDataFrame(lines, "table string, rows bigint, bytes bigint, status string")

@@ -77,7 +77,7 @@ def annotate(df: DataFrame, spec: TableSpec = TableSpec()) -> DataFrame:
     columns = []
     for f in df.schema.fields:
         meta = {**(f.metadata or {}), "semantic_type": semantic_type(f.name, f.dataType, spec)}
-        columns.append(F.col(f.name).alias(f.name, metadata=meta))
+        columns.append(F.col(f"`{f.name}`").alias(f.name, metadata=meta))
     return df.select(*columns)
 
 
@@ -85,7 +85,7 @@ def conform(df: DataFrame, spec: TableSpec = TableSpec()) -> DataFrame:
     """Cast every column to its ingested type."""
     return df.select(
         *[
-            F.col(f.name)
+            F.col(f"`{f.name}`")
             .cast(ingested_type(semantic_type(f.name, f.dataType, spec), f.dataType))
             .alias(f.name)
             for f in df.schema.fields

@@ -2,31 +2,27 @@
 
 from __future__ import annotations
 
+import atexit
+import re
+import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 
 
 def scratch_dir(spark: SparkSession) -> str:
     """A new folder name below the shared folder the session names.
 
-    Only a local session without ``spark.checkpoint.dir`` gets a folder of this machine;
-    on a cluster other machines could not read it, so there it is an error.
+    Only a session that runs in one process (``local`` or ``local[...]``) may go without
+    ``spark.checkpoint.dir``: it gets a folder of this machine that is deleted on exit. On a
+    cluster, a local one too, other processes could not read it, so there it is an error.
     """
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if shared:
         return f"{shared.rstrip('/')}/hubtrace-{uuid.uuid4().hex}"
-    if not spark.conf.get("spark.master", "").startswith("local"):
+    if not re.fullmatch(r"local(\[.*\])?", spark.conf.get("spark.master", "")):
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-    return tempfile.mkdtemp(prefix="hubtrace-")
-
-
-def settle(df: DataFrame) -> DataFrame:
-    """Write an intermediate table once and go on from what was written.
-
-    Later steps then neither repeat the work behind it nor lose it with an executor.
-    """
-    path = f"{scratch_dir(df.sparkSession)}/settled"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    path = tempfile.mkdtemp(prefix="hubtrace-")
+    atexit.register(shutil.rmtree, path, ignore_errors=True)
+    return path

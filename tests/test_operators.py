@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from compare import of_frame
 from hubtrace import operators as ops
-from hubtrace.functions import bucketize, safe_ratio, steady_round
+from hubtrace.operators import percentiles
+from hubtrace.functions import bucketize, safe_ratio
 from hubtrace.plans import incidents
 
 
@@ -55,9 +56,12 @@ def test_safe_ratio(spark):
     assert got == [None, None, 0.33]
 
 
-def test_noise_does_not_decide_a_half(spark):
-    df = spark.createDataFrame([(60.949999999999996,), (60.95,), (60.9499,)], "x double")
-    assert [r[0] for r in df.select(steady_round(F.col("x"), 1)).collect()] == [61.0, 61.0, 60.9]
+def test_means_are_rounded_once(spark):
+    """As ROUND does it: just below a half goes down."""
+    logs = spark.createDataFrame([("a", d(0), 0.0499999999999), ("b", d(0), 0.05)], "k string, t date, w double")
+    none = spark.createDataFrame([], "k string, i string")
+    got = ops.activity_density(logs, none, "k", "t", "w", "i")
+    assert rows(got.select("k", "mean_value")) == [("a", 0.0), ("b", 0.1)]
 
 
 # --- latest ------------------------------------------------------------------------
@@ -138,7 +142,7 @@ def test_sites_add_up_to_distinct_ids(spark):
         ("a", d(0), 1, 3), ("b", d(0), 0, 1), ("b", d(1), 1, 2),
     ]
     assert rows(roaming, "i", "k", "t", "_rows") == [("two", "a", d(0), 1), ("two", "b", d(0), 1)]
-    assert ops.event_sites(events.where("i = 'one'"), ["k", "t"], "i")[1] is None
+    assert ops.event_sites(events.where("i = 'one'"), ["k", "t"], "i")[1].count() == 0
 
 
 def test_weight_repeats_per_matching_event_row(spark):
@@ -285,6 +289,24 @@ def test_percentiles_of_crowded_values(spark):
         assert down[f"p{round(p * 100)}"] == nth([-x for x in values], p)
 
 
+def test_percentiles_of_a_crowd_next_to_one_outlier(spark, monkeypatch):
+    """No step counts the single values of a part: each has at most 2^16 counters."""
+    n = 200_000
+    df = spark.range(n).select((1 + F.col("id") * 1e-14).alias("x")).union(spark.createDataFrame([(1.01,)], "x double"))
+    most, real = [], percentiles._locate
+
+    def seen(values, at, inside, part):
+        counters = values.groupBy(*inside, part).count().groupBy(*inside).count()
+        most.append(counters.agg(F.max("count")).first()[0])
+        return real(values, at, inside, part)
+
+    monkeypatch.setattr(percentiles, "_locate", seen)
+    line = ops.numeric_profile(df, ["x"]).first()
+    values = [1 + k * 1e-14 for k in range(n)] + [1.01]
+    assert [line[f"p{p}"] for p in (25, 50, 75, 95, 99)] == [nth(values, p / 100) for p in (25, 50, 75, 95, 99)]
+    assert most and max(most) <= 1 << 16
+
+
 def test_percentiles_of_special_values_and_empty_table(spark):
     inf = float("inf")
     data = [(x,) for x in (-inf, -1e308, -5e-324, 0.0, 5e-324, 2.0, 1.7e308, inf, float("nan"))]

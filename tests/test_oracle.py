@@ -8,7 +8,7 @@ from compare import canonical, of_frame
 from hubtrace.plans.testdata import TABLES
 
 SF = "/root/testdata/sf0.01"
-QUERIES, SQL = entry.queries(), entry.oracle_sql()
+QUERIES, SQL = {**entry.CORRELATIONS, **entry.PREPARATION}, entry.oracle.ORACLE
 
 
 @pytest.fixture(scope="module")

@@ -11,7 +11,7 @@ from hubtrace.plans import INCIDENT_QUERIES, testdata, write_report_set
 from hubtrace.sources import Tables
 
 SF = "/root/testdata/sf0.001"
-QUERIES = entry.queries()
+QUERIES = {**entry.CORRELATIONS, **entry.PREPARATION}
 
 
 def plan_of(df):
@@ -42,6 +42,51 @@ def test_no_products_and_no_python_rows(shuffled, name):
     assert "EvalPython" not in plan and "InPandas" not in plan
 
 
+@pytest.fixture
+def jobs(spark):
+    """Counts the jobs that a call starts."""
+    tracker = spark.sparkContext.statusTracker()
+
+    def count(call):
+        spark.sparkContext.setJobGroup("counted", "")
+        try:
+            call()
+            return len(tracker.getJobIdsForGroup("counted"))
+        finally:
+            spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+    return count
+
+
+@pytest.mark.parametrize(
+    "name", sorted(set(entry.CORRELATIONS) | {"band_join", "cooccurrence_brands", "label_table", "fk_edges"})
+)
+def test_building_a_plan_runs_no_job(spark, jobs, name):
+    assert jobs(lambda: QUERIES[name](spark, SF)) == 0
+
+
+@pytest.mark.parametrize("name", ["severity_vs_events", "slack_vs_events", "event_rate_by_attr_ratio"])
+def test_events_are_shuffled_on_their_id_once(shuffled, name):
+    df = QUERIES[name](shuffled, SF)
+    df.collect()
+    assert "ReusedExchange" in plan_of(df)
+
+
+def test_cooccurrence_has_one_plan(spark):
+    df = spark.createDataFrame([("a", 1, "x")], "k string, t int, x string").withColumn("t", F.current_date())
+    one, many = (
+        re.sub(r"#\d+L?|plan_id=\d+|/ \d+", "", plan_of(ops.cooccurrence(df, "k", "t", "x", 8, crowd=c))) for c in (1, 1000)
+    )
+    assert one == many
+
+
+def test_labels_are_distinct_before_they_meet_the_anchors(shuffled):
+    plan = plan_of(QUERIES["label_table"](shuffled, SF)).split("== Initial Plan ==")[-1]
+    for part in re.findall(r"Exchange hashpartitioning\(_day#.*", plan):
+        assert part
+    assert re.search(r"Exchange hashpartitioning\(ids_project_number#\d+L?, _day#", plan)
+
+
 def test_profile_reads_a_table_once(spark):
     lines = testdata.raw(spark, SF, "lineitem")["lineitem"]
     cols = ["l_returnflag", "l_linestatus", "l_shipdate"]
@@ -83,7 +128,7 @@ def test_report_set(spark, tmp_path):
     done = {r["name"]: r for r in write_report_set(spark, tables, str(tmp_path)).collect()}
     assert {r["status"] for r in done.values()} == {"ok"}
     assert set(INCIDENT_QUERIES) <= set(done)
-    assert spark.read.json(str(tmp_path / "table_stats")).count() == len(tables)
+    assert all(spark.read.json(str(tmp_path / f"table_stats_{t}")).count() == 1 for t in tables)
     assert spark.read.json(str(tmp_path / "sample_top_projects_hub")).count() == 5
 
 
@@ -95,5 +140,17 @@ def test_report_set_without_a_table(spark, tmp_path):
     )
     done = {r["name"]: r["status"] for r in write_report_set(spark, some, str(tmp_path)).collect()}
     assert done["incident_rate_by_project"] == "ok"
-    assert done["table_stats"] == "ok"
-    assert done["incidents_by_trade"] == done["sample_site_log"] == "error"
+    assert done["table_stats_incident"] == done["categorical_distributions_hub"] == "ok"
+    assert done["incidents_by_trade"] == done["sample_site_log"] == done["table_stats_site_log"] == "error"
+
+
+def test_report_set_with_a_corrupt_file(spark, tmp_path):
+    star = testdata.star(spark, SF)
+    bad = tmp_path / "bad"
+    star["site_log"].write.parquet(str(bad))
+    for part in bad.glob("*.parquet"):
+        part.write_bytes(b"PAR1 this is no file PAR1")
+    tables = {"hub": star["hub"], "incident": star["incident"], "site_log": spark.read.schema(star["site_log"].schema).parquet(str(bad))}
+    done = {r["name"]: r["status"] for r in write_report_set(spark, tables, str(tmp_path / "out")).collect()}
+    assert done["numerical_distributions_site_log"] == done["sample_site_log"] == "error"
+    assert done["categorical_distributions_incident"] == done["table_stats_hub"] == "ok"

@@ -4,10 +4,12 @@ import datetime
 import decimal
 import os
 
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from hubtrace import operators as ops
 from hubtrace import sources
 from hubtrace.plans import SPECS, profile_categories, profile_numbers, run_suite
 from hubtrace.sources import TableSpec
@@ -132,8 +134,44 @@ def test_scratch_folder_comes_from_the_session(spark):
     assert first.startswith("s3a://shared/tmp/hubtrace-") and first != second
     with pytest.raises(RuntimeError):
         sources.scratch_dir(Session(spark_master="yarn"))
+    with pytest.raises(RuntimeError):
+        sources.scratch_dir(Session(spark_master="local-cluster[2,1,512]"))
     assert os.path.isdir(sources.scratch_dir(Session(spark_master="local[2]")))
-    assert sources.settle(spark.range(3)).count() == 3
+
+
+def test_errors_without_text_do_not_stop_the_rest(spark, tmp_path):
+    def fail():
+        raise ValueError
+
+    done = run_suite(spark, {"bad": fail, "good": lambda: spark.range(3)}).collect()
+    assert [tuple(r) for r in done] == [("bad", "error", None, "ValueError"), ("good", "ok", 3, None)]
+    tables = sources.Tables({"bad": fail, "good": lambda: spark.range(3)})
+    lines = {r["table"]: r for r in sources.export_tables(spark, tables, str(tmp_path), only=["good", "bad", "none"]).collect()}
+    assert lines["good"]["rows"] == 3 and lines["bad"]["status"] == "error: ValueError"
+    assert lines["none"]["status"] == "error: no such table" and lines["TOTAL"]["rows"] == 3
+
+
+def test_exported_types_of_the_file_itself(spark, tmp_path):
+    df = spark.sql("""
+        SELECT TIMESTAMP '2024-01-02 03:04:05.123456' AS t, array(CAST(1.5 AS DECIMAL(9, 2))) AS a,
+               named_struct('b', CAST('x' AS BINARY), 'n', CAST(2 AS DECIMAL(5))) AS s,
+               map('k', CAST(3 AS DECIMAL(4, 1))) AS m, CAST(NULL AS STRUCT<d: DECIMAL(3)>) AS e""")
+    before = spark.conf.get("spark.sql.parquet.outputTimestampType")
+    assert sources.export_table(df, str(tmp_path / "t")) == 1
+    assert spark.conf.get("spark.sql.parquet.outputTimestampType") == before
+    [part] = (tmp_path / "t").glob("*.parquet")
+    schema = pq.read_schema(part)
+    assert str(schema.field("t").type).startswith("timestamp[us")
+    assert "decimal" not in str(schema) and "binary" not in str(schema)
+    row = spark.read.parquet(str(tmp_path / "t")).first()
+    assert (row["a"], tuple(row["s"]), row["m"], row["e"]) == ([1.5], ("x", 2.0), {"k": 3.0}, None)
+
+
+def test_column_names_with_dots(spark):
+    df = spark.createDataFrame([(1.0, "x")], "`a.b` double, `c.d` string")
+    assert ops.numeric_profile(df, ["a.b"]).first()["column"] == "a.b"
+    assert ops.categorical_profile(df, ["c.d"]).first()["value"] == "x"
+    assert ops.sample_rows(df, 1, ["a.b"]).columns == sources.conform(df).columns == ["a.b", "c.d"]
 
 
 # --- schema ------------------------------------------------------------------------
