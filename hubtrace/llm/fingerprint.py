@@ -15,6 +15,8 @@ Only built-in functions are used.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -29,22 +31,18 @@ def _exact_lanes(text: Column) -> Column:
     """Hex of the EXACT lanes of a text, 8 digits a lane."""
     paragraphs = F.transform(lines_with_words(text), lambda p: F.trim(p, F.lit(BLANKS)))
 
+    def lane(p: Column, seed: int, part: Callable[[Column], Column]) -> Column:
+        total = F.aggregate(
+            F.transform(p, lambda x: F.xxhash64(x, F.lit(seed))),
+            F.lit(0).cast("long"),
+            lambda a, h: (a + part(h)).bitwiseAND(F.lit(_LOW)),
+        )
+        return F.lpad(F.hex(total), 8, "0")
+
+    halves = (lambda h: h.bitwiseAND(F.lit(_LOW)), lambda h: F.shiftrightunsigned(h, 32))
+
     def lanes(p: Column) -> list[Column]:
-        found = []
-        for seed in range(EXACT // 2):
-            def add(part):
-                total = F.aggregate(
-                    F.transform(p, lambda x, seed=seed: F.xxhash64(x, F.lit(seed))),
-                    F.lit(0).cast("long"),
-                    lambda a, h: (a + part(h)).bitwiseAND(F.lit(_LOW)),
-                )
-                return F.lpad(F.hex(total), 8, "0")
-
-            found += [
-                add(lambda h: h.bitwiseAND(F.lit(_LOW))),
-                add(lambda h: F.shiftrightunsigned(h, 32)),
-            ]
-        return found
+        return [lane(p, seed, part) for seed in range(EXACT // 2) for part in halves]
 
     return let(paragraphs, lambda p: F.concat(*lanes(p)))
 
@@ -62,7 +60,7 @@ def _runs(text: Column) -> Column:
 def fingerprints(texts: DataFrame, keys: list[str], text_col: str) -> DataFrame:
     """Rows (*keys, exact, lanes): one per distinct value of `keys`, which must fix the text.
 
-    exact is hex; lanes is an array of LIKENESS numbers below 2^16. Rows that agree in
+    exact is hex; lanes is an array of LIKENESS numbers modulo 2^16, as signed 16-bit numbers. Rows that agree in
     all keys are taken as one. If the rows are already dealt by some of the keys, nothing
     is shuffled.
     """
@@ -88,7 +86,7 @@ def fingerprints(texts: DataFrame, keys: list[str], text_col: str) -> DataFrame:
     rows = F.col("_all") - F.col("_n")
 
     def lane(ones: Column) -> Column:
-        return F.pmod(F.floor((2 * ones - F.col("_n")) / rows), F.lit(1 << 16)).cast("int")
+        return _wrapped(F.floor((2 * ones - F.col("_n")) / rows))
 
     lanes = []
     for seed in range(LIKENESS // 64):
@@ -98,14 +96,20 @@ def fingerprints(texts: DataFrame, keys: list[str], text_col: str) -> DataFrame:
     return counted.select(*keys, "exact", F.array(*lanes).alias("lanes"))
 
 
+def _wrapped(x: Column) -> Column:
+    """A number modulo 2^16, as the signed 16-bit number that stands for it."""
+    return (F.pmod(x + F.lit(1 << 15), F.lit(1 << 16)) - F.lit(1 << 15)).cast("smallint")
+
+
 def printed(exact: Column, lanes: Column) -> Column:
     """A fingerprint as hex: the exact lanes, then 4 digits a likeness lane."""
-    return F.lower(F.concat(exact, F.array_join(F.transform(lanes, lambda x: F.lpad(F.hex(x), 4, "0")), "")))
+    digits = lambda x: F.lpad(F.hex(F.pmod(x.cast("int"), F.lit(1 << 16))), 4, "0")
+    return F.lower(F.concat(exact, F.array_join(F.transform(lanes, digits), "")))
 
 
 def combined(a: Column, b: Column, sign: int = 1) -> Column:
     """Likeness lanes after inserting (sign 1) or deleting (sign -1) what b stands for."""
-    return F.zip_with(a, b, lambda x, y: F.pmod(x + sign * y, F.lit(1 << 16)))
+    return F.zip_with(a, b, lambda x, y: _wrapped(x.cast("int") + sign * y.cast("int")))
 
 
 def likeness(exact_a: Column, lanes_a: Column, exact_b: Column, lanes_b: Column) -> Column:
@@ -114,8 +118,9 @@ def likeness(exact_a: Column, lanes_a: Column, exact_b: Column, lanes_b: Column)
     |a - b|^2 / (|a|^2 + |b|^2) is 0 for equal vectors and about 1 for two that
     share no run.
     """
-    signed = lambda x: F.when(x >= 1 << 15, x - (1 << 16)).otherwise(x).cast("double")
-    square = lambda v: F.aggregate(v, F.lit(0.0), lambda s, x: s + signed(x) * signed(x))
+    square = lambda v: F.aggregate(
+        v, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")
+    )
     apart = square(combined(lanes_a, lanes_b, -1))
     total = square(lanes_a) + square(lanes_b)
     share = F.greatest(F.lit(0.0), F.lit(1.0) - apart / F.nullif(total, F.lit(0.0)))

@@ -85,7 +85,7 @@ def test_order_and_equality(spark):
 
 def test_inserting_and_deleting_paragraphs(spark):
     whole, part, rest = prints(spark, ["a b c d\ne f\ng h i", "a b c d\ng h i", "e f"])
-    frame = spark.createDataFrame([(whole["lanes"], part["lanes"], rest["lanes"])], "w array<int>, p array<int>, r array<int>")
+    frame = spark.createDataFrame([(whole["lanes"], part["lanes"], rest["lanes"])], "w array<smallint>, p array<smallint>, r array<smallint>")
     row = frame.select(fg.combined(F.col("p"), F.col("r")).alias("more"), fg.combined(F.col("w"), F.col("r"), -1).alias("less")).first()
     assert row["more"] == whole["lanes"] and row["less"] == part["lanes"]
     for k in range(fg.EXACT):
