@@ -102,7 +102,7 @@ LABELS = len(KINDS) + 1  # 0: none
 
 
 def _features(word: str, run_digits: int, run_plus: bool, first: bool, last: bool) -> tuple[int, int]:
-    """Bits of FEATURES, and bits of the labels the word may have at all."""
+    """Bits of FEATURES, and bits of the labels that the form of the word allows."""
     digits = digits_of(word)
     n = len(digits)
     dots = word.count(".")
@@ -154,9 +154,15 @@ class Graph:
             else:
                 runs.append([(k, m)])
         last_seen: dict[tuple[str, str], int] = {}
+        # What the runs of a word and of those like it show: a plus, a valid card number.
+        shown: dict[tuple[str, str], int] = {}
+        keys_of: list[set[tuple[str, str]]] = []
+        base = len(self.doc)
         for run in runs:
             run_digits = sum(len(digits_of(m[0])) for _, m in run)
             run_plus = any(m[0][0] == "+" for _, m in run)
+            all_digits = "".join(digits_of(m[0]) for _, m in run)
+            proof = (13 <= run_digits <= 19 and luhn(all_digits)) << 3 | run_plus << 4
             for at, (_, m) in enumerate(run):
                 node, word = len(self.doc), m[0]
                 bits, allowed = _features(word, run_digits, run_plus, at == 0, at == len(run) - 1)
@@ -171,6 +177,15 @@ class Graph:
                 linked = {last_seen[k] for k in keys if k in last_seen}
                 self.links += [(other, node) for other in sorted(linked)]
                 last_seen |= dict.fromkeys(keys, node)
+                keys_of.append(keys)
+                for k in keys:
+                    shown[k] = shown.get(k, 0) | proof
+        # A number without such a sign, here or where it is repeated, is no card and no phone.
+        for k, keys in enumerate(keys_of):
+            signs = 0b111
+            for key in keys:
+                signs |= shown[key]
+            self.allowed[base + k] &= signs
 
     def matrix(self) -> np.ndarray:
         bits = np.array(self.features, dtype=np.int64)[:, None] >> np.arange(len(FEATURES))
