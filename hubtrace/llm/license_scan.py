@@ -136,8 +136,7 @@ def license_scan(
             "_found": F.when(hit, F.array_append("_found", F.lit(name))).otherwise(F.col("_found")),
         })
 
-    known, unknown = out.where(F.size("identifiers") > 0), out.where(F.size("identifiers") == 0)
-    done = reduce(apply, rules, known).unionByName(unknown)
+    done = reduce(apply, rules, out)
     left = F.length("_left") - F.length(F.replace(F.col("_left"), F.lit("<"), F.lit("")))
     return done.select(
         id_col, "identifiers", F.array_distinct("_found").alias("licences"), left.cast("long").alias("n_left")
