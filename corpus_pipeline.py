@@ -34,8 +34,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without passages that an earlier one holds; those of which no word is left go."""
-    done = lines.line_dedup(docs).where(~F.col("emptied"))
-    return _with_text(done, "text").select(*docs.columns)
+    return _with_text(lines.without_repeats(docs), "text")
 
 
 def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

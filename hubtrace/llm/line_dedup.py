@@ -244,30 +244,46 @@ def repeated_lines(
     return joined.select(F.col("doc.id").alias(id_col), F.col("doc.h").alias("hash"), "lines")
 
 
-def line_dedup(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, salts: int = SALTS
-) -> DataFrame:
-    """The rows of `docs` with passages deleted that an earlier document holds.
-
-    All columns stay; the text column is replaced; deleted_lines (array of line
-    numbers) and emptied (no word is left of a text that had some) are added in
-    front of nothing else, under these names even if `docs` has such columns, which
-    are then replaced. A text that loses nothing stays as it is, null included. Copies of
-    a row are treated alike: a document is never deleted in favour of itself. An
-    empty table gives no rows.
-    """
+def _marked(docs: DataFrame, id_col: str, text_col: str, min_words: int, salts: int) -> DataFrame:
+    """The rows of `docs` with the text cut, and _found_lines and _found_empty besides."""
     found = repeated_lines(docs, id_col, text_col, min_words, salts).select(
         F.col(id_col).alias("_found_id"), F.col("hash").alias("_found_hash"), F.col("lines").alias("_found_lines")
     )
-    kept = docs.drop("deleted_lines", "emptied")
     own = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
-    joined = kept.withColumn("_found_own", own).join(
+    joined = docs.withColumn("_found_own", own).join(
         found, (F.col("_found_own") == F.col("_found_hash")) & F.col(id_col).eqNullSafe(F.col("_found_id")), "left"
     )
     lines = F.split(F.col(text_col), "\n", -1)
     left = F.filter(lines, lambda x, k: ~F.array_contains(F.col("_found_lines"), k))
     text = F.when(F.col("_found_lines").isNull(), F.col(text_col)).otherwise(F.array_join(left, "\n"))
-    columns = [text.alias(c) if c == text_col else F.col(f"`{c}`") for c in kept.columns]
-    out = joined.select(*columns, F.coalesce("_found_lines", F.array().cast("array<int>")).alias("deleted_lines"))
-    emptied = (F.size("deleted_lines") > 0) & (F.length(F.trim(F.col(text_col), F.lit(BLANKS))) == 0)
-    return out.withColumn("emptied", F.coalesce(emptied, F.lit(False)))
+    columns = [text.alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns]
+    wordless = F.length(F.trim(F.col(text_col), F.lit(BLANKS))) == 0
+    return joined.select(*columns, "_found_lines").withColumn(
+        "_found_empty", F.coalesce(F.col("_found_lines").isNotNull() & wordless, F.lit(False))
+    )
+
+
+def line_dedup(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, salts: int = SALTS
+) -> DataFrame:
+    """The rows of `docs` with passages deleted that an earlier document holds.
+
+    All columns stay; the text column is replaced; deleted_lines (array of line
+    numbers) and emptied (no word is left of a text that had some) are added, in place
+    of columns of these names if `docs` has any. A text that loses nothing stays
+    as it is, null included. Copies of a row are treated alike: a document is never deleted
+    in favour of itself. An empty table gives no rows.
+    """
+    out = _marked(docs.drop("deleted_lines", "emptied"), id_col, text_col, min_words, salts)
+    return out.withColumn("_found_lines", F.coalesce("_found_lines", F.array().cast("array<int>"))).withColumnsRenamed(
+        {"_found_lines": "deleted_lines", "_found_empty": "emptied"}
+    )
+
+
+def without_repeats(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, salts: int = SALTS
+) -> DataFrame:
+    """As line_dedup, with the columns of `docs` alone and without the rows that it empties."""
+    return _marked(docs, id_col, text_col, min_words, salts).where(~F.col("_found_empty")).select(
+        *[F.col(f"`{c}`") for c in docs.columns]
+    )

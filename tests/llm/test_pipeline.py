@@ -52,6 +52,7 @@ def test_stages_take_odd_and_empty_tables(spark):
             columns = docs.columns
             docs = stage(spark, docs, SF)
             assert docs.columns == columns, name
+            assert all(r[c] == "x" for r in docs.collect() for c in CLASHING), name
         corpus_pipeline.STAGES[-1][1](spark, docs, SF).collect()
 
 
