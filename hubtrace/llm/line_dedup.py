@@ -206,7 +206,7 @@ def repeated_lines(
     fields = {"place": "array<int>", "hashes": "array<long>", "words": "array<int>", "runs": "array<long>"}
     # Copies of a row are one document.
     once = map_texts(texts, "doc", "_text", make, fields).where(F.size("runs") > 0)
-    lines = settle(once)
+    lines = settle(once.dropDuplicates(["doc"]))
     keys = lines.select("doc", F.explode("runs").alias("run"))
     # Combined in the map tasks, so the documents that share a run never meet in one.
     shared = keys.groupBy("run").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("first < last")
@@ -215,9 +215,10 @@ def repeated_lines(
         keys.withColumn("salt", F.pmod(F.xxhash64("doc"), F.lit(salts)).cast("int"))
         .join(salted, ["run", "salt"]).where("first < doc").select("doc", "first").distinct()
     )
-    one = lines.dropDuplicates(["doc"])
-    later = pairs.join(one.select("doc", "place", "hashes", "words"), "doc")
-    earlier = one.select(
+    later = pairs.join(lines.select("doc", "place", "hashes", "words"), "doc")
+    # A document that many others repeat is a busy value of `first`; as both sides come straight
+    # from a shuffle, Spark can split it.
+    earlier = lines.select(
         F.col("doc").alias("first"), F.col("hashes").alias("earlier"), F.col("runs").alias("earlier_runs")
     )
     both = later.join(earlier, "first").select("doc", "place", "hashes", "words", "earlier", "earlier_runs")
