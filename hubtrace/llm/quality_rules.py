@@ -24,7 +24,8 @@ SYMBOLS = "#*$%&|<>"
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 
 BUCKETS = 16384
-THRESHOLD = -0.045
+THRESHOLD = -0.042
+PSEUDO = 100.0
 
 
 def _buckets(words: Column, buckets: int) -> Column:
@@ -44,8 +45,12 @@ def ngram_ratio(
     id_col: str = "doc_id",
     text_col: str = "text",
     buckets: int = BUCKETS,
+    pseudo: float = PSEUDO,
 ) -> list[float]:
-    """Log of trusted over raw share for each bucket, with one pseudo-count a bucket.
+    """Log of trusted over raw share for each bucket, drawn towards 0 for rare ones.
+
+    Each bucket of the raw corpus gets `pseudo` more counts, and each of the target as many in
+    proportion to its size, so both stay multinomials and what was hardly ever seen says little.
 
     `trusted` lists ids; rows of `docs` with these ids form the target. Ids may
     repeat or be null (a null id is never trusted). Without trusted rows, or
@@ -59,14 +64,14 @@ def ngram_ratio(
     counted = grams.groupBy("b").agg(
         F.count(F.lit(1)).alias("raw"), F.count("_trusted").alias("target")
     )
-    raw, target = [1] * buckets, [1] * buckets
+    raw, target = [0] * buckets, [0] * buckets
     for row in counted.collect():  # at most `buckets` rows
         raw[row["b"]] += row["raw"]
         target[row["b"]] += row["target"]
-    if sum(target) == buckets:
+    if not sum(target):
         return [0.0] * buckets
-    shift = math.log(sum(raw)) - math.log(sum(target))
-    return [round(math.log(t) - math.log(r) + shift, 6) for t, r in zip(target, raw)]
+    part = sum(target) / sum(raw)
+    return [round(math.log((t / part + pseudo) / (n + pseudo)), 6) for t, n in zip(target, raw)]
 
 
 def base_counts(text: Column) -> dict[str, Column]:
