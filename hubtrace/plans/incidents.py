@@ -213,6 +213,7 @@ def timecard_overlap(t: Tables) -> DataFrame:
     )
 
 
+# The names of the queries.
 INCIDENT_QUERIES: dict[str, Callable[[Tables], DataFrame]] = {
     "incident_rate_by_project": rate_by_project,
     "incident_rate_by_market_sector": rate_by_market_sector,
