@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -18,18 +20,24 @@ BLANKS = " \t\n\x0b\x0c\r"
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, from spark.checkpoint.dir.
 
-    A local session without the setting gets a temporary folder; on a cluster
-    its absence is an error.
+    A session in one process without the setting gets a temporary folder that is deleted on
+    exit; on a cluster its absence is an error.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if base is None:
         master = spark.sparkContext.master
         if not (master == "local" or master.startswith("local[")):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        base = spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="hubtrace-llm-")
+        base = spark.sparkContext.getCheckpointDir() or _temporary()
     return base
 
 
+def _temporary() -> str:
+    path = tempfile.mkdtemp(prefix="hubtrace-llm-")
+    atexit.register(shutil.rmtree, path, ignore_errors=True)
+    return path
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
