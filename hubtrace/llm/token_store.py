@@ -58,12 +58,15 @@ class WaveletMatrix:
         zeros = np.zeros(bits, dtype="<i8")
         order = ids.astype(np.uint32 if bits > 16 else np.uint16)
         for level in range(bits):
-            bit = (order >> (bits - 1 - level)) & 1 == 1
+            bit = order & order.dtype.type(1 << (bits - 1 - level)) != 0
             packed = np.packbits(bit, bitorder="little")
             planes[level, : len(packed)] = packed
-            low = order[~bit]
+            low, high = np.flatnonzero(~bit), np.flatnonzero(bit)
             zeros[level] = len(low)
-            order = np.concatenate((low, order[bit]))
+            dealt = np.empty_like(order)
+            np.take(order, low, out=dealt[: len(low)], mode="clip")
+            np.take(order, high, out=dealt[len(low) :], mode="clip")
+            order = dealt
         ones = np.bitwise_count(planes.reshape(bits, blocks, BLOCK // 8)).sum(axis=2, dtype=np.int64)
         ranks = np.zeros((bits, blocks + 1), dtype="<i4")
         np.cumsum(ones, axis=1, out=ranks[:, 1:], dtype="<i4")
