@@ -5,73 +5,112 @@ tables: one for the raw corpus, one for its trusted part. A document's score
 is the mean log ratio of its n-grams; a fixed threshold decides on every
 document.
 
-Everything runs on built-in functions. The counts are combined inside the map
-tasks, so a shuffle carries at most `buckets` rows a task, and the driver
-receives `buckets` numbers, whatever the size of the corpus.
+Everything runs on built-in functions. The counts are a distributed table with a row for each
+distinct n-gram (64-bit hashes, no modulo), so a ratio means the same whatever the size of the
+corpus. N-grams are combined within each text and meet their ratios by a join on the hash;
+the driver receives two totals.
 """
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hubtrace.llm.common import let, lines_with_words, number_table, words_of
+from hubtrace.llm.common import let, lines_with_words, words_of
 
 #: Characters that count as symbols; limits of the base rules.
 SYMBOLS = "#*$%&|<>"
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 
-BUCKETS = 16384
+#: In nats an n-gram. As n-grams do not share counts, more text moves bad documents away from it, not towards it.
 THRESHOLD = -0.042
 PSEUDO = 100.0
 
 
-def _buckets(words: Column, buckets: int) -> Column:
-    """Bucket numbers of all words and all pairs of neighbours."""
+def _grams(words: Column, buckets: int | None) -> Column:
+    """Hashes of all words and all pairs of neighbours; modulo `buckets` where that is given."""
 
     def of(hashed: Column) -> Column:
         pair = lambda x, i: F.xxhash64(x, F.get(hashed, i + 1))
         pairs = F.transform(F.slice(hashed, 1, F.greatest(F.size(hashed) - 1, F.lit(0))), pair)
-        return F.transform(F.concat(hashed, pairs), lambda x: F.pmod(x, F.lit(buckets)).cast("int"))
+        every = F.concat(hashed, pairs)
+        return every if buckets is None else F.transform(every, lambda x: F.pmod(x, F.lit(buckets).cast("long")))
 
     return let(F.transform(words, lambda w: F.xxhash64(w)), of)
 
 
+def _combined(grams: Column) -> Column:
+    """Distinct hashes with their counts, as an array of structs (gram, n)."""
+
+    def of(s: Column) -> Column:
+        marked = F.transform(s, lambda x, k: F.struct(x.alias("gram"), (k + 1).alias("end"), F.get(s, k + 1).alias("next")))
+        last = F.filter(marked, lambda x: x["next"].isNull() | (x["next"] != x["gram"]))
+        return let(last, lambda t: F.transform(
+            t, lambda x, k: F.struct(x["gram"].alias("gram"), (
+                x["end"] - F.when(k > 0, F.get(t, k - 1)["end"]).otherwise(F.lit(0))
+            ).alias("n"))
+        ))
+
+    return let(F.sort_array(grams), of)
+
+
 def ngram_ratio(
     docs: DataFrame,
     trusted: DataFrame,
     id_col: str = "doc_id",
     text_col: str = "text",
-    buckets: int = BUCKETS,
+    buckets: int | None = None,
     pseudo: float = PSEUDO,
-) -> list[float]:
-    """Log of trusted over raw share for each bucket, drawn towards 0 for rare ones.
+) -> DataFrame:
+    """Rows (gram, ratio): log of trusted over raw share in millionths, drawn towards 0 for rare ones.
 
-    Each bucket of the raw corpus gets `pseudo` more counts, and each of the target as many in
+    Each n-gram of the raw corpus gets `pseudo` more counts, and each of the target as many in
     proportion to its size, so both stay multinomials and what was hardly ever seen says little.
+    There is a row for each distinct n-gram, or for each bucket that occurs if `buckets` is given.
 
     `trusted` lists ids; rows of `docs` with these ids form the target. Ids may
     repeat or be null (a null id is never trusted). Without trusted rows, or
-    without any word, all ratios are 0.
+    without any word in them, all ratios are 0.
     """
     ids = trusted.select(F.col(id_col).alias("_id")).where("_id IS NOT NULL").distinct()
     texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
+    ids = ids.withColumn("_trusted", F.lit(1))
     # The same join at every size: texts are dealt by id once, in whatever way labels grow.
-    marked = texts.join(ids.withColumn("_trusted", F.lit(1)).hint("merge"), "_id", "left")
-    grams = marked.select("_trusted", F.explode(_buckets(words_of(F.col("_text")), buckets)).alias("b"))
-    counted = grams.groupBy("b").agg(
+    marked = texts.join(ids.hint("merge"), "_id", "left")
+    grams = marked.select("_trusted", F.explode(_grams(words_of(F.col("_text")), buckets)).alias("gram"))
+    counted = grams.groupBy("gram").agg(
         F.count(F.lit(1)).alias("raw"), F.count("_trusted").alias("target")
     )
-    raw, target = [0] * buckets, [0] * buckets
-    for row in counted.collect():  # at most `buckets` rows
-        raw[row["b"]] += row["raw"]
-        target[row["b"]] += row["target"]
-    if not sum(target):
-        return [0.0] * buckets
-    part = sum(target) / sum(raw)
-    return [round(math.log((t / part + pseudo) / (n + pseudo)), 6) for t, n in zip(target, raw)]
+    sizes = texts.select("_id", F.size(words_of(F.col("_text"))).cast("long").alias("n"))
+    sizes = sizes.select("_id", F.when(F.col("n") > 0, 2 * F.col("n") - 1).otherwise(0).alias("n"))
+    total = sizes.join(ids.hint("merge"), "_id", "left").agg(
+        F.sum("n").alias("raw"), F.sum(F.when(F.col("_trusted") == 1, F.col("n"))).alias("target")
+    ).first()
+    if not total["target"]:
+        return counted.select("gram", F.lit(0).cast("long").alias("ratio"))
+    part = total["target"] / total["raw"]
+    ratio = F.log((F.col("target") / F.lit(part) + pseudo) / (F.col("raw") + pseudo))
+    return counted.select("gram", F.round(ratio * 1_000_000).cast("long").alias("ratio"))
+
+
+def ngram_scores(
+    docs: DataFrame, ratios: DataFrame, id_col: str = "doc_id", text_col: str = "text", buckets: int | None = None
+) -> DataFrame:
+    """Rows (_id, _own, score): the mean ratio of the n-grams of each distinct (id, text) with a word.
+
+    _own is a hash of the text. N-grams are combined within a text and meet their ratios by a
+    join on the hash. Sums are of whole numbers, so their order does not matter.
+    """
+    text = F.col("_text")
+    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).select(
+        "_id", F.xxhash64("_text").alias("_own"), F.explode(_combined(_grams(words_of(text), buckets))).alias("g")
+    )
+    # Rows that repeat add to both sums alike and leave the mean as it is.
+    met = rows.select("_id", "_own", "g.gram", "g.n").join(ratios.hint("merge"), "gram")
+    sums = met.groupBy("_id", "_own").agg(
+        F.sum(F.col("n") * F.col("ratio")).alias("sum"), F.sum("n").alias("n")
+    )
+    return sums.select("_id", "_own", F.round(F.col("sum") / F.col("n") / 1_000_000, 6).alias("score"))
 
 
 def base_counts(text: Column) -> dict[str, Column]:
@@ -176,7 +215,7 @@ def quality_rules(
     trusted: DataFrame,
     id_col: str = "doc_id",
     text_col: str = "text",
-    buckets: int = BUCKETS,
+    buckets: int | None = None,
     threshold: float = THRESHOLD,
 ) -> DataFrame:
     """One row per row of `docs`: id, base counts, score, base_failed and kept.
@@ -185,23 +224,24 @@ def quality_rules(
     or null ids are judged one by one on their own text. Columns of `docs`
     other than id and text are not used. An empty table gives no rows.
     """
-    ratios = ngram_ratio(docs, trusted, id_col, text_col, buckets)
-    table = number_table(ratios)
     text = F.col("_text")
-    score = lambda b: F.coalesce(
-        F.aggregate(b, F.lit(0.0), lambda a, x: a + F.get(table, x)) / F.nullif(F.size(b), F.lit(0)),
-        F.lit(0.0),
-    )
-    out = docs.select(F.col(id_col).alias(id_col), F.col(text_col).alias("_text")).select(
-        id_col, "_text", F.explode(F.array(words_of(text))).alias("_words")
+    out = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).select(
+        "_id", "_text", F.explode(F.array(words_of(text))).alias("_words")
     )
     words = F.col("_words")
     out = out.select(
-        F.col(id_col),
+        "_id",
+        F.xxhash64("_text").alias("_own"),
         F.size(words).cast("long").alias("n_words"),
         *[c.alias(n) for n, c in base_counts(text).items()],
         _repeat_words(words).alias("n_repeat_words"),
-        F.round(let(_buckets(words, buckets), score), 6).alias("score"),
+    )
+    scores = ngram_scores(docs, ngram_ratio(docs, trusted, id_col, text_col, buckets), id_col, text_col, buckets)
+    scores = scores.withColumnsRenamed({"_id": "_id_s", "_own": "_own_s"})
+    same = F.col("_id").eqNullSafe(F.col("_id_s")) & (F.col("_own") == F.col("_own_s"))
+    names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+    out = out.join(scores.hint("merge"), same, "left").select(
+        F.col("_id").alias(id_col), *names, F.coalesce("score", F.lit(0.0)).alias("score")
     )
     failed = (F.col("n_words") < MIN_WORDS) | (
         100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words")

@@ -71,6 +71,29 @@ def test_labelled_documents(spark):
     assert wrong.get((0, True), 0) == 0
 
 
+def test_many_distinct_ngrams(spark):
+    """Four million other n-grams do not hide a text that only untrusted documents hold."""
+    word = lambda k: qr.F.hex(qr.F.xxhash64("doc_id", k))
+    good = spark.range(10_000).withColumnRenamed("id", "doc_id").select(
+        "doc_id", qr.F.array_join(qr.F.transform(qr.F.sequence(qr.F.lit(1), qr.F.lit(200)), word), " ").alias("text")
+    )
+    junk = " ".join(f"junk{k}" for k in range(60))
+    bad = spark.range(10_000, 10_010).select(qr.F.col("id").alias("doc_id"), qr.F.lit(junk).alias("text"))
+    out = qr.quality_rules(good.union(bad), good.select("doc_id")).groupBy(
+        (qr.F.col("doc_id") >= 10_000).alias("bad"), "kept"
+    ).count()
+    assert {(r["bad"], r["kept"]): r["count"] for r in out.collect()} == {(False, True): 10_000, (True, False): 10}
+
+
+def test_every_ngram_has_its_own_ratio(spark):
+    docs = docs_of(spark, [(1, "a b a b"), (2, "a c"), (None, "a")])
+    out = qr.ngram_ratio(docs, docs.where("doc_id = 1")).collect()
+    part = 7 / 11
+    counts = [(4, 2), (2, 2), (1, 0), (2, 2), (1, 1), (1, 0)]  # a, b, c, a b, b a, a c
+    want = [round(1e6 * math.log((t / part + qr.PSEUDO) / (n + qr.PSEUDO))) for n, t in counts]
+    assert sorted(r["ratio"] for r in out) == sorted(want)
+
+
 def test_repeated_windows(spark):
     texts = ["a b c a b c", "a a a a", "a b", "", "a b c d", "x y z q x y z q x y z", "é é é\né é"]
     rows = docs_of(spark, list(enumerate(texts)))
