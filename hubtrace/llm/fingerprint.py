@@ -7,8 +7,8 @@ Order does not matter, and adding or taking away a paragraph adds or subtracts i
 The vector has two parts. EXACT lanes are 32-bit hashes of the whole paragraph, modulo
 2^32: equal multisets have equal lanes, and others differ but for a chance of about 2^-256.
 LIKENESS lanes are sums of signs, one per lane for each run of three words of the
-paragraph, modulo 2^16: the squared distance of two such vectors estimates how
-many runs the two documents do not share.
+paragraph, modulo 2^32: the squared distance of two such vectors estimates how
+many runs the two documents do not share. They are printed modulo 2^16.
 
 Only built-in functions are used.
 """
@@ -60,9 +60,9 @@ def _runs(text: Column) -> Column:
 def fingerprints(texts: DataFrame, keys: list[str], text_col: str) -> DataFrame:
     """Rows (*keys, exact, lanes): one per distinct value of `keys`, which must fix the text.
 
-    exact is hex; lanes is an array of LIKENESS numbers modulo 2^16, as signed 16-bit numbers. Rows that agree in
-    all keys are taken as one. If the rows are already dealt by some of the keys, nothing
-    is shuffled.
+    exact is hex; lanes is an array of LIKENESS numbers modulo 2^32, as signed numbers: whole for
+    texts of up to 2^31 runs, which is more than a string can hold. Rows that agree in all
+    keys are taken as one. If the rows are already dealt by some of the keys, nothing is shuffled.
     """
     base = texts.select(*keys, _exact_lanes(F.col(text_col)).alias("exact"), _runs(F.col(text_col)).alias("_runs"))
     # A null in front of the runs counts the rows that carry the same keys.
@@ -96,20 +96,22 @@ def fingerprints(texts: DataFrame, keys: list[str], text_col: str) -> DataFrame:
     return counted.select(*keys, "exact", F.array(*lanes).alias("lanes"))
 
 
-def _wrapped(x: Column) -> Column:
-    """A number modulo 2^16, as the signed 16-bit number that stands for it."""
-    return (F.pmod(x + F.lit(1 << 15), F.lit(1 << 16)) - F.lit(1 << 15)).cast("smallint")
+def _wrapped(x: Column, bits: int = 32) -> Column:
+    """A number modulo 2^bits, as the signed number that stands for it."""
+    half = F.lit(1 << (bits - 1)).cast("long")
+    kind = "int" if bits == 32 else "smallint"
+    return (F.pmod(x.cast("long") + half, F.lit(1 << bits).cast("long")) - half).cast(kind)
 
 
 def printed(exact: Column, lanes: Column) -> Column:
-    """A fingerprint as hex: the exact lanes, then 4 digits a likeness lane."""
+    """A fingerprint as hex: the exact lanes, then 4 digits a likeness lane (modulo 2^16)."""
     digits = lambda x: F.lpad(F.hex(F.pmod(x.cast("int"), F.lit(1 << 16))), 4, "0")
     return F.lower(F.concat(exact, F.array_join(F.transform(lanes, digits), "")))
 
 
 def combined(a: Column, b: Column, sign: int = 1) -> Column:
     """Likeness lanes after inserting (sign 1) or deleting (sign -1) what b stands for."""
-    return F.zip_with(a, b, lambda x, y: _wrapped(x.cast("int") + sign * y.cast("int")))
+    return F.zip_with(a, b, lambda x, y: _wrapped(x.cast("long") + sign * y.cast("long")))
 
 
 def likeness(exact_a: Column, lanes_a: Column, exact_b: Column, lanes_b: Column) -> Column:
@@ -193,6 +195,11 @@ def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         fingerprints(both, keys, "t").groupBy(*keys[:-1]).agg(
             pick(0, "exact").alias("exact"), pick(0, "lanes").alias("lanes"),
             pick(1, "exact").alias("exact_e"), pick(1, "lanes").alias("lanes_e"),
+        ).select(
+            # The edited lanes are whole for the likeness; from here on only their print is needed.
+            *keys[:-1], "exact", "lanes", "exact_e",
+            F.transform("lanes_e", lambda x: _wrapped(x, 16)).alias("lanes_e"),
+            likeness(F.col("exact"), F.col("lanes"), F.col("exact_e"), F.col("lanes_e")).alias("near_edited"),
         )
     )
     after = wide.groupBy(F.col("key").alias("next_key")).agg(
@@ -203,6 +210,6 @@ def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         F.when(c("key") != -(1 << 63), c("key")).cast(kind).alias(id_col), "n_chars", "edited_sha256",
         printed(c("exact"), c("lanes")).alias("fingerprint"),
         printed(c("exact_e"), c("lanes_e")).alias("edited_fingerprint"),
-        likeness(c("exact"), c("lanes"), c("exact_e"), c("lanes_e")).alias("near_edited"),
+        "near_edited",
         likeness(c("exact"), c("lanes"), c("after.exact"), c("after.lanes")).alias("near_next"),
     )

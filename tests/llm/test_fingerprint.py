@@ -93,6 +93,16 @@ def test_inserting_and_deleting_paragraphs(spark):
         assert lane[0] == (lane[1] + lane[2]) % 2**32
 
 
+def test_likeness_of_texts_with_a_run_beyond_16_bits(spark):
+    """Lanes of +-n: the likeness is that of the counts of the one run, not of their remainders."""
+    texts = ["a " * 42_000, "a " * 36_000, "x y z"]
+    rows = fg.edited_fingerprints(docs_of(spark, list(enumerate(texts)))).orderBy("doc_id").collect()
+    alike = lambda a, b: 1 - (a - b) ** 2 / (a * a + b * b)
+    assert rows[0]["near_edited"] == pytest.approx(alike(41_998, 27_998), abs=1e-3)
+    assert rows[1]["near_next"] == pytest.approx(alike(35_998, 41_998), abs=1e-6)
+    assert rows[0]["fingerprint"] == printed(texts[0])
+
+
 def test_next_keys_wrap_around(spark):
     keys = spark.createDataFrame([(k,) for k in (5, 1, 9, 3, 3, -4)], "key bigint").repartition(4)
     assert {r["key"]: r["next_key"] for r in fg.next_keys(keys).collect()} == {9: 5, 5: 3, 3: 1, 1: -4, -4: 9}
