@@ -16,6 +16,10 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: The GPL's notice: sentences end behind "software:", behind "Foundation;" and where a line begins with "(at your option)".
+GPL_FREE = r"^(this program is free software )?you can redistribute it and or modify it under the terms of the gnu general public license"
+GPL_FSF = GPL_FREE + r" as published by the free software foundation (either )?"
+
 #: Known sentences, as (identifier, pattern of the normalised sentence).
 #: A normalised sentence has lower-case ASCII letters, digits, dots and plus signs, single spaces.
 SENTENCES = [
@@ -35,8 +39,18 @@ SENTENCES = [
     ("gpl3_ref", r"licensed under the (terms of the )?gnu general public licen[sc]e version 3$"),
     ("gpl2_ref", r"licensed under the (terms of the )?gnu general public licen[sc]e version 2$"),
     ("lgpl_ref", r"licensed under the (terms of the )?gnu lesser general public licen[sc]e( version [0-9.]+)?$"),
-    ("gpl_free", r"^this program is free software you can redistribute it and or modify it under the terms of the gnu general public license"),
+    ("gpl_free_v3_later", GPL_FSF + r"version 3 of the license or (at your option )?any later version$"),
+    ("gpl_free_v3_or", GPL_FSF + r"version 3 of the license or$"),
+    ("gpl_free_v3", GPL_FSF + r"version 3( of the license)?$"),
+    ("gpl_free_v2_later", GPL_FSF + r"version 2 of the license or (at your option )?any later version$"),
+    ("gpl_free_v2_or", GPL_FSF + r"version 2 of the license or$"),
+    ("gpl_free_v2", GPL_FSF + r"version 2( of the license)?$"),
+    ("gpl_free", GPL_FREE),
     ("gpl_v3_later", r"^(either )?version 3 of the license or (at your option )?any later version$"),
+    ("gpl_v3_or", r"^(either )?version 3 of the license or$"),
+    ("gpl_v2_later", r"^(either )?version 2 of the license or (at your option )?any later version$"),
+    ("gpl_v2_or", r"^(either )?version 2 of the license or$"),
+    ("gpl_later", r"^(at your option )?any later version$"),
     ("gpl_warranty", r"^this program is distributed in the hope that it will be useful"),
     ("gpl_received", r"^you should have received a copy of the gnu general public license"),
     ("bsd_redist", r"^redistribution and use in source and binary forms with or without modification are permitted"),
@@ -59,8 +73,19 @@ RULES = [
     ("Apache-2.0", ["apache2_ref", "apache2_comply", "apache2_copy", "apache2_asis"]),
     ("Apache-2.0", ["spdx_apache2"]),
     ("Apache-2.0", ["apache2_ref"]),
-    ("GPL-3.0-or-later", ["gpl_free", "gpl_v3_later", "gpl_warranty", "gpl_received"]),
-    ("GPL-3.0-or-later", ["gpl_free", "gpl_v3_later"]),
+    *[
+        (f"GPL-{v}.0-or-later", [*grant, *rest])
+        for v in (3, 2)
+        for rest in (["gpl_warranty", "gpl_received"], [])
+        for grant in (
+            [f"gpl_free_v{v}_later"], [f"gpl_free_v{v}_or", "gpl_later"],
+            ["gpl_free", f"gpl_v{v}_later"], ["gpl_free", f"gpl_v{v}_or", "gpl_later"],
+        )
+    ],
+    ("GPL-3.0", ["gpl_free_v3", "gpl_warranty", "gpl_received"]),
+    ("GPL-3.0", ["gpl_free_v3"]),
+    ("GPL-2.0", ["gpl_free_v2", "gpl_warranty", "gpl_received"]),
+    ("GPL-2.0", ["gpl_free_v2"]),
     ("GPL-3.0", ["spdx_gpl3"]),
     ("GPL-3.0", ["gpl3_ref"]),
     ("GPL-2.0", ["gpl2_ref"]),

@@ -12,6 +12,52 @@ THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND.
 """
 
 
+GPL = """Copyright (C) 2021 Somebody
+
+    This program is free software: you can redistribute it and/or modify
+    it under the terms of the GNU General Public License as published by
+    the Free Software Foundation, either version 3 of the License, or
+    (at your option) any later version.
+
+    This program is distributed in the hope that it will be useful,
+    but WITHOUT ANY WARRANTY; without even the implied warranty of
+    MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+    GNU General Public License for more details.
+
+    You should have received a copy of the GNU General Public License
+    along with this program.  If not, see <https://www.gnu.org/licenses/>.
+"""
+
+APACHE = """Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+"""
+
+BSD = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+
+3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.
+
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS"
+AND ANY EXPRESS OR IMPLIED WARRANTIES ARE DISCLAIMED.
+"""
+
+
 def found(spark, *texts):
     rows = license_scan(docs_of(spark, list(enumerate(texts)))).orderBy("doc_id").collect()
     return [(r["identifiers"], r["licences"], r["n_left"]) for r in rows]
@@ -33,6 +79,22 @@ def test_sequence_of_sentences(spark):
     assert licences == ["MIT"] and left == 1
 
 
+def test_notices_with_their_line_breaks(spark):
+    later = ["gpl_warranty", "gpl_received"]
+    two = GPL.replace("software:", "software;").replace("Foundation,", "Foundation;").replace("version 3", "version 2")
+    one_line = GPL.replace("or\n    (at", "or (at")
+    only = GPL.replace(" of the License, or\n    (at your option) any later version.", ".")
+    cut = GPL.replace("    (at your option) any later version.", "")
+    two_clauses = BSD[: BSD.index("3. ")] + BSD[BSD.index("THIS"):]
+    got = found(spark, GPL, two, one_line, only, cut, APACHE, BSD, two_clauses)
+    assert got[0] == (["copyright", "gpl_free_v3_or", "gpl_later", *later], ["GPL-3.0-or-later"], 1)
+    assert got[1] == (["copyright", "gpl_free", "gpl_v2_or", "gpl_later", *later], ["GPL-2.0-or-later"], 1)
+    assert got[2] == (["copyright", "gpl_free_v3_later", *later], ["GPL-3.0-or-later"], 1)
+    assert got[3] == (["copyright", "gpl_free_v3", *later], ["GPL-3.0"], 1)
+    assert got[4][1] == []
+    assert [x[1:] for x in got[5:]] == [(["Apache-2.0"], 0), (["BSD-3-Clause"], 0), (["BSD-2-Clause"], 0)]
+
+
 def test_order_of_rules_and_leftovers(spark):
     got = found(
         spark,
