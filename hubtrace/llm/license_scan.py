@@ -100,8 +100,11 @@ RULES = [
     ("Unknown-licence", ["other_ref"]),
 ]
 
-#: Every pattern above needs one of these; whichever letters are capital.
-HINT = r"(?i)licen[sc]e|copyright|all rights|permission|software|redistribution|warranty|neither the name"
+_GAP = r"[^A-Za-z0-9.+]+"
+#: Every pattern above needs one of these; whichever letters are capital, whatever stands between words.
+HINT = r"(?i)licen[sc]e|copyright|reserved|permission|warranty|redistribution|" + "|".join(
+    x.replace(" ", _GAP) for x in ("this program", "later version", "applicable law", "neither the name")
+)
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 

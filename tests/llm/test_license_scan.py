@@ -1,7 +1,9 @@
+import re
+
 import duckdb
 
 from hubtrace.llm import queries
-from hubtrace.llm.license_scan import license_scan
+from hubtrace.llm.license_scan import HINT, SENTENCES, license_scan
 from llm_docs import docs_of
 
 MIT = """Copyright (c) 2020 Somebody
@@ -95,6 +97,54 @@ def test_notices_with_their_line_breaks(spark):
     assert [x[1:] for x in got[5:]] == [(["Apache-2.0"], 0), (["BSD-3-Clause"], 0), (["BSD-2-Clause"], 0)]
 
 
+FREE = "you can redistribute it and or modify it under the terms of the gnu general public license"
+FSF = FREE + " as published by the free software foundation "
+EXAMPLES = {
+    "copyright": "copyright c 2020 somebody", "reserved": "all rights reserved",
+    "spdx_mit": "spdx license identifier mit", "spdx_apache2": "spdx license identifier apache 2.0",
+    "spdx_gpl3": "spdx license identifier gpl 3.0", "mit_ref": "released under the mit licence",
+    "mit_grant": "permission is hereby granted free of charge to any person obtaining a copy",
+    "mit_notice": "the above copyright notice and this permission notice shall be included",
+    "mit_asis": "the software is provided as is without warranty",
+    "apache2_ref": "licensed under the apache license version 2.0",
+    "apache2_comply": "you may not use this file except in compliance with the license",
+    "apache2_copy": "you may obtain a copy of the license at",
+    "apache2_asis": "unless required by applicable law or agreed to in writing",
+    "gpl3_ref": "licensed under the gnu general public license version 3",
+    "gpl2_ref": "licensed under the gnu general public license version 2",
+    "lgpl_ref": "licensed under the gnu lesser general public license",
+    "gpl_free_v3_later": FSF + "version 3 of the license or any later version",
+    "gpl_free_v3_or": FSF + "either version 3 of the license or", "gpl_free_v3": FSF + "version 3 of the license",
+    "gpl_free_v2_later": FSF + "version 2 of the license or any later version",
+    "gpl_free_v2_or": FSF + "either version 2 of the license or", "gpl_free_v2": FSF + "version 2 of the license",
+    "gpl_free": FREE, "gpl_v3_later": "version 3 of the license or any later version",
+    "gpl_v3_or": "version 3 of the license or", "gpl_v2_later": "version 2 of the license or any later version",
+    "gpl_v2_or": "version 2 of the license or", "gpl_later": "any later version",
+    "gpl_warranty": "this program is distributed in the hope that it will be useful",
+    "gpl_received": "you should have received a copy of the gnu general public license",
+    "bsd_redist": "redistribution and use in source and binary forms with or without modification are permitted",
+    "bsd_source": "redistributions of source code must retain the above copyright notice",
+    "bsd_binary": "redistributions in binary form must reproduce the above copyright notice",
+    "bsd_endorse": "neither the name of x nor the names of its contributors may be used to endorse",
+    "bsd_asis": "this software is provided by the copyright holders and contributors as is",
+    "ccbync4_ref": "licensed under cc by nc 4.0", "ccbysa4_ref": "licensed under cc by sa 4.0",
+    "ccby4_ref": "licensed under cc by 4.0", "other_ref": "distributed under the quux licence",
+}
+
+
+def test_every_pattern_holds_a_hint(spark):
+    """However words are separated and whichever letters are capital."""
+    assert set(EXAMPLES) == {name for name, _ in SENTENCES}
+    forms = (str, str.upper, str.title, lambda s: s.replace(" ", "-"), lambda s: re.sub(r" (?=[a-z])", "\n", s))
+    texts = [form(s) + "." for s in EXAMPLES.values() for form in forms]
+    names = [name for name in EXAMPLES for _ in forms]
+    for name, got, text in zip(names, found(spark, *texts), texts):
+        assert re.search(HINT, text) and got[0] == [name], text
+    # The alternatives of the copyright pattern that do not begin with the word itself.
+    [(ids, _, _)] = found(spark, "(c) Copyright 1999 X")
+    assert ids == ["copyright"]
+
+
 def test_order_of_rules_and_leftovers(spark):
     got = found(
         spark,
