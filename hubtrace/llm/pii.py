@@ -5,7 +5,8 @@ that hold a digit or an @ adds what the patterns miss: neighbouring words are li
 chain, and words that repeat or resemble each other anywhere in a document (the same letters
 and digits, or the same digits) are linked across it, so that they tend to get the same label.
 Loopy message passing gives each word's chances; runs of words that are likely of one kind
-become spans unless they touch a base span.
+become spans unless they touch a base span. A run of words that holds more than one number is cut
+into candidates first, so that a number beside another is seen as it would be alone.
 
 The weights are fitted by pseudo-likelihood on words of the corpus itself, with the base
 spans as labels, from a bounded sample (`sample_docs`, `sample_words`).
@@ -97,16 +98,25 @@ FEATURES = (
     "any", "at", "at_dot", "plus_first", "bracket", "hyphen", "three_dots", "dots", "letters", "quote",
     "digits_1_3", "digits_4_6", "digits_7_12", "digits_13_19", "digits_20", "luhn", "bytes",
     "run_digits_7_15", "run_digits_13_19", "run_plus", "first_of_run", "last_of_run", "single",
+    "shown_luhn", "shown_plus",
 )
+#: The two last features: what a word's part of a run shows, or that of a word like it.
+SHOWN = len(FEATURES) - 2
+#: How a card number is written in words of its own: one number, or groups.
+GROUPS = re.compile(r"[0-9]{13,19}|[0-9]{4}(?: [0-9]{4}){2,3}(?: [0-9]{1,3})?|[0-9]{4} [0-9]{6} [0-9]{4,5}")
+_EDGES = ".,;:!?\"'()#*$%&|<>"
 LABELS = len(KINDS) + 1  # 0: none
 
 
 def _features(word: str, run_digits: int, run_plus: bool, first: bool, last: bool) -> tuple[int, int]:
-    """Bits of FEATURES, and bits of the labels that the form of the word allows."""
+    """Bits of FEATURES, and bits of the labels that the form of the word allows.
+
+    run_digits, run_plus, first and last are those of the word's part of its run.
+    """
     digits = digits_of(word)
     n = len(digits)
     dots = word.count(".")
-    core = word.strip(".,;:!?\"'()#*$%&|<>")
+    core = word.strip(_EDGES)
     ip_like = bool(IP.fullmatch(core))
     values = (
         True, "@" in word, "@" in word and "." in word.partition("@")[2], word[0] == "+", "(" in word or ")" in word,
@@ -120,12 +130,70 @@ def _features(word: str, run_digits: int, run_plus: bool, first: bool, last: boo
         1
         | ("@" in word and "." in word.partition("@")[2]) << 1
         | ip_like << 2
-        | (plain and not ip_like and 13 <= run_digits <= 19) << 3
-        | (plain and not ip_like and 7 <= run_digits <= 15) << 4
+        | (plain and not ip_like) << 3
+        | (plain and not ip_like) << 4
     )
     return sum(1 << k for k, v in enumerate(values) if v), allowed
 
 
+def _parts(words: list[str]) -> list[tuple[int, int]]:
+    """A run of words cut into candidate numbers and what stands between them, as (start, end).
+
+    A run that is itself a number stays whole. In others, valid card numbers are found from the left,
+    and what is left is cut before each plus and where a phone number would get too long.
+    """
+    counts = [len(digits_of(w)) for w in words]
+    whole = [(0, len(words))]
+    total = sum(counts)
+    if len(words) == 1 or total < 13 or (total <= 19 and luhn(digits_of("".join(words)))):
+        return whole
+    cards, at = [], 0
+    while at < len(words):
+        text, n, found = "", 0, 0
+        for end in range(at, len(words)):
+            n += counts[end]
+            core = words[end].strip(_EDGES)
+            text = f"{text} {core}".strip()
+            if n > 19 or not counts[end] or words[end][0] in "+(":
+                break
+            if n >= 13 and GROUPS.fullmatch(text.replace("-", " ")) and luhn(digits_of(text)):
+                found = end + 1
+                break
+            if core != words[end].lstrip(_EDGES):  # a number ends where punctuation follows
+                break
+        if found:
+            cards.append((at, found))
+        at = found or at + 1
+    if not cards and total <= 15:
+        return whole
+    out, at = [], 0
+    for start, end in [*cards, (len(words), len(words))]:
+        first, n = at, 0
+        for k in range(at, start):
+            phone = words[first][0] == "+"
+            if k > first and (words[k][0] == "+" or (phone and n + counts[k] > 15)):
+                out.append((first, k))
+                first, n = k, 0
+            n += counts[k]
+        out += [(first, start)] * (first < start) + [(start, end)] * (start < end)
+        at = end
+    return out
+
+
+def _fits(counts: list[int], least: int, most: int) -> list[bool]:
+    """For each word of a run, whether neighbours around it have from `least` to `most` digits in all."""
+    out = [False] * len(counts)
+    for start in range(len(counts)):
+        n = 0
+        for end in range(start, len(counts)):
+            n += counts[end]
+            if n > most or not counts[end]:
+                break
+            if n >= least:
+                out[start : end + 1] = [True] * (end + 1 - start)
+    return out
+
+
 @dataclass
 class Graph:
     """Words of several documents with their links, as flat arrays."""
@@ -136,10 +204,12 @@ class Graph:
     allowed: list[int]
     before: list[int]  # the word before in the text, if it is in the graph, else -1
     links: list[tuple[int, int]]  # repeated or similar words
+    part: list[int]  # the node at which the word's part of its run begins
+    doubt: list[bool]  # in a number that the patterns cannot see for what stands beside it
 
     @classmethod
     def of(cls, texts: list[str]) -> Graph:
-        g = cls([], [], [], [], [], [])
+        g = cls([], [], [], [], [], [], [], [])
         for d, text in enumerate(texts):
             if MARK.search(text):
                 g._add(d, text)
@@ -149,7 +219,8 @@ class Graph:
         words = [(k, m) for k, m in enumerate(WORD.finditer(text)) if MARK.search(m[0])]
         runs: list[list] = []
         for k, m in words:
-            if runs and runs[-1][-1][0] == k - 1:
+            # No pattern of numbers goes on behind , ; : ! or ?
+            if runs and runs[-1][-1][0] == k - 1 and runs[-1][-1][1][0][-1] not in ",;:!?":
                 runs[-1].append((k, m))
             else:
                 runs.append([(k, m)])
@@ -159,33 +230,38 @@ class Graph:
         keys_of: list[set[tuple[str, str]]] = []
         base = len(self.doc)
         for run in runs:
-            run_digits = sum(len(digits_of(m[0])) for _, m in run)
-            run_plus = any(m[0][0] == "+" for _, m in run)
-            all_digits = "".join(digits_of(m[0]) for _, m in run)
-            proof = (13 <= run_digits <= 19 and luhn(all_digits)) << 3 | run_plus << 4
-            for at, (_, m) in enumerate(run):
-                node, word = len(self.doc), m[0]
-                bits, allowed = _features(word, run_digits, run_plus, at == 0, at == len(run) - 1)
-                self.doc.append(d)
-                self.span.append(m.span())
-                self.features.append(bits)
-                self.allowed.append(allowed)
-                self.before.append(node - 1 if at else -1)
-                same = "".join(c for c in word.lower() if c.isalnum())
-                digits = digits_of(word)
-                keys = {("same", same)} | ({("digits", digits)} if len(digits) >= 3 else set())
-                linked = {last_seen[k] for k in keys if k in last_seen}
-                self.links += [(other, node) for other in sorted(linked)]
-                last_seen |= dict.fromkeys(keys, node)
-                keys_of.append(keys)
-                for k in keys:
-                    shown[k] = shown.get(k, 0) | proof
-        # A number without such a sign, here or where it is repeated, is no card and no phone.
+            texts = [m[0] for _, m in run]
+            counts = [len(digits_of(w)) for w in texts]
+            fits = _fits(counts, 13, 19), _fits(counts, 7, 15)
+            parts = _parts(texts)
+            for start, end in parts:
+                digits_in = sum(counts[start:end])
+                plus = any(w[0] == "+" for w in texts[start:end])
+                luhn_in = 13 <= digits_in <= 19 and luhn("".join(map(digits_of, texts[start:end])))
+                proof = luhn_in | plus << 1
+                head = len(self.doc)
+                for at in range(start, end):
+                    node, word = len(self.doc), texts[at]
+                    bits, allowed = _features(word, digits_in, plus, at == start, at == end - 1)
+                    self.doc.append(d)
+                    self.span.append(run[at][1].span())
+                    self.features.append(bits)
+                    self.allowed.append(allowed & (0b111 | fits[0][at] << 3 | fits[1][at] << 4))
+                    self.before.append(node - 1 if at else -1)
+                    self.part.append(head)
+                    self.doubt.append(len(parts) > 1 and proof > 0)
+                    same = "".join(c for c in word.lower() if c.isalnum())
+                    digits = digits_of(word)
+                    keys = {("same", same)} | ({("digits", digits)} if len(digits) >= 3 else set())
+                    linked = {last_seen[k] for k in keys if k in last_seen}
+                    self.links += [(other, node) for other in sorted(linked)]
+                    last_seen |= dict.fromkeys(keys, node)
+                    keys_of.append(keys)
+                    for k in keys:
+                        shown[k] = shown.get(k, 0) | proof
         for k, keys in enumerate(keys_of):
-            signs = 0b111
             for key in keys:
-                signs |= shown[key]
-            self.allowed[base + k] &= signs
+                self.features[base + k] |= shown[key] << SHOWN
 
     def matrix(self) -> np.ndarray:
         bits = np.array(self.features, dtype=np.int64)[:, None] >> np.arange(len(FEATURES))
@@ -297,6 +373,8 @@ def _sample_rows(texts: list[str]) -> dict:
         linked[b, y[a]] += 1
     rows: list[list[list[int]]] = [[] for _ in texts]
     for k, d in enumerate(g.doc):
+        if g.doubt[k] and not y[k]:  # the patterns say nothing about these
+            continue
         rows[d].append([g.features[k], int(y[k]), int(own_before[k]), int(own_after[k]), *linked[k].tolist()])
     return {"words": [[v for w in r for v in w] for r in rows]}
 
@@ -336,6 +414,12 @@ def added_spans(
     g = Graph.of(texts)
     chance = field.chances(g)
     label = np.where(chance.max(axis=1, initial=0) >= certain, chance.argmax(axis=1), 0) if len(chance) else []
+    # Of a number that stands beside others, one certain word speaks for those most likely of its kind.
+    sure = {(g.part[k], int(label[k])) for k in range(len(g.doc)) if label[k] and g.doubt[k]}
+    best = chance.argmax(axis=1) if len(chance) else []
+    for k in range(len(g.doc)):
+        if g.doubt[k] and (g.part[k], int(best[k])) in sure:
+            label[k] = best[k]
     found: list[dict[str, list[Span]]] = [{k: [] for k in KINDS} for _ in texts]
     node = 0
     while node < len(g.doc):
@@ -343,7 +427,10 @@ def added_spans(
         node += 1
         if not k:
             continue
-        while node < len(g.doc) and g.before[node] == node - 1 and label[node] == k and KINDS[k - 1] in ("card", "phone"):
+        while (
+            node < len(g.doc) and g.before[node] == node - 1 and g.part[node] == g.part[node - 1]
+            and label[node] == k and KINDS[k - 1] in ("card", "phone")
+        ):
             end = g.span[node][1]
             node += 1
         text = texts[d]

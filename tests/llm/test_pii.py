@@ -85,6 +85,28 @@ def test_links_carry_a_label_to_a_distant_repeat(field):
     assert "555" not in masked and masked.count("<PHONE>") == 2
 
 
+def added(text, field):
+    [found] = pii.added_spans([text], [pii.base_spans(text)], field)
+    return {k: [text[a:b] for a, b in v] for k, v in found.items() if v}
+
+
+def test_numbers_beside_other_numbers(field):
+    """The pattern takes the whole run of digits and drops it; its parts are judged one by one."""
+    card, other = "4111 1111 1111 1111", "5500005555555559"
+    assert added(f"paid by {card} 2024 in full", field) == {"card": [card]}
+    assert added(f"cards {other} 4111111111111111 on file", field) == {"card": [other, "4111111111111111"]}
+    assert added(f"call +1 (437) 555-0689 {card} now", field) == {"phone": ["+1 (437) 555-0689"], "card": [card]}
+    assert added("sum 1234 5678 9012 3456 7890 1234 of 1000 2000 3000 4000 5000", field) == {}
+
+
+def test_form_alone_rules_no_number_out():
+    """Without a plus or a valid card number a number may still be labelled; a repeat in a longer run too."""
+    g = pii.Graph.of(["a (437) 555-0689 b (437) 555-0689 c 123456789 (437) 555-0689 99 88 77 66"])
+    words = [(a >> 4 & 1) for a, (s, e) in zip(g.allowed, g.span) if e - s in (5, 8)]
+    assert pii._fits([0] * 50_000, 7, 15) == [False] * 50_000 and pii._parts(["@"] * 50_000)
+    assert words == [1] * 6 and not any(f >> pii.SHOWN for f in g.features)
+
+
 def test_clean_documents_get_no_spans(field):
     texts = ["The year 2019 was 12 months long.", "version 3.2 of 1,000 things", "x = 17; y[3] = 4", "a @ b", "pages 10-20, 1999-2004"]
     assert all(not any(s.values()) for s in pii.added_spans(texts, [pii.base_spans(t) for t in texts], field))
