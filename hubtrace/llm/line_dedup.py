@@ -8,8 +8,9 @@ earliest document that has the same run, never with all of them, so a group of c
 costs a pair per copy.
 
 Each pair is aligned with patience diff, and the aligned common blocks of `min_words`
-words or more are deleted from the later document. A passage of that size that an earlier document
-holds is thus always found: its runs are shared with the earliest holder.
+words or more are deleted from the later document. A passage of that size made of whole lines that an
+earlier document holds is thus always found: its runs are shared with the earliest holder. A passage that
+is pasted into a longer line, or broken into other lines, shares no whole line and is not found.
 """
 
 from __future__ import annotations
