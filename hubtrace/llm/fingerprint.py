@@ -5,7 +5,8 @@ document is the sum of its paragraphs' vectors, each lane modulo a power of two.
 Order does not matter, and adding or taking away a paragraph adds or subtracts its vector.
 
 The vector has two parts. EXACT lanes are 32-bit hashes of the whole paragraph, modulo
-2^32: equal multisets have equal lanes, and others differ but for a chance of about 2^-256.
+2^32: equal multisets have equal lanes. All of them are made from one 64-bit hash of a paragraph, so two
+paragraphs with the same xxhash64 (a chance of about 2^-64 a pair) agree in all EXACT lanes.
 LIKENESS lanes are sums of signs, one per lane for each run of three words of the
 paragraph, modulo 2^32: the squared distance of two such vectors estimates how
 many runs the two documents do not share. They are printed modulo 2^16.
