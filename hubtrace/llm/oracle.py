@@ -39,3 +39,45 @@ from {last}
 
 
 LICENSE_SCAN = _license_scan()
+
+#: The registered mix: weights of sources in turn, and schedules of as much area that are level, rise and fall.
+WEIGHTS = (1, 2, 3)
+SCHEDULES = ((1.0, 1.0), (1.0, 3.0), (4.0, 2.0))
+
+
+def _mixing() -> str:
+    choice = lambda values: "case rank % 3 " + " ".join(f"when {k} then {v}" for k, v in enumerate(values)) + " end"
+    return f"""
+with sized as (
+  select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::bigint as size from documents),
+sources as (
+  select source, sum(size)::bigint as source_size, row_number() over (order by source nulls last) - 1 as rank
+  from sized group by source),
+weighted as (
+  select *, ({choice(WEIGHTS)})::double as weight, ({choice(s[0] for s in SCHEDULES)})::double as a,
+    ({choice(s[1] for s in SCHEDULES)})::double as b from sources),
+ahead as (
+  select *, coalesce(sum(3 * source_size) over w, 0)::bigint as caps, coalesce(sum(weight) over w, 0) as weights
+  from weighted window w as (
+    order by 3 * source_size / weight, source nulls last rows between unbounded preceding and 1 preceding)),
+level as (
+  select max(((select sum(source_size) from sources)::bigint - caps)::double
+    / ((select sum(weight) from weighted) - weights)) as level from ahead),
+aimed as (
+  select *, case when (select sum(source_size) from sources) = 0 then 0.0
+    else least((3 * source_size)::double, (select level from level) * weight) end as target from weighted),
+placed as (
+  select doc_id, size, source_size, target, a, b, round(target)::bigint as goal, coalesce(sum(size) over (
+    partition by t.source order by md5('42:' || coalesce(doc_id::varchar, 'null') || ':' || size), doc_id nulls first
+    rows between unbounded preceding and 1 preceding), 0)::bigint as place
+  from sized t join aimed s on t.source is not distinct from s.source)
+select doc_id, size, source_size, target,
+  (greatest(least(size, goal - place), 0) + greatest(least(size, goal - source_size - place), 0)
+    + greatest(least(size, goal - 2 * source_size - place), 0))::bigint as taken,
+  case when least(size, goal - place) > 0 then least(2 * (place::double / target * ((a + b) / 2))
+    / (a + sqrt(a * a + 2 * (b - a) * (place::double / target * ((a + b) / 2)))), 1.0) end as first_position
+from placed
+"""
+
+
+MIXING = _mixing()

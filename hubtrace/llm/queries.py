@@ -14,7 +14,8 @@ from hubtrace.llm.common import words_of
 from hubtrace.llm.fingerprint import edited_fingerprints
 from hubtrace.llm.license_scan import license_scan
 from hubtrace.llm.line_dedup import line_dedup
-from hubtrace.llm.oracle import LICENSE_SCAN
+from hubtrace.llm.mixing import cycled_weights, mix
+from hubtrace.llm.oracle import LICENSE_SCAN, MIXING, SCHEDULES, WEIGHTS
 from hubtrace.llm.packing import pack
 from hubtrace.llm.pii import fit_on, personal_data
 from hubtrace.llm.quality_classifier import quality_classifier
@@ -96,15 +97,25 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return personal_data(docs, fit_on(docs)).drop("masked")
 
 
+def op12_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's part in a mix of all sources, in the order of training."""
+    docs = _table(spark, sf_dir, "documents")
+    mixed = mix(docs, cycled_weights(docs, WEIGHTS, SCHEDULES))
+    first = F.get("positions", F.lit(0)).alias("first_position")
+    return mixed.select("doc_id", "size", "source_size", "target", "taken", first).orderBy(
+        F.asc_nulls_last("first_position"), "doc_id"
+    )
+
+
 def queries() -> dict[str, Query]:
     return {
         f.__name__: f
         for f in (
             op1_license_scan, op2_quality_rules, op3_quality_classifier, op4_line_dedup, op5_bpe,
-            op6_simhash, op7_packing, op8_token_store, op9_fingerprint, op10_pii,
+            op6_simhash, op7_packing, op8_token_store, op9_fingerprint, op10_pii, op12_mixing,
         )
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_license_scan": LICENSE_SCAN}
+    return {"op1_license_scan": LICENSE_SCAN, "op12_mixing": MIXING}
