@@ -11,6 +11,7 @@ import public_tokenizers
 
 from hubtrace.llm.bpe import bpe_digests
 from hubtrace.llm.common import words_of
+from hubtrace.llm.conversations import damage, repair
 from hubtrace.llm.fingerprint import edited_fingerprints
 from hubtrace.llm.license_scan import license_scan
 from hubtrace.llm.line_dedup import line_dedup
@@ -107,12 +108,18 @@ def op12_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults of every damaged conversation, and its cheapest repair."""
+    return repair(damage(_table(spark, sf_dir, "conversations"))).withColumnRenamed("conv", "conv_id")
+
+
 def queries() -> dict[str, Query]:
     return {
         f.__name__: f
         for f in (
             op1_license_scan, op2_quality_rules, op3_quality_classifier, op4_line_dedup, op5_bpe,
             op6_simhash, op7_packing, op8_token_store, op9_fingerprint, op10_pii, op12_mixing,
+            op13_conversations,
         )
     }
 
