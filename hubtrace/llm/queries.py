@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
+from hubtrace.llm.alignment import cross_tokenizer
 from hubtrace.llm.bpe import bpe_digests
 from hubtrace.llm.common import words_of
 from hubtrace.llm.conversations import damage, repair
@@ -98,6 +99,14 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return personal_data(docs, fit_on(docs)).drop("masked")
 
 
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's tokens of the byte and the piece vocabulary aligned, with corpus counts of their links."""
+    return cross_tokenizer(
+        _table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"),
+        public_tokenizers.path("piece_bpe_32k.model"),
+    )
+
+
 def op12_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's part in a mix of all sources, in the order of training."""
     docs = _table(spark, sf_dir, "documents")
@@ -118,8 +127,8 @@ def queries() -> dict[str, Query]:
         f.__name__: f
         for f in (
             op1_license_scan, op2_quality_rules, op3_quality_classifier, op4_line_dedup, op5_bpe,
-            op6_simhash, op7_packing, op8_token_store, op9_fingerprint, op10_pii, op12_mixing,
-            op13_conversations,
+            op6_simhash, op7_packing, op8_token_store, op9_fingerprint, op10_pii, op11_alignment,
+            op12_mixing, op13_conversations,
         )
     }
 
