@@ -16,11 +16,15 @@ from __future__ import annotations
 import hashlib
 import json
 import os
+import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import sentencepiece
+import tiktoken
 import tokenizers
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -32,8 +36,13 @@ from hubtrace.llm.bpe import byte_symbols, gather
 from hubtrace.llm.common import fresh_path
 
 #: Characters that a step of a task handles at once, whole documents; windows and tokens in windows that a task remembers.
-STEP_CHARS = 1 << 20
+STEP_CHARS = 1 << 21
 CACHE, CACHE_TOKENS = 200_000, 4_000_000
+#: A space in a piece; how byte-level vocabularies cut a text before they merge.
+MARK = "▁"
+PATTERN = (
+    r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+)
 #: Pairs that documents meet in the map tasks; bounds what is broadcast.
 FREQUENT = 200_000
 
@@ -42,13 +51,34 @@ class Tokens:
     """Bytes of a vocabulary's tokens, their lengths, and which begin with a space."""
 
     def __init__(self, tokens: list[bytes]):
-        self.tokens = tokens
+        self.tokens = pa.array(tokens, pa.large_binary())
         self.size = np.array([len(x) for x in tokens], dtype=np.int64)
         self.spaced = np.array([x[:1] == b" " for x in tokens], dtype=bool)
 
+    def encode(self, text: str) -> list[int]:
+        raise NotImplementedError
+
+    def flat(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts behind each other, and how many each has."""
+        found = list(map(self.encode, texts))
+        count = np.array(list(map(len, found)), dtype=np.int64)
+        return np.fromiter(chain.from_iterable(found), dtype=np.int64, count=int(count.sum())), count
+
+    def bytes_of(self, ids: np.ndarray, count: np.ndarray) -> list[bytes]:
+        """The joined bytes of each text's tokens."""
+        joined = self.tokens.take(pa.array(ids))
+        ends = np.concatenate(([0], np.frombuffer(joined.buffers()[1], dtype=np.int64, count=len(ids) + 1)[np.cumsum(count)]))
+        data = memoryview(joined.buffers()[2] or b"")
+        return [bytes(data[x:y]) for x, y in zip(ends.tolist(), ends[1:].tolist())]
+
 
 class ByteLevel(Tokens):
-    """Tokenizer A: a byte-level vocabulary of the tokenizers library; strings of special tokens are plain text."""
+    """Tokenizer A: a byte-level vocabulary in a file of the tokenizers library.
+
+    Strings of special tokens are plain text. Where a file's merges make the ids in ascending order and its texts are cut by
+    the usual pattern only, tiktoken gives the same ids in a quarter of the time; it cannot take long
+    runs of white space, so texts with such runs, and other files, are the library's.
+    """
 
     def __init__(self, source: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -58,78 +88,171 @@ class ByteLevel(Tokens):
         self.library.no_padding()
         byte_of = {c: b for b, c in enumerate(byte_symbols())}
         spec = json.loads(source)
-        vocab = {**spec["model"]["vocab"], **{t["content"]: t["id"] for t in spec["added_tokens"]}}
-        tokens = [b""] * (max(vocab.values()) + 1)
+        vocab = spec["model"]["vocab"]
+        added = {t["content"]: t["id"] for t in spec["added_tokens"]}
+        tokens = [b""] * (max([*vocab.values(), *added.values()]) + 1)
         for token, k in vocab.items():
-            tokens[k] = bytes(byte_of[c] for c in token if c in byte_of)
+            if token not in added:
+                tokens[k] = bytes(byte_of[c] for c in token)
         super().__init__(tokens)
-
-    def encode(self, texts: list[str]) -> list[list[int]]:
-        found = self.library.encode_batch([" " + x for x in texts], add_special_tokens=False)
-        return [x.ids for x in found]
+        merges = [m.split(" ") if isinstance(m, str) else m for m in spec["model"]["merges"]]
+        made = [vocab[x + y] for x, y in merges]
+        cut = spec.get("pre_tokenizer") or {}
+        usual = cut.get("type") == "ByteLevel" and cut.get("use_regex", True) and not cut.get("add_prefix_space")
+        self.quick = None
+        if usual and spec.get("normalizer") is None and made == sorted(set(made)) and not spec["model"].get("ignore_merges"):
+            ranks = {tokens[k]: k for token, k in vocab.items() if token not in added}
+            self.quick = tiktoken.Encoding("a", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+        self.long_run = re.compile(r"\s{500}")
+
+    def encode(self, text: str) -> list[int]:
+        if self.quick is None or self.long_run.search(text):
+            return self.library.encode(" " + text, add_special_tokens=False).ids
+        return self.quick.encode_ordinary(" " + text)
 
 
 class Pieces(Tokens):
-    """Tokenizer B: a sentencepiece model, which adds the space in front itself."""
+    """Tokenizer B: a sentencepiece model, which adds the space in front itself.
+
+    Where no piece goes on over a space behind another character, a text is the sum of its words, each with the space
+    before it; the library then gets each word once a step. Texts with spaces side by side or at an end are the
+    library's as a whole, as are all texts with other models.
+    """
 
     def __init__(self, model: bytes):
         self.library = sentencepiece.SentencePieceProcessor(model_proto=model)
-        ids = range(self.library.get_piece_size())
+        pieces = [self.library.id_to_piece(k) for k in range(self.library.get_piece_size())]
         super().__init__([
-            bytes([int(p[3:5], 16)]) if self.library.is_byte(k) else p.replace("▁", " ").encode("utf-8")
-            for k, p in ((k, self.library.id_to_piece(k)) for k in ids)
+            bytes([int(p[3:5], 16)]) if self.library.is_byte(k) else p.replace(MARK, " ").encode("utf-8")
+            for k, p in enumerate(pieces)
         ])
-
-    def encode(self, texts: list[str]) -> list[list[int]]:
-        return self.library.encode(texts, num_threads=1)
+        self.by_words = not any(MARK in p.lstrip(MARK) for p in pieces) and self.library.encode(" a") != self.library.encode("a")
+
+    def encode(self, text: str) -> list[int]:
+        return self.library.encode(text)
+
+    def flat(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        odd = [not self.by_words or "  " in x or x[:1] == " " or x[-1:] == " " or MARK in x for x in texts]
+        if all(odd):
+            return super().flat(texts)
+        words = pc.split_pattern(pa.array(["" if o else x for x, o in zip(texts, odd)], pa.large_string()), " ")
+        coded = words.flatten().dictionary_encode()
+        distinct = coded.dictionary.to_pylist()
+        # Odd texts count as one more word each.
+        alone = [x for x, o in zip(texts, odd) if o]
+        found = self.library.encode(distinct + alone, num_threads=1)
+        count = np.array(list(map(len, found)), dtype=np.int64)
+        ids = np.fromiter(chain.from_iterable(found), dtype=np.int64, count=int(count.sum()))
+        which = coded.indices.to_numpy().astype(np.int64)
+        first = words.offsets.to_numpy()[:-1] - words.offsets[0].as_py()
+        which[first[odd]] = len(distinct) + np.arange(len(alone))
+        return gather(ids, np.cumsum(count) - count, count, which), np.add.reduceat(count[which], first)
+
+
+class Runs:
+    """Runs of numbers behind each other; none is empty."""
+
+    def __init__(self, values: np.ndarray | None = None, first: np.ndarray | None = None):
+        self.values = np.zeros(0, dtype=np.int64) if values is None else values
+        self.first = np.zeros(0, dtype=np.int64) if first is None else first
+        self.size = np.diff(self.first, append=len(self.values))
+
+    def add(self, values: np.ndarray, size: np.ndarray) -> None:
+        self.first = np.concatenate((self.first, len(self.values) + np.cumsum(size) - size))
+        self.values = np.concatenate((self.values, values))
+        self.size = np.concatenate((self.size, size))
+
+    def of(self, which: np.ndarray) -> np.ndarray:
+        return gather(self.values, self.first, self.size, which)
+
+    def some(self, which: np.ndarray) -> Runs:
+        size = self.size[which]
+        return Runs(self.of(which), np.cumsum(size) - size)
+
+    def hashed(self, salt: int) -> np.ndarray:
+        """A hash of each run, of its numbers and their places."""
+        place = (np.arange(len(self.values)) - np.repeat(self.first, self.size)).astype(np.uint64)
+        x = (self.values.astype(np.uint64) + np.uint64(salt)) * np.uint64(0x9E3779B97F4A7C15)
+        x += place * np.uint64(0xD1B54A32D192ED03)
+        x ^= x >> np.uint64(29)
+        x *= np.uint64(0xBF58476D1CE4E5B9)
+        x ^= x >> np.uint64(32)
+        return np.add.reduceat(x, self.first)
+
+    def equal(self, other: Runs, which: np.ndarray) -> np.ndarray:
+        """Whether each run equals that one of `other`."""
+        alike = self.size == other.size[which]
+        if not alike.all():
+            alike[alike] = self.some(np.flatnonzero(alike)).equal(other, which[alike])
+            return alike
+        return np.logical_and.reduceat(self.values == other.of(which), self.first) if len(alike) else alike
 
 
 class Windows:
-    """Alignments of windows by their ids, as flat arrays of links and texts of groups."""
+    """Alignments of windows by their ids: flat arrays of links, and of tokens in the order of their groups.
+
+    A token in group order is its id, and its ending: 0 within a group, 1 last of A, 2 last of B.
+    """
 
     def __init__(self, a: Tokens, b: Tokens, cache: int = CACHE, cache_tokens: int = CACHE_TOKENS):
         self.a, self.b, self.cache, self.cache_tokens = a, b, cache, cache_tokens
+        self.ids = max(len(a.tokens), len(b.tokens))
         self.reset()
 
     def reset(self) -> None:
-        self.known: dict[tuple[bytes, bytes], int] = {}
-        self.held = 0
-        self.groups: list[str] = []
-        self.n_groups = np.zeros(0, dtype=np.int64)
-        self.pairs = np.zeros(0, dtype=np.int64)
-        self.start = np.zeros(0, dtype=np.int64)
-        self.count = np.zeros(0, dtype=np.int64)
+        none = lambda kind=np.int64: np.zeros(0, dtype=kind)
+        # Hashes of known windows in order, and their numbers; the ids themselves, of A and B.
+        self.keys, self.numbers = none(np.uint64), none()
+        self.ids_a, self.ids_b = Runs(), Runs()
+        self.links, self.order, self.n_groups = Runs(), Runs(), none()
 
     def of(self, flat_a: np.ndarray, flat_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(first tokens of A, numbers) of all windows of documents that lie behind each other, with equal bytes."""
-        if len(self.known) > self.cache or self.held > self.cache_tokens:
+        if len(self.n_groups) > self.cache or len(self.order.values) > self.cache_tokens:
             self.reset()
         first_a, first_b = self._anchors(flat_a, flat_b)
-        raw_a, raw_b = flat_a.astype("<u4").tobytes(), flat_b.astype("<u4").tobytes()
-        cuts_a, cuts_b = [*(4 * first_a).tolist(), len(raw_a)], [*(4 * first_b).tolist(), len(raw_b)]
-        known, before = self.known, len(self.known)
-        which = [
-            known.setdefault((raw_a[i:j], raw_b[k:m]), len(known))
-            for i, j, k, m in zip(cuts_a, cuts_a[1:], cuts_b, cuts_b[1:])
-        ]
-        if len(known) > before:
-            self._learn(list(known)[before:])
-        return first_a, np.array(which, dtype=np.int64)
+        a, b = Runs(flat_a, first_a), Runs(flat_b, first_b)
+        key = a.hashed(1) + b.hashed(1 << 33)
+        _, distinct, number = np.unique(key, return_index=True, return_inverse=True)
+        stand_in = distinct[number]
+        if not (a.equal(a, stand_in).all() and b.equal(b, stand_in).all()):
+            distinct = number = np.arange(len(key))  # a hash met two windows: take every window as it is
+        return first_a, self._numbers(a.some(distinct), b.some(distinct), key[distinct])[number]
+
+    def _numbers(self, a: Runs, b: Runs, key: np.ndarray) -> np.ndarray:
+        """Numbers of windows; those are known whose hash and ids are."""
+        which = np.full(len(key), -1, dtype=np.int64)
+        at = np.searchsorted(self.keys, key)
+        hit = np.flatnonzero(np.append(self.keys, np.uint64(0))[at] == key)
+        hit = hit[at[hit] < len(self.keys)]
+        if len(hit):
+            number = self.numbers[at[hit]]
+            same = a.some(hit).equal(self.ids_a, number) & b.some(hit).equal(self.ids_b, number)
+            which[hit[same]] = number[same]
+        new = np.flatnonzero(which < 0)
+        if len(new):
+            which[new] = len(self.n_groups) + np.arange(len(new))
+            # Of equal hashes only the first is found again.
+            fresh = new[np.append(self.keys, np.uint64(0))[at[new]] != key[new]]
+            fresh = fresh[np.unique(key[fresh], return_index=True)[1]]
+            place = np.searchsorted(self.keys, key[fresh])
+            self.keys, self.numbers = np.insert(self.keys, place, key[fresh]), np.insert(self.numbers, place, which[fresh])
+            self._learn(a.some(new), b.some(new))
+        return which
 
     def _anchors(self, flat_a: np.ndarray, flat_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Tokens of A and of B that are space-marked and begin at the same byte."""
         start_a = np.cumsum(self.a.size[flat_a]) - self.a.size[flat_a]
         start_b = np.cumsum(self.b.size[flat_b]) - self.b.size[flat_b]
-        marked_a, marked_b = self.a.spaced[flat_a], self.b.spaced[flat_b]
-        both = np.intersect1d(start_a[marked_a], start_b[marked_b], assume_unique=True)
-        return np.searchsorted(start_a, both), np.searchsorted(start_b, both)
+        at_a, at_b = np.flatnonzero(self.a.spaced[flat_a]), np.flatnonzero(self.b.spaced[flat_b])
+        near = np.searchsorted(start_b[at_b], start_a[at_a])
+        near = np.minimum(near, len(at_b) - 1)
+        both = start_b[at_b][near] == start_a[at_a]
+        return at_a[both], at_b[near[both]]
 
-    def _learn(self, new: list[tuple[bytes, bytes]]) -> None:
+    def _learn(self, a: Runs, b: Runs) -> None:
         """Align windows, all at once: each spans as many bytes in A as in B, so offsets run on over them."""
-        ids_a = np.frombuffer(b"".join(x for x, _ in new), dtype="<u4").astype(np.int64)
-        ids_b = np.frombuffer(b"".join(x for _, x in new), dtype="<u4").astype(np.int64)
-        n_a = np.array([len(x) // 4 for x, _ in new], dtype=np.int64)
-        n_b = np.array([len(x) // 4 for _, x in new], dtype=np.int64)
+        ids_a, ids_b = a.values, b.values
         end_a, end_b = np.cumsum(self.a.size[ids_a]), np.cumsum(self.b.size[ids_b])
         # A token of A meets the tokens of B from the first that ends behind its start to the first that reaches its end.
         low = np.searchsorted(end_b, end_a - self.a.size[ids_a], side="right")
@@ -137,25 +260,21 @@ class Windows:
         links = high - low + 1
         nth = np.arange(int(links.sum())) - np.repeat(np.cumsum(links) - links, links)
         pairs = np.repeat(ids_a, links) * len(self.b.tokens) + ids_b[np.repeat(low, links) + nth]
-        cut_a = np.cumsum(n_a)
-        per_window = np.add.reduceat(links, cut_a - n_a)
-        begin = len(self.pairs) + np.cumsum(per_window) - per_window
-        self.pairs = np.concatenate((self.pairs, pairs))
-        self.start = np.concatenate((self.start, begin))
-        self.count = np.concatenate((self.count, per_window))
-        # Groups end where both end; every window ends with one.
-        shared = end_b[high] == end_a
-        self.n_groups = np.concatenate((self.n_groups, np.add.reduceat(shared.astype(np.int64), cut_a - n_a)))
-        last_a = np.flatnonzero(shared)
-        texts = []
-        text_a, text_b = list(map(str, ids_a.tolist())), list(map(str, ids_b.tolist()))
-        i = k = 0
-        for j, m in zip((last_a + 1).tolist(), (high[last_a] + 1).tolist()):
-            texts.append(",".join(text_a[i:j]) + "|" + ",".join(text_b[k:m]))
-            i, k = j, m
-        cuts = np.cumsum(self.n_groups[-len(new):]).tolist()
-        self.groups += [";".join(texts[x:y]) for x, y in zip([0, *cuts], cuts)]
-        self.held += len(ids_a) + len(ids_b)
+        self.links.add(pairs, np.add.reduceat(links, a.first))
+        # Groups end where both end; every window ends with one. Tokens of A stand behind all groups before theirs.
+        last_a = end_b[high] == end_a
+        last_b = np.zeros(len(ids_b), dtype=bool)
+        last_b[high[last_a]] = True
+        self.n_groups = np.concatenate((self.n_groups, np.add.reduceat(last_a.astype(np.int64), a.first)))
+        upto_a, upto_b = np.flatnonzero(last_a) + 1, np.flatnonzero(last_b) + 1
+        place_a = np.arange(len(ids_a)) + np.concatenate(([0], upto_b))[np.cumsum(last_a) - last_a]
+        place_b = np.arange(len(ids_b)) + upto_a[np.cumsum(last_b) - last_b]
+        order = np.empty(len(ids_a) + len(ids_b), dtype=np.int64)
+        order[place_a] = ids_a + self.ids * last_a
+        order[place_b] = ids_b + 2 * self.ids * last_b
+        self.order.add(order, a.size + b.size)
+        self.ids_a.add(ids_a, a.size)
+        self.ids_b.add(ids_b, b.size)
 
 
 class Aligner:
@@ -163,41 +282,40 @@ class Aligner:
 
     def __init__(self, a: Tokens, b: Tokens, **options):
         self.a, self.b, self.windows = a, b, Windows(a, b, **options)
+        self.written = pa.array([f"{k}{end}" for end in ",|;" for k in range(self.windows.ids)], pa.large_string())
 
     def __call__(self, texts: list[str]) -> dict:
         """Columns n_a, n_b, n_groups, n_links, groups_sha256, and pairs with their numbers, for each text."""
-        empty = {n: [0] * len(texts) for n in ("n_a", "n_b", "n_groups", "n_links")}
-        out = {**empty, "groups_sha256": [""] * len(texts)}
+        numbers = {n: np.zeros(len(texts), dtype=np.int64) for n in ("n_a", "n_b", "n_groups", "n_links", "n_pairs")}
+        digests, nothing = [""] * len(texts), np.zeros(0, dtype=np.int64)
         asked = [k for k, x in enumerate(texts) if x]
-        found = zip(self.a.encode([texts[k] for k in asked]), self.b.encode([texts[k] for k in asked])) if asked else ()
-        kept, ids_a, ids_b = [], [], []
-        for k, (a, b) in zip(asked, found):
-            whole = b" " + texts[k].encode("utf-8")
-            if b"".join(map(self.a.tokens.__getitem__, a)) == whole == b"".join(map(self.b.tokens.__getitem__, b)):
-                kept.append(k)
-                ids_a.append(np.array(a, dtype=np.int64))
-                ids_b.append(np.array(b, dtype=np.int64))
-        n_pairs = np.zeros(len(texts), dtype=np.int64)
-        if not kept:
-            return {**out, "pairs": np.zeros(0, dtype=np.int64), "times": np.zeros(0, dtype=np.int64), "n_pairs": n_pairs}
+        wanted = [texts[k] for k in asked]
+        (flat_a, n_a), (flat_b, n_b) = self.a.flat(wanted), self.b.flat(wanted)
+        whole = [b" " + x.encode("utf-8") for x in wanted]
+        good = np.array([
+            x == y == z for x, y, z in zip(whole, self.a.bytes_of(flat_a, n_a), self.b.bytes_of(flat_b, n_b))
+        ], dtype=bool)
+        if not good.any():
+            return {**numbers, "groups_sha256": digests, "pairs": nothing, "times": nothing}
+        flat_a, flat_b = flat_a[np.repeat(good, n_a)], flat_b[np.repeat(good, n_b)]
+        kept, n_a, n_b = np.array(asked)[good], n_a[good], n_b[good]
         windows = self.windows
-        first, which = windows.of(np.concatenate(ids_a), np.concatenate(ids_b))
+        first, which = windows.of(flat_a, flat_b)
         # Every text begins with a space in both, so it begins a window.
-        begin = np.searchsorted(first, np.cumsum([0] + [len(x) for x in ids_a[:-1]]))
-        n_groups = np.add.reduceat(windows.n_groups[which], begin).tolist()
-        n_links = np.add.reduceat(windows.count[which], begin)
-        numbers = which.tolist()
-        cuts = [*begin.tolist(), len(numbers)]
-        for d, k in enumerate(kept):
-            joined = ";".join(map(windows.groups.__getitem__, numbers[cuts[d] : cuts[d + 1]]))
-            out["groups_sha256"][k] = hashlib.sha256(joined.encode("ascii")).hexdigest()
-            out["n_a"][k], out["n_b"][k] = len(ids_a[d]), len(ids_b[d])
-            out["n_groups"][k], out["n_links"][k] = n_groups[d], int(n_links[d])
-        links = gather(windows.pairs, windows.start, windows.count, which)
+        begin = np.searchsorted(first, np.cumsum(n_a) - n_a)
+        n_links = np.add.reduceat(windows.links.size[which], begin)
+        numbers["n_a"][kept], numbers["n_b"][kept], numbers["n_links"][kept] = n_a, n_b, n_links
+        numbers["n_groups"][kept] = np.add.reduceat(windows.n_groups[which], begin)
+        text = self.written.take(pa.array(windows.order.of(which)))
+        ends = np.frombuffer(text.buffers()[1], dtype=np.int64)[np.cumsum(n_a + n_b)].tolist()
+        data = memoryview(text.buffers()[2])
+        for k, x, y in zip(kept.tolist(), [0, *ends], ends):
+            digests[k] = hashlib.sha256(data[x : y - 1]).hexdigest()
+        links = windows.links.of(which)
         space = len(self.a.tokens) * len(self.b.tokens)
         pairs, times = np.unique(np.repeat(np.arange(len(kept)), n_links) * space + links, return_counts=True)
-        n_pairs[kept] = np.bincount(pairs // space, minlength=len(kept))
-        return {**out, "pairs": pairs % space, "times": times, "n_pairs": n_pairs}
+        numbers["n_pairs"][kept] = np.bincount(pairs // space, minlength=len(kept))
+        return {**numbers, "groups_sha256": digests, "pairs": pairs % space, "times": times}
 
 
 def align_documents(

@@ -8,7 +8,7 @@ import sentencepiece
 import tokenizers
 
 from hubtrace.llm import queries
-from hubtrace.llm.alignment import Aligner, ByteLevel, Pieces, cross_tokenizer
+from hubtrace.llm.alignment import Aligner, ByteLevel, Pieces, Runs, cross_tokenizer
 from llm_docs import CLASHING, ODD, docs_of
 
 A = public_tokenizers.path("byte_bpe_50k.json")
@@ -17,6 +17,7 @@ B = public_tokenizers.path("piece_bpe_32k.model")
 SPECIAL = [
     (20, "<|endoftext|> in a text"), (21, "<s> </s> <unk> <0x41>"), (22, "▁marked ▁"), (23, "tab\tand\n\nlines  "),
     (24, "   "), (25, "á ﬁ ½ Ａ"), (26, "nul \x00 here"), (27, "مرحبا שלום 你好 🎉🎉"), (28, "x" * 3000), (29, " lead"),
+    (33, "wide" + " " * 700 + "gap"), (34, "line" + "\n \t" * 300 + "feeds" + "\u3000" * 600),
     (30, "don't stop... 12,345.67 (a+b)=c; e.g. http://x.y/z?q=1"), (31, " nbsp  em"), (32, "\x1c\x1f odd"),
 ]
 
@@ -107,7 +108,45 @@ def test_forgetting_windows_changes_nothing(small):
     for k in range(0, len(texts), 20):
         one, other = keeping(texts[k : k + 20]), forgetting(texts[k : k + 20])
         assert all(list(one[n]) == list(other[n]) for n in one)
-    assert len(forgetting.windows.known) < len(keeping.windows.known)
+    assert len(forgetting.windows.n_groups) < len(keeping.windows.n_groups)
+
+
+def test_byte_level_ids_are_the_libraries(small):
+    """Both ways to encode, on texts and on every code point among letters, digits, signs and blanks."""
+    a = ByteLevel(open(A, encoding="utf-8").read())
+    assert a.quick is not None
+    texts = [x for _, x in small if len(x) < 20_000]
+    for k in range(0, 0x20000, 16):
+        signs = [chr(c) for c in range(k, k + 16) if not 0xD800 <= c <= 0xDFFF]
+        texts.append(" ".join(f"a{c}b 1{c}2  {c}\n{c}{c}!{c}?" for c in signs))
+    for text in texts:
+        assert a.quick.encode_ordinary(" " + text) == a.library.encode(" " + text, add_special_tokens=False).ids
+
+
+def test_windows_that_share_a_hash_stay_apart(small, monkeypatch):
+    """Were all hashes equal, or two each, windows would still be told apart by their ids."""
+    a, b = ByteLevel(open(A, encoding="utf-8").read()), Pieces(open(B, "rb").read())
+    texts = [x for _, x in small[:20]]
+    right = Aligner(a, b)(texts)
+    hashed = Runs.hashed
+    for bits in (0, 5, 12):
+        monkeypatch.setattr(Runs, "hashed", lambda self, salt: hashed(self, salt) & Runs.hashed.mask)
+        Runs.hashed.mask = (1 << bits) - 1
+        aligner = Aligner(a, b)
+        for _ in range(2):
+            wrong = aligner(texts)
+            assert all(list(right[n]) == list(wrong[n]) for n in right)
+            wrong = [aligner([x]) for x in texts]
+            assert [x["groups_sha256"][0] for x in wrong] == list(right["groups_sha256"])
+
+
+def test_pieces_by_words_are_the_librarys(small):
+    b = Pieces(open(B, "rb").read())
+    assert b.by_words
+    texts = [x for _, x in small if x] + [x for _, x in SPECIAL] + [x for _, x in ODD if x]
+    ids, count = b.flat(texts)
+    assert ids.tolist() == [k for x in texts for k in b.library.encode(x)]
+    assert count.tolist() == [len(b.library.encode(x)) for x in texts]
 
 
 def test_query_takes_the_whole_table(spark):
