@@ -19,7 +19,7 @@ from hubtrace import operators as ops  # noqa: E402
 from hubtrace import sources  # noqa: E402
 from hubtrace.plans import incidents, overview, testdata  # noqa: E402
 from hubtrace.plans.construction import KEY, TIME_COLS  # noqa: E402
-from hubtrace.plans.suite import run_suite  # noqa: E402
+from hubtrace.plans.suite import run_suite, with_kept_incidents  # noqa: E402
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -32,16 +32,16 @@ def _rounded(df: DataFrame, digits: int, *cols: str) -> DataFrame:
 
 
 def _incidents(name: str, *double_sums: str, digits: int = 2) -> Query:
-    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        out = incidents.INCIDENT_QUERIES[name](testdata.star(spark, sf_dir))
+    def run(spark: SparkSession, sf_dir: str, star=None) -> DataFrame:
+        out = incidents.INCIDENT_QUERIES[name](star or testdata.star(spark, sf_dir))
         return _rounded(out, digits, *double_sums) if double_sums else out
 
     return run
 
 
-def event_rate_by_region(spark: SparkSession, sf_dir: str) -> DataFrame:
+def event_rate_by_region(spark: SparkSession, sf_dir: str, star=None) -> DataFrame:
     lookup = testdata.region_lookup(spark, sf_dir)
-    return incidents.rate_by_region(testdata.star(spark, sf_dir), lookup)
+    return incidents.rate_by_region(star or testdata.star(spark, sf_dir), lookup)
 
 
 CORRELATIONS: dict[str, Query] = {
@@ -216,7 +216,8 @@ def report_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def suite_status(spark: SparkSession, sf_dir: str) -> DataFrame:
-    named = {n: (lambda q=q: q(spark, sf_dir)) for n, q in CORRELATIONS.items()}
+    star = with_kept_incidents(spark, testdata.star(spark, sf_dir))
+    named = {n: (lambda q=q: q(spark, sf_dir, star)) for n, q in CORRELATIONS.items()}
     return run_suite(spark, named)
 
 

@@ -1,4 +1,4 @@
-from hubtrace.operators.band import band_join, band_rates, event_sites
+from hubtrace.operators.band import band_join, band_rates
 from hubtrace.operators.cooccur import cooccurrence
 from hubtrace.operators.graph import fk_edges, label_table
 from hubtrace.operators.keys import key_match, top_keys
@@ -21,8 +21,10 @@ from hubtrace.operators.rates import (
     top_k,
 )
 from hubtrace.operators.sample import sample_for_keys, sample_rows
+from hubtrace.operators.sites import KeptSites, event_sites, id_masks
 
 __all__ = [
+    "KeptSites",
     "activity_density",
     "band_join",
     "band_rates",
@@ -35,6 +37,7 @@ __all__ = [
     "event_sites",
     "events_per_key",
     "fk_edges",
+    "id_masks",
     "key_match",
     "label_table",
     "latest_per_key",

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hubtrace.functions import known, safe_ratio
-from hubtrace.operators.band import event_sites
+from hubtrace.operators.sites import Events, KeptSites, sites_by_key
 
 
 def top_k(df: DataFrame, by: Sequence[str], k: int, ties: Sequence[str]) -> DataFrame:
@@ -18,9 +18,11 @@ def top_k(df: DataFrame, by: Sequence[str], k: int, ties: Sequence[str]) -> Data
 
 
 def events_per_key(
-    events: DataFrame, key: str, event_id: str, name: str = "n_events"
+    events: Events, key: str, event_id: str, name: str = "n_events"
 ) -> DataFrame:
     """Distinct event ids per key. NULL keys are left out: they match nothing."""
+    if isinstance(events, KeptSites):
+        return events.per_key(name)
     return (
         events.where(known(key))
         .groupBy(key)
@@ -29,7 +31,7 @@ def events_per_key(
 
 
 def _with_event_count(
-    df: DataFrame, events: DataFrame, key: str, event_id: str, name: str
+    df: DataFrame, events: Events, key: str, event_id: str, name: str
 ) -> DataFrame:
     counted = df.join(events_per_key(events, key, event_id, name), key, "left")
     return counted.fillna(0, subset=[name])
@@ -37,7 +39,7 @@ def _with_event_count(
 
 def event_rate_by_key(
     hub: DataFrame,
-    events: DataFrame,
+    events: Events,
     key: str,
     event_id: str,
     day: str,
@@ -46,22 +48,25 @@ def event_rate_by_key(
     last: str = "last_event",
 ) -> DataFrame:
     """Every hub key with its distinct events, first and last day; zeros kept."""
-    per_key = (
-        events.where(known(key))
-        .groupBy(key)
-        .agg(
-            F.countDistinct(event_id).alias(n_events),
-            F.min(day).alias(first),
-            F.max(day).alias(last),
+    if isinstance(events, KeptSites):
+        per_key = events.per_key(n_events, first, last)
+    else:
+        per_key = (
+            events.where(known(key))
+            .groupBy(key)
+            .agg(
+                F.countDistinct(event_id).alias(n_events),
+                F.min(day).alias(first),
+                F.max(day).alias(last),
+            )
         )
-    )
     keys = hub.select(key).distinct()
     return keys.join(per_key, key, "left").fillna(0, subset=[n_events])
 
 
 def event_rate_by_attr(
     attrs: DataFrame,
-    events: DataFrame,
+    events: Events,
     key: str,
     event_id: str,
     attr: str,
@@ -76,7 +81,7 @@ def event_rate_by_attr(
     more than a quiet one; the few ids that occur under several keys are added apart.
     """
     attrs = attrs.select(key, attr)
-    sites, roaming = event_sites(events, [key], event_id)
+    sites, roaming = sites_by_key(events, key, event_id)
     out = attrs.join(sites, key, "left").groupBy(attr).agg(
         F.count(key).alias(n_keys), F.coalesce(F.sum("_ids"), F.lit(0)).alias(n_events)
     )
@@ -91,7 +96,7 @@ def event_rate_by_attr(
 
 def activity_density(
     logs: DataFrame,
-    events: DataFrame,
+    events: Events,
     key: str,
     day: str,
     value: str,
@@ -122,7 +127,7 @@ def activity_density(
 
 def burstiness(
     logs: DataFrame,
-    events: DataFrame,
+    events: Events,
     key: str,
     day: str,
     value: str,
@@ -147,7 +152,7 @@ def burstiness(
 
 
 def period_overlap(
-    events: DataFrame,
+    events: Events,
     activity: DataFrame,
     key: str,
     event_day: str,
@@ -166,6 +171,8 @@ def period_overlap(
         start = F.trunc(F.col(day).cast("date"), unit).alias("_start")
         return df.where(known(key, day)).select(key, start).distinct()
 
+    if isinstance(events, KeptSites):
+        events = events.sites
     busy = periods(activity, activity_day).withColumn("_busy", F.lit(1))
     return (
         periods(events, event_day)

@@ -24,6 +24,7 @@ from hubtrace.operators import (
     period_overlap,
     top_k,
 )
+from hubtrace.operators.sites import Events, KeptSites
 from hubtrace.plans.construction import KEY
 
 Tables = Mapping[str, DataFrame]
@@ -33,6 +34,9 @@ OCCURRED = "dt_incident_occurred"
 LOGGED = "dt_log_date"
 OBSERVED = "dt_observation_created"
 
+#: Where the condensed incidents stand among the tables, if a suite has made them.
+SITES = "incident_sites"
+
 # Bucket edges and labels.
 CLOSE_STEPS = [("<=", 1, "0-1d"), ("<=", 3, "1-3d"), ("<=", 7, "3-7d"), ("<=", 14, "7-14d")]
 FLOAT_STEPS = [
@@ -44,6 +48,15 @@ SIZE_STEPS = [
 ]
 
 
+def keep_incidents(incident: DataFrame, path: str) -> KeptSites:
+    """Incidents condensed to (project, day), for all queries that count distinct ids."""
+    return KeptSites.write(incident, KEY, OCCURRED, INCIDENT, path)
+
+
+def _incidents(t: Tables) -> Events:
+    return t[SITES] if SITES in t else t["incident"]
+
+
 def _ranked(df: DataFrame, by: str, *ties: str) -> DataFrame:
     return df.orderBy(F.desc_nulls_last(by), *[F.asc_nulls_last(c) for c in ties])
 
@@ -59,7 +72,7 @@ def _few_ranked(df: DataFrame, by: str, tie: str) -> DataFrame:
 
 def rate_by_project(t: Tables) -> DataFrame:
     rates = event_rate_by_key(
-        t["hub"], t["incident"], KEY, INCIDENT, OCCURRED,
+        t["hub"], _incidents(t), KEY, INCIDENT, OCCURRED,
         n_events="n_incidents", first="first_incident", last="last_incident",
     )
     return _ranked(rates, "n_incidents", KEY)
@@ -79,7 +92,7 @@ def _rate_by_latest(
     if lookup:
         newest = newest.join(lookup[1], source, "left").select(KEY, attr)
     rates = event_rate_by_attr(
-        newest, t["incident"], KEY, INCIDENT, attr, "n_projects", "n_incidents", ratio
+        newest, _incidents(t), KEY, INCIDENT, attr, "n_projects", "n_incidents", ratio
     )
     return _ranked(rates, "n_incidents", attr)
 
@@ -98,7 +111,7 @@ def rate_by_region(t: Tables, lookup: tuple[str, DataFrame] | None = None) -> Da
 
 def worker_density(t: Tables) -> DataFrame:
     density = activity_density(
-        t["site_log"], t["incident"], KEY, LOGGED, "n_workers_total", INCIDENT,
+        t["site_log"], _incidents(t), KEY, LOGGED, "n_workers_total", INCIDENT,
         mean="avg_daily_workers", peak="max_daily_workers", n_events="n_incidents",
     )
     return top_k(density, ["n_incidents"], 200, [KEY])
@@ -106,7 +119,7 @@ def worker_density(t: Tables) -> DataFrame:
 
 def _near_site_logs(t: Tables, dim: str, logs: DataFrame, dedupe: bool) -> DataFrame:
     near = band_rates(
-        logs, t["incident"], key=KEY, fact_day=LOGGED, event_day=OCCURRED,
+        logs, _incidents(t), key=KEY, fact_day=LOGGED, event_day=OCCURRED,
         event_id=INCIDENT, dims=[dim], lo=-7, hi=7, entity=KEY, n_entities="n_projects",
         n_events="n_incidents", weight="n_workers_total", weight_sum="total_workers",
         dedupe=dedupe,
@@ -133,7 +146,7 @@ def trade_cooccurrence(t: Tables) -> DataFrame:
 
 def _after_observations(t: Tables, observations: DataFrame, dims: list[str]) -> DataFrame:
     after = band_rates(
-        observations, t["incident"], key=KEY, fact_day=OBSERVED, event_day=OCCURRED,
+        observations, _incidents(t), key=KEY, fact_day=OBSERVED, event_day=OCCURRED,
         event_id=INCIDENT, dims=dims, lo=0, hi=14, entity="ids_observation",
         n_entities="n_observations", n_events="n_incidents_within_14d",
     )
@@ -156,7 +169,7 @@ def after_schedule_float(t: Tables) -> DataFrame:
     bucket = bucketize(F.col("amt_float"), FLOAT_STEPS, "very_ahead", null_label="null")
     tasks = t["task_update"].where("is_active_record").withColumn("float_bucket", bucket)
     after = band_rates(
-        tasks, t["incident"], key=KEY, fact_day="dt_effective_from", event_day=OCCURRED,
+        tasks, _incidents(t), key=KEY, fact_day="dt_effective_from", event_day=OCCURRED,
         event_id=INCIDENT, dims=["float_bucket"], lo=0, hi=14, entity=KEY,
         n_entities="n_projects", n_events="n_incidents",
     )
@@ -182,7 +195,7 @@ def by_day_of_week(t: Tables) -> DataFrame:
 
 def activity_burstiness(t: Tables) -> DataFrame:
     bursts = burstiness(
-        t["site_log"], t["incident"], KEY, LOGGED, "n_workers_total", INCIDENT,
+        t["site_log"], _incidents(t), KEY, LOGGED, "n_workers_total", INCIDENT,
         min_days=10, n_events="n_incidents",
     )
     return top_k(bursts, ["n_incidents"], 200, [KEY])
@@ -200,7 +213,7 @@ def by_contract_size(t: Tables) -> DataFrame:
         KEY, bucketize(F.col("amt_contract"), SIZE_STEPS, "100M+").alias("size_bucket")
     )
     rates = event_rate_by_attr(
-        sizes, t["incident"], KEY, INCIDENT, "size_bucket",
+        sizes, _incidents(t), KEY, INCIDENT, "size_bucket",
         "n_projects", "n_incidents", "incidents_per_project",
     )
     return _few_ranked(rates, "incidents_per_project", "size_bucket")
@@ -208,7 +221,7 @@ def by_contract_size(t: Tables) -> DataFrame:
 
 def timecard_overlap(t: Tables) -> DataFrame:
     return period_overlap(
-        t["incident"], t["timecard"], KEY, OCCURRED, "dt_item_date", "week",
+        _incidents(t), t["timecard"], KEY, OCCURRED, "dt_item_date", "week",
         both="incident_weeks_with_timecard", total="total_incident_weeks",
     )
 

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 from functools import partial
-from threading import Lock
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -14,7 +13,7 @@ from hubtrace.operators.keys import top_keys
 from hubtrace.plans.construction import HUB, KEY, SPECS, TIME_COLS
 from hubtrace.plans.incidents import INCIDENT_QUERIES
 from hubtrace.plans.overview import profile_categories, profile_numbers
-from hubtrace.plans.suite import run_suite
+from hubtrace.plans.suite import Once, run_suite, with_kept_incidents
 
 
 def write_report_set(
@@ -25,13 +24,14 @@ def write_report_set(
     ``tables`` are the role tables at hand. Statistics, profiles and samples are made table by
     table, so one that cannot be read fails in its own lines alone, as does a query that needs it.
     """
-    busiest = _Once(lambda: _at_hand(top_keys(tables["incident"], KEY, 5)))
+    shared = with_kept_incidents(spark, tables)
+    busiest = Once(lambda: _at_hand(top_keys(tables["incident"], KEY, 5)))
     named = {
         "key_match": lambda: key_match(tables[HUB], _facts(tables), KEY),
         "top_incident_projects": busiest,
     }
     for name, query in INCIDENT_QUERIES.items():
-        named[name] = partial(query, tables)
+        named[name] = partial(query, shared)
     for name in tables:
         one = partial(_only, tables, name)
         named[f"table_stats_{name}"] = lambda one=one: table_stats(one(), KEY, TIME_COLS)
@@ -43,19 +43,6 @@ def write_report_set(
     return run_suite(spark, named, path, at_once)
 
 
-class _Once:
-    """A value that several reports use, made by the first that asks; a failure is not kept."""
-
-    def __init__(self, make):
-        self._make, self._lock, self._made = make, Lock(), []
-
-    def __call__(self):
-        with self._lock:
-            if not self._made:
-                self._made.append(self._make())
-            return self._made[0]
-
-
 def _at_hand(df: DataFrame) -> DataFrame:
     """A table cut to a few rows, as a table of the driver."""
     return df.sparkSession.createDataFrame(df.collect(), df.schema)
@@ -83,5 +70,5 @@ def _some_rows(tables: Mapping[str, DataFrame], name: str) -> DataFrame:
     return sample_rows(tables[name], 20)
 
 
-def _of_top_projects(tables: Mapping[str, DataFrame], name: str, busiest: _Once) -> DataFrame:
+def _of_top_projects(tables: Mapping[str, DataFrame], name: str, busiest: Once) -> DataFrame:
     return sample_for_keys(tables[name], busiest(), KEY, 200)

@@ -4,15 +4,42 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping
 from concurrent.futures import ThreadPoolExecutor
+from functools import partial
+from threading import Lock
 
 from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from hubtrace.plans.incidents import SITES, keep_incidents
+from hubtrace.sources import Tables, scratch_dir
 from hubtrace.sources.export import message_of
 from hubtrace.sources.report import write_report
 
 
+class Once:
+    """A value that several queries use, made by the first that asks; a failure is not kept."""
+
+    def __init__(self, make: Callable):
+        self._make, self._lock, self._made = make, Lock(), []
+
+    def __call__(self):
+        with self._lock:
+            if not self._made:
+                self._made.append(self._make())
+            return self._made[0]
+
+
+def with_kept_incidents(spark: SparkSession, tables: Mapping[str, DataFrame]) -> Tables:
+    """The tables, and the incidents condensed to their sites for all queries of a suite.
+
+    The first query that needs the sites writes them to a scratch folder; the others wait and read them.
+    So the suite shuffles incidents on their id once, however many queries count them.
+    """
+    kept = Once(lambda: keep_incidents(tables["incident"], scratch_dir(spark)))
+    return Tables({**{n: partial(tables.__getitem__, n) for n in tables}, SITES: kept})
+
+
 def run_suite(
     spark: SparkSession,
     named: Mapping[str, Callable[[], DataFrame]],

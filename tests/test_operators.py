@@ -121,6 +121,61 @@ def test_band_join_rejects_bad_arguments(spark):
         ops.band_join(df, df, "k", "t", "t", 0, 1, "full")
 
 
+@pytest.mark.parametrize("how", ["inner", "left", "left_semi", "left_anti"])
+def test_band_join_is_the_same_however_it_is_split(spark, how):
+    r = random.Random(9)
+    left = [(i, None if i % 50 == 0 else "hot" if i % 3 else r.choice("ab"), d(r.randrange(6))) for i in range(400)]
+    left += [left[1]] * 20
+    right = [(j, r.choice(["hot", "a", "c", None]), d(r.randrange(30))) for j in range(60)]
+    lf = spark.createDataFrame(left, "i int, k string, t date")
+    rf = spark.createDataFrame(right, "j int, k string, e date")
+    whole = rows(ops.band_join(lf, rf, "k", "t", "e", 0, 4, how, crowd=None))
+    assert whole
+    for crowd in (1, 7, 100):
+        assert rows(ops.band_join(lf, rf, "k", "t", "e", 0, 4, how, crowd=crowd)) == whole
+
+
+def test_busy_places_are_dealt_over_join_tasks(spark):
+    """3,000 rows of one key and block: without a limit in one task, else in about as many as it takes."""
+    key = F.format_string("hot%d", F.pmod("id", F.lit(1)))
+    left = spark.range(3_000).select("id", key.alias("k"), F.date_add(F.lit(d(0)), F.pmod("id", F.lit(1)).cast("int")).alias("t"))
+    right = spark.createDataFrame([("hot0", d(0))], "k string, e date")
+    settings = {"spark.sql.adaptive.enabled": "false", "spark.sql.shuffle.partitions": "64", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    old = {n: spark.conf.get(n) for n in settings}
+    try:
+        for n, v in settings.items():
+            spark.conf.set(n, v)
+
+        def fullest(crowd):
+            met = ops.band_join(left, right, "k", "t", "e", 0, 4, crowd=crowd)
+            counts = [x["count"] for x in met.groupBy(F.spark_partition_id()).count().collect()]
+            assert sum(counts) == 3_000
+            return max(counts)
+
+        assert fullest(None) == 3_000
+        assert fullest(100) <= 500
+    finally:
+        for n, v in old.items():
+            spark.conf.set(n, v)
+
+
+def test_masks_tell_ids_apart(spark):
+    """300 ids at several of 40 sites: the union of any sites' masks has as many bits as they have ids."""
+    r = random.Random(11)
+    pairs = {(f"i{n}", f"s{r.randrange(40)}") for n in range(300) for _ in range(4)}
+    events = spark.createDataFrame(sorted(pairs), "i string, s string")
+    sites, roaming = ops.event_sites(events, ["s"], "i")
+    masks = [tuple(x) for x in ops.id_masks(roaming, ["s"], "i").collect()]
+    listed = {tuple(x) for x in roaming.select("i", "s").collect()}
+    for _ in range(20):
+        some = set(r.sample([f"s{n}" for n in range(40)], r.randrange(1, 40)))
+        union = {}
+        for s, chunk, mask in masks:
+            if s in some:
+                union[chunk] = union.get(chunk, 0) | (mask & (2**64 - 1))
+        assert sum(m.bit_count() for m in union.values()) == len({i for i, s in listed if s in some})
+
+
 def test_timestamps_are_cut_to_their_day(spark):
     late = datetime.datetime(2024, 3, 15, 23, 59)
     left = spark.createDataFrame([("a", datetime.datetime(2024, 3, 1, 8))], "k string, t timestamp_ntz")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry
 from hubtrace import operators as ops
 from hubtrace.plans import INCIDENT_QUERIES, testdata, write_report_set
+from hubtrace.plans.suite import with_kept_incidents
 from hubtrace.sources import Tables
 
 SF = "/root/testdata/sf0.001"
@@ -65,14 +66,25 @@ def test_building_a_plan_runs_no_job(spark, jobs, name):
     assert jobs(lambda: QUERIES[name](spark, SF)) == 0
 
 
-@pytest.mark.parametrize("name", ["severity_vs_events", "slack_vs_events", "event_rate_by_attr_ratio"])
+@pytest.mark.parametrize("name", ["severity_vs_events", "slack_vs_events", "events_by_vendor_window", "event_rate_by_attr_ratio"])
 def test_events_are_shuffled_on_their_id_once(shuffled, name):
+    """All branches read one shuffle of (id, site) pairs; ids are looked up among those pairs."""
     shuffled.conf.set("spark.sql.adaptive.enabled", "false")  # else an empty branch is cut out before
     try:
         plan = plan_of(QUERIES[name](shuffled, SF))
     finally:
         shuffled.conf.set("spark.sql.adaptive.enabled", "true")
-    assert re.search(r"ReusedExchange .*_rows|ReusedExchange .*event_id|ReusedExchange .*ids_incident", plan)
+    pairs = re.findall(r"(?m)^[ :+-]*Exchange hashpartitioning\(ids_incident_number#\d+L?, ", plan)
+    assert len(pairs) == 1 and plan.count("ReusedExchange") >= 2
+
+
+def test_a_suite_reads_incidents_once(shuffled):
+    """With shared sites, no query that counts ids scans or shuffles the incidents themselves."""
+    star = with_kept_incidents(shuffled, testdata.star(shuffled, SF))
+    counting = set(entry.CORRELATIONS) - {"cooccurrence", "events_by_month", "events_by_dow", "event_type_freq"}
+    for name in sorted(counting):
+        plan = plan_of(entry.CORRELATIONS[name](shuffled, SF, star))
+        assert "EqualTo(event_type,error)" not in plan, name
 
 
 def test_cooccurrence_has_one_plan(spark):

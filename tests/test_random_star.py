@@ -142,6 +142,16 @@ def test_matches_plain_join(star, name):
     assert of_frame(out) == theirs
 
 
+def test_shared_event_sites_change_nothing(star, spark, tmp_path):
+    """Every query that counts events gives the same from sites that were written once."""
+    frames, _ = star
+    shared = {**frames, incidents.SITES: incidents.keep_incidents(frames["incident"], str(tmp_path / "sites"))}
+    for name, (query, _, _) in CASES.items():
+        if name not in ("cooccurrence", "events_by_month", "events_by_dow"):
+            one, other = (incidents.INCIDENT_QUERIES[query](t) for t in (frames, shared))
+            assert of_frame(one) == of_frame(other), name
+
+
 def test_fact_counts_once_on_request(star):
     frames, con = star
     out = incidents.by_trade(frames, dedupe=True).select("cat_trade", "total_workers")
