@@ -74,7 +74,7 @@ def test_events_are_shuffled_on_their_id_once(shuffled, name):
         plan = plan_of(QUERIES[name](shuffled, SF))
     finally:
         shuffled.conf.set("spark.sql.adaptive.enabled", "true")
-    pairs = re.findall(r"(?m)^[ :+-]*Exchange hashpartitioning\(ids_incident_number#\d+L?, ", plan)
+    pairs = re.findall(r"(?m)^[ :+-]*Exchange hashpartitioning\(ids_incident_number#\d+L?, ids_project_number", plan)
     assert len(pairs) == 1 and plan.count("ReusedExchange") >= 2
 
 
