@@ -5,13 +5,16 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 PERCENTILES = (0.25, 0.50, 0.75, 0.95, 0.99)
-_BINS_PER_OCTAVE = 64
 _PARTS = 1 << 16
 _CUTS = 4
+#: Size of the sketch that brackets the ranks, and the share of ranks a bracket reaches to either side: several
+#: times the sketch's usual error. Only speed hangs on it.
+_SKETCH, _REACH = 4096, 0.004
 
 
 def long_numbers(df: DataFrame, cols: Sequence[str]) -> DataFrame:
@@ -27,17 +30,16 @@ def distributions(
     """Count, NULLs, range, mean, sample deviation and percentiles of each series of ``x``.
 
     The value at percentile ``p`` of ``n`` values is the one at rank
-    ``ceil(p * n)``. Ranks are found by counting, in rounds:
+    ``ceil(p * n)``. Ranks are found by counting, in two scans as a rule:
 
-    1. count values in bins of fixed relative width, find the bins holding a rank;
-       the other statistics come from the same bins;
-    2. cut just the bins that hold a rank into equal parts between their least and greatest
-       value, count again, and find the parts holding a rank; and so on with those.
+    1. a quantile sketch of each series, with the other statistics, gives two values that the
+       value at a rank very likely lies between;
+    2. values are counted by bracket: between brackets all together, inside a bracket by 2^16 equal parts. The
+       counts, which are exact, tell which part holds the rank.
 
-    A bin or part whose least and greatest value agree is done. A bin spans less than
-    2^46 numbers and each cut divides it by 2^16, so three cuts settle every rank (a
-    fourth allows for rounding). Map tasks reduce each round to at most 2^16
-    counters per open part, so no task and no merge ever holds the values of a series.
+    A part whose least and greatest value agree is done. One that holds several values, or a stretch
+    outside the brackets should the sketch have missed, is cut into 2^16 parts again, with those
+    parts alone. No step counts single values, and no task and no merge ever holds the values of a series.
 
     Each round is a job that runs while the plan is built: what it finds, a line per series and
     percentile, comes to the driver and shapes the next one. Nothing is written.
@@ -47,11 +49,15 @@ def distributions(
     if any(abs(p * 1000 - t) > 1e-9 or not 0 < t <= 1000 for p, t in zip(probs, thousandths)):
         raise ValueError("probs must be whole thousandths in (0, 1]")
 
-    binned = long.withColumn("_bin", _magnitude_bin(F.col("x")))
-    summary = _at_hand(_summary(binned, series, thousandths))
-    at = summary.select(*series, F.inline("_asked")).where("_bin IS NOT NULL")
+    lines = _summary(long, series, thousandths).collect()
+    summary = long.sparkSession.createDataFrame(lines, _summary_type(long, series))
+    inside = [*series, "_bracket", "_part"]
+    values = _bracketed(long.where("x IS NOT NULL"), lines, series, len(thousandths))
+    asked = summary.select(*series, F.explode(F.array(*[
+        F.struct(F.lit(t).alias("_t"), F.expr(f"(count * {t} + 999) div 1000").alias("_rank")) for t in thousandths
+    ])).alias("_a")).select(*series, "_a.*").where("_rank > 0")
+    at = _at_hand(_locate(values, asked, series, "_bracket", "_part"))
     found = [_settled(at, series)]
-    values, inside = binned.where("x IS NOT NULL"), [*series, "_bin"]
     for cut in range(_CUTS):
         at = at.where("_lo < _hi")
         if at.isEmpty():
@@ -66,7 +72,7 @@ def distributions(
             for p, t in zip(probs, thousandths)
         ]
     )
-    return summary.drop("_asked").join(wide, series, "left")
+    return summary.drop("_likely").join(wide, series, "left")
 
 
 def _settled(at: DataFrame, series: list[str]) -> DataFrame:
@@ -78,46 +84,72 @@ def percentile_name(p: float) -> str:
     return f"p{p * 100:g}"
 
 
-def _summary(binned: DataFrame, series: list[str], thousandths: list[int]) -> DataFrame:
-    """One line per series: its statistics, and the bin of every asked rank."""
+def _finite(x: Column) -> Column:
+    return ~F.isnan(x) & (F.abs(x) < float("inf"))
+
+
+def _summary(long: DataFrame, series: list[str], thousandths: list[int]) -> DataFrame:
+    """One line per series: its statistics, and two values around each percentile in ``_likely``."""
     x = F.col("x")
-    bins = binned.groupBy(*series, "_bin").agg(
-        F.count(x).alias("_n"),
-        F.count_if(x.isNull()).alias("_nulls"),
-        F.min(x).alias("_lo"),
-        F.max(x).alias("_hi"),
-        F.avg(x).alias("_mean"),
-        F.var_pop(x).alias("_var"),
+    ranks = [min(max(t / 1000 + d, 0.0), 1.0) for t in thousandths for d in (-_REACH, _REACH)]
+    sketch = F.kll_sketch_agg_double(F.when(_finite(x), x), F.lit(_SKETCH))
+    lines = long.groupBy(*series).agg(
+        F.count(x).alias("count"),
+        F.count_if(x.isNull()).alias("null_count"),
+        F.min(x).alias("min"),
+        F.max(x).alias("max"),
+        F.avg(x).alias("mean"),
+        F.stddev_samp(x).alias("std"),
+        F.count_if(_finite(x)).alias("_finite"),
+        sketch.alias("_sketch"),
     )
-    whole = Window.partitionBy(*series)
-    running = whole.orderBy("_bin").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    n = F.col("_n")
-    bins = bins.withColumns(
-        {
-            "_upto": F.sum(n).over(running),
-            "_total": F.sum(n).over(whole),
-            "_sum": F.sum(n * F.col("_mean")).over(whole),
-        }
-    ).withColumn("_centre", F.col("_sum") / F.when(F.col("_total") > 0, F.col("_total")))
-    spread = n * (F.col("_var") + F.pow(F.col("_mean") - F.col("_centre"), 2))
-    total = F.max("_total")
-
-    def asked(t: int) -> Column:
-        rank = F.expr(f"(_total * {t} + 999) div 1000")
-        before = F.col("_upto") - n
-        here = F.struct(
-            F.lit(t).alias("_t"), "_bin", "_lo", "_hi", (rank - before).alias("_rank")
-        )
-        return F.max(F.when((rank > before) & (rank <= F.col("_upto")), here))
-
-    return bins.groupBy(*series).agg(
-        total.alias("count"),
-        F.sum("_nulls").alias("null_count"),
-        F.min("_lo").alias("min"),
-        F.max("_hi").alias("max"),
-        F.max("_centre").alias("mean"),
-        F.sqrt(F.sum(spread) / F.when(total > 1, total - 1)).alias("std"),
-        F.array(*[asked(t) for t in thousandths]).alias("_asked"),
+    likely = F.kll_sketch_get_quantile_double("_sketch", F.array(*[F.lit(r) for r in ranks]))
+    return lines.select(
+        *series, "count", "null_count", "min", "max", "mean", "std",
+        F.when(F.col("_finite") > 0, likely).alias("_likely"),
+    )
+
+
+def _summary_type(long: DataFrame, series: list[str]) -> T.StructType:
+    names = {"count": T.LongType(), "null_count": T.LongType()}
+    names |= dict.fromkeys(["min", "max", "mean", "std"], T.DoubleType())
+    names["_likely"] = T.ArrayType(T.DoubleType())
+    return T.StructType([long.schema[c] for c in series] + [T.StructField(n, t) for n, t in names.items()])
+
+
+def _bracketed(long: DataFrame, lines: list[Row], series: list[str], asked: int) -> DataFrame:
+    """Values with their bracket, an integer that never falls as ``x`` rises, and their part of it.
+
+    The ends of all brackets of a series, in order, are brackets of their own, as are the infinities and NaN, which
+    sorts above them. What lies between two ends is cut into parts only where a bracket covers it.
+    """
+    bounds = []
+    for line in lines:
+        likely = line["_likely"] or []
+        pairs = list(zip(likely[::2], likely[1::2]))
+        ends = sorted(likely)
+        covered = [any(lo <= a and b <= hi for lo, hi in pairs) for a, b in zip(ends, ends[1:])]
+        bounds.append((*[line[c] for c in series], ends, [False, *covered, False]))
+    schema = T.StructType(
+        [long.schema[c] for c in series]
+        + [T.StructField("_ends", T.ArrayType(T.DoubleType())), T.StructField("_cut", T.ArrayType(T.BooleanType()))]
+    )
+    # One line a series.
+    known = F.broadcast(long.sparkSession.createDataFrame(bounds, schema))
+    x, k = F.col("x"), F.col("_k")
+    passed = reduce(Column.__add__, [(x > F.get("_ends", F.lit(i))).cast("int") for i in range(2 * asked)])
+    met = long.join(known, series).withColumn("_k", F.coalesce(F.when(_finite(x), passed), F.lit(0)))
+    low, high = F.get("_ends", k - 1), F.get("_ends", k)
+    on_end = F.coalesce(x == high, F.lit(False))
+    bracket = 2 * k + on_end.cast("int")
+    top = 4 * asked
+    bracket = F.when(F.isnan(x), F.lit(top + 2)).when(x == float("inf"), F.lit(top + 1)).when(
+        x == -float("inf"), F.lit(-1)
+    ).otherwise(bracket)
+    place = F.greatest(F.least(F.floor((x - low) / (high - low) * _PARTS), F.lit(_PARTS - 1)), F.lit(0))
+    inner = _finite(x) & F.get("_cut", k) & ~on_end
+    return met.select(
+        *series, "x", bracket.alias("_bracket"), F.coalesce(F.when(inner, place), F.lit(0)).cast("int").alias("_part")
     )
 
 
@@ -137,14 +169,14 @@ def _split(values: DataFrame, at: DataFrame, inside: list[str], part: str) -> Da
     )
 
 
-def _locate(values: DataFrame, asked: DataFrame, group: list[str], item: str) -> DataFrame:
+def _locate(values: DataFrame, asked: DataFrame, group: list[str], *item: str) -> DataFrame:
     """For each asked rank within a group, the item holding it and the rank inside it."""
-    counts = values.groupBy(*group, item).agg(
+    counts = values.groupBy(*group, *item).agg(
         F.count("*").alias("_n"), F.min("x").alias("_lo"), F.max("x").alias("_hi")
     )
     running = (
         Window.partitionBy(*group)
-        .orderBy(item)
+        .orderBy(*item)
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
     upto = counts.withColumn("_upto", F.sum("_n").over(running))
@@ -152,24 +184,6 @@ def _locate(values: DataFrame, asked: DataFrame, group: list[str], item: str) ->
         upto.join(F.broadcast(asked.select(*group, "_t", "_rank")), group)
         .where("_rank <= _upto AND _rank > _upto - _n")
         .select(
-            *group, item, "_lo", "_hi", "_t", F.expr("_rank - (_upto - _n)").alias("_rank")
+            *group, *item, "_lo", "_hi", "_t", F.expr("_rank - (_upto - _n)").alias("_rank")
         )
     )
-
-
-def _magnitude_bin(x: Column) -> Column:
-    """An integer that never falls as ``x`` rises: sign and 1/64 octave of size.
-
-    Infinities take the outermost bins; NaN sorts above them, as in Spark.
-    """
-    offset, outer = 1 << 17, 1 << 18
-    octave = F.floor(F.log2(F.abs(x)) * _BINS_PER_OCTAVE) + offset
-    finite = F.when(x > 0, octave).when(x < 0, -octave).otherwise(F.lit(0))
-    infinite = float("inf")
-    return (
-        F.when(F.isnan(x), F.lit(outer + 1))
-        .when(x == infinite, F.lit(outer))
-        .when(x == -infinite, F.lit(-outer))
-        .otherwise(finite)
-        .cast("int")
-    )

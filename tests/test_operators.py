@@ -350,10 +350,10 @@ def test_percentiles_of_a_crowd_next_to_one_outlier(spark, monkeypatch):
     df = spark.range(n).select((1 + F.col("id") * 1e-14).alias("x")).union(spark.createDataFrame([(1.01,)], "x double"))
     most, real = [], percentiles._locate
 
-    def seen(values, at, inside, part):
-        counters = values.groupBy(*inside, part).count().groupBy(*inside).count()
+    def seen(values, at, inside, *part):
+        counters = values.groupBy(*inside, *part).count().groupBy(*inside, *part[:-1]).count()
         most.append(counters.agg(F.max("count")).first()[0])
-        return real(values, at, inside, part)
+        return real(values, at, inside, *part)
 
     monkeypatch.setattr(percentiles, "_locate", seen)
     line = ops.numeric_profile(df, ["x"]).first()
@@ -362,6 +362,39 @@ def test_percentiles_of_a_crowd_next_to_one_outlier(spark, monkeypatch):
     assert most and max(most) <= 1 << 16
 
 
+def test_percentiles_hold_whatever_the_sketch_says(spark, monkeypatch):
+    """Brackets that miss their rank cost another cut, never the result."""
+    r = random.Random(13)
+    values = [r.gauss(0, 1) * 10 ** r.randrange(-3, 9) for _ in range(5_000)]
+    df = spark.createDataFrame([(x,) for x in values], "x double").repartition(6)
+    real = percentiles._summary
+    for wrong in ([-1.0] * 10, [1e12] * 10, sorted(r.sample(values, 10)), [values[0], values[0] + 1e-9] * 5):
+        likely = F.array(*[F.lit(float(x)) for x in wrong])
+        monkeypatch.setattr(percentiles, "_summary", lambda *a, x=likely: real(*a).withColumn("_likely", x))
+        line = ops.numeric_profile(df, ["x"]).first()
+        assert [line[f"p{p}"] for p in (25, 50, 75, 95, 99)] == [nth(values, p / 100) for p in (25, 50, 75, 95, 99)]
+
+
+def test_percentiles_take_two_rounds(spark):
+    """Many values, spread and discrete: a sketch and one count settle all ranks."""
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("percentiles", "")
+    try:
+        df = spark.range(100_000).select(
+            (F.pmod(F.xxhash64("id"), F.lit(10**9)) / 1000).alias("spread"), F.pmod("id", F.lit(50)).cast("double").alias("steps")
+        )
+        calls, real = [], percentiles._locate
+        percentiles._locate = lambda *a: calls.append(1) or real(*a)
+        found = ops.numeric_profile(df, ["spread", "steps"])
+    finally:
+        percentiles._locate = real
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert len(calls) == 1 and tracker.getJobIdsForGroup("percentiles")
+    want = sorted(x["spread"] for x in df.select("spread").collect())
+    line = found.where("column = 'spread'").first()
+    assert line["p99"] == nth(want, 0.99) and line["p25"] == nth(want, 0.25)
+
+
 def test_percentiles_of_special_values_and_empty_table(spark):
     inf = float("inf")
     data = [(x,) for x in (-inf, -1e308, -5e-324, 0.0, 5e-324, 2.0, 1.7e308, inf, float("nan"))]
