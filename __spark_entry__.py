@@ -18,7 +18,7 @@ import hubtrace_oracle as oracle  # noqa: E402
 from hubtrace import operators as ops  # noqa: E402
 from hubtrace import sources  # noqa: E402
 from hubtrace.plans import incidents, overview, testdata  # noqa: E402
-from hubtrace.plans.construction import KEY, TIME_COLS  # noqa: E402
+from hubtrace.plans.construction import END_COLS, KEY, SPECS, TIME_COLS  # noqa: E402
 from hubtrace.plans.suite import run_suite, with_kept_incidents  # noqa: E402
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -242,6 +242,45 @@ def label_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def edges_with_end(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = testdata.star(spark, sf_dir)
+    facts = {name: t[name] for name in t if name != "hub"}
+    return ops.fk_edges(t["hub"], facts, KEY, TIME_COLS, end_cols=END_COLS)
+
+
+def edges_at(spark: SparkSession, sf_dir: str) -> DataFrame:
+    anchors = spark.createDataFrame([(a,) for a in oracle.ANCHORS], "anchor date")
+    return ops.edges_at(edges_with_end(spark, sf_dir), anchors, KEY)
+
+
+def label_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = testdata.star(spark, sf_dir)
+    anchors = spark.createDataFrame([(a,) for a in oracle.ANCHORS], "anchor date")
+    return ops.label_windows(
+        t["hub"], t["incident"], t["timecard"], anchors, KEY,
+        "dt_incident_occurred", "dt_item_date", oracle.WINDOWS,
+    )
+
+
+def registry_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ops.check_registry(testdata.star(spark, sf_dir), SPECS)
+
+
+def exported_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of a table exported with a limit per part, and the parts that break a promise."""
+    path = f"{sources.scratch_dir(spark)}/parts"
+    lines = testdata.raw(spark, sf_dir, "lineitem")["lineitem"]
+    sources.export_table(lines, path, max_rows=oracle.PART_ROWS)
+    name = F.element_at(F.split("path", "/"), -1)
+    listed = sources.part_files(spark, path).select(name.alias("_file"), "bytes")
+    held = spark.read.parquet(path).groupBy(F.input_file_name().alias("path")).agg(F.count("*").alias("n"))
+    met = held.select(name.alias("_file"), "n").join(listed, "_file", "full")
+    return met.agg(
+        F.sum("n").alias("rows"), F.count_if(F.col("n") > oracle.PART_ROWS).alias("too_large"),
+        F.count_if(F.col("bytes").isNull()).alias("unlisted"), F.count_if(F.col("n").isNull()).alias("empty"),
+    )
+
+
 def feature_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
     spec = sources.TableSpec(
         primary_key="o_orderkey", foreign_keys={"o_custkey": "customer"}, time_col="o_orderdate"
@@ -258,7 +297,7 @@ PREPARATION: dict[str, Query] = {
         sample_rows, sample_all_rows, top_event_keys,
         sample_top_keys, export_roundtrip, export_coercion, export_summary,
         report_roundtrip, suite_status, conform_types, fk_edges, label_table,
-        feature_projection,
+        feature_projection, edges_with_end, edges_at, label_windows, registry_check, exported_parts,
     )
 }
 

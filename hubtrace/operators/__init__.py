@@ -1,7 +1,7 @@
 from hubtrace.operators.band import band_join, band_rates
 from hubtrace.operators.cooccur import cooccurrence
-from hubtrace.operators.graph import fk_edges, label_table
-from hubtrace.operators.keys import key_match, top_keys
+from hubtrace.operators.graph import edges_at, fk_edges, label_table, label_windows
+from hubtrace.operators.keys import check_registry, key_match, top_keys
 from hubtrace.operators.latest import latest_per_key
 from hubtrace.operators.percentiles import distributions
 from hubtrace.operators.profile import (
@@ -30,8 +30,10 @@ __all__ = [
     "band_rates",
     "burstiness",
     "categorical_profile",
+    "check_registry",
     "cooccurrence",
     "distributions",
+    "edges_at",
     "event_rate_by_attr",
     "event_rate_by_key",
     "event_sites",
@@ -40,6 +42,7 @@ __all__ = [
     "id_masks",
     "key_match",
     "label_table",
+    "label_windows",
     "latest_per_key",
     "numeric_profile",
     "numeric_profiles",

@@ -68,3 +68,4 @@ SPECS: dict[str, TableSpec] = {
 }
 
 TIME_COLS = {role: spec.time_col for role, spec in SPECS.items() if spec.time_col}
+END_COLS = {role: spec.end_time_col for role, spec in SPECS.items() if spec.end_time_col}

@@ -116,6 +116,7 @@ def _task_update(t: Tables) -> DataFrame:
         t,
         "event_type = 'signup'",
         _day("dt_effective_from"),
+        "CASE WHEN event_id % 3 > 0 THEN date_add(CAST(ts AS DATE), CAST(event_id % 40 AS INT)) END AS dt_effective_to",
         "round(value - 50, 0) AS amt_float",
         "event_id % 2 = 0 AS is_active_record",
     )
@@ -134,6 +135,8 @@ def _schedules(t: Tables, status: str, day: str) -> DataFrame:
         "CAST(o_orderkey AS STRING) AS cat_schedule_code",
         f"o_custkey AS {KEY}",
         f"CAST(o_orderdate AS DATE) AS {day}",
+        "CASE WHEN o_orderkey % 4 > 0 THEN date_add(CAST(o_orderdate AS DATE), CAST(o_orderkey % 90 AS INT)) END"
+        " AS dt_effective_to",
         "o_totalprice AS amt_cost",
     )
 

@@ -81,9 +81,13 @@ def export_table(
     max_rows: int = ROWS_PER_PART,
     if_exists: str = "skip",
     set_up: bool = True,
+    merge: bool = False,
 ) -> int | None:
     """Write a table as snappy Parquet with at most ``max_rows`` rows per part.
 
+    ``merge=True`` has Spark rebalance the rows first, so that many small partitions become few parts and skewed
+    ones are split. That is a shuffle of the table, for frames behind a join or an aggregate; stored files of
+    a good size need none.
     Timestamps are stored in microseconds; ``set_up=False`` leaves that to a caller who has set
     the session up already. Rows are counted by the write itself. With ``if_exists="skip"`` a folder that
     already holds a part is left alone and the result is None; an empty folder is
@@ -97,7 +101,7 @@ def export_table(
     seen = Observation()
     with microseconds(spark) if set_up else nullcontext():
         (
-            conform_for_export(df)
+            (conform_for_export(df).hint("rebalance") if merge else conform_for_export(df))
             .observe(seen, F.count(F.lit(1)).alias("rows"))
             .write.mode("overwrite")
             .option("compression", "snappy")
@@ -115,9 +119,12 @@ def export_tables(
     max_rows: int = ROWS_PER_PART,
     if_exists: str = "skip",
     at_once: int = 4,
+    merge: bool = False,
 ) -> DataFrame:
     """Export tables, ``at_once`` at a time; one that fails does not stop the rest.
 
+    ``merge`` is passed on to ``export_table``.
+
     Returns ``(table, rows, bytes, status)`` with a TOTAL line. Skipped and failed tables
     show 0 rows; ``bytes`` is what their folder holds. Names in ``only`` that are no table are
     reported as errors.
@@ -131,7 +138,7 @@ def export_tables(
         try:
             if name not in known:
                 return name, 0, 0, "error: no such table"
-            rows = export_table(tables[name], path, max_rows, if_exists, set_up=False)
+            rows = export_table(tables[name], path, max_rows, if_exists, set_up=False, merge=merge)
             status = "ok" if rows is not None else "skipped"
         except Exception as e:  # noqa: BLE001 - the status line reports it
             rows, status = None, f"error: {message_of(e)}"

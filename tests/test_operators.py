@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from compare import of_frame
 from hubtrace import operators as ops
+from hubtrace import sources
 from hubtrace.operators import percentiles
 from hubtrace.functions import bucketize, safe_ratio
 from hubtrace.plans import incidents
@@ -476,6 +477,69 @@ def test_label_window_ends(spark):
     assert rows(got) == [("a", d(0), False), ("b", d(0), True), ("e", d(0), True)]
 
 
+def test_edges_hold_from_their_beginning_to_the_day_before_their_end(spark):
+    """Facts that begin, end, stay open, end as they begin, end before, or never begin; against day by day."""
+    r = random.Random(17)
+    facts = [
+        (r.choice(["a", "b", "c", None]), r.choice([None, d(r.randrange(40))]), r.choice([None, d(r.randrange(-5, 60))]))
+        for _ in range(300)
+    ]
+    hub = spark.createDataFrame([("a",), ("b",)], "k string")
+    days = [d(x) for x in (-3, 0, 1, 2, 17, 39, 70)]
+    f = spark.createDataFrame(facts, "k string, t date, e date")
+    edges = ops.fk_edges(hub, {"f": f, "g": f.select("k", "t")}, "k", {"f": "t", "g": "t"}, end_cols={"f": "e"})
+    anchors = spark.createDataFrame([(a,) for a in [*days, days[0], None]], "anchor date")
+    want = []
+    for table, ends in (("f", True), ("g", False)):
+        for k in "ab":
+            for a in days:
+                n = sum(x == k and t is not None and t <= a and (not ends or e is None or a < e) for x, t, e in facts)
+                want += [(table, "hub", k, a, n)] * (n > 0)
+    assert rows(ops.edges_at(edges, anchors, "k")) == sorted(want, key=repr)
+    assert ops.edges_at(edges, anchors.limit(0), "k").count() == 0
+
+
+def test_labels_for_many_windows(spark):
+    """Against one anchor, key and window at a time; dense and sparse anchors."""
+    r = random.Random(19)
+    some = lambda n: [(r.choice(["a", "b", "c", "x", None]), r.choice([None, d(r.randrange(60))])) for _ in range(n)]
+    hub = spark.createDataFrame([("a",), ("b",), ("c",), ("c",)], "k string")
+    active, target = some(25), some(25)
+    days = [d(x) for x in [*range(10, 20), 35, 59, 64]]
+    windows = [(1, 1), (7, 7), (3, 40), (30, 2), (7, 7)]
+    got = ops.label_windows(
+        hub, spark.createDataFrame(target, "k string, t date"), spark.createDataFrame(active, "k string, u date"),
+        spark.createDataFrame([(a,) for a in days], "anchor date"), "k", "t", "u", windows,
+    )
+    want = []
+    for h, b in dict.fromkeys(windows):
+        for k in "abc":
+            for a in days:
+                if any(x == k and u and 0 <= (a - u).days < b for x, u in active):
+                    want.append((h, b, k, a, any(x == k and t and 0 < (t - a).days <= h for x, t in target)))
+    assert rows(got) == sorted(want, key=repr)
+    with pytest.raises(ValueError):
+        ops.label_windows(hub, hub, hub, hub, "k", "t", "u", [])
+
+
+def test_registry_against_data(spark):
+    spec = {
+        "hub": sources.TableSpec(primary_key="k"),
+        "f": sources.TableSpec(foreign_keys={"k": "hub"}, time_col="t", end_time_col="e"),
+        "bare": sources.TableSpec(foreign_keys={"k": "hub"}, time_col="gone"),
+    }
+    tables = {
+        "hub": spark.createDataFrame([("a",), ("a",), (None,)], "k string"),
+        "f": spark.createDataFrame([("a", d(0), d(0)), ("x", d(1), d(0)), (None, None, None)], "k string, t date, e date"),
+        "bare": spark.createDataFrame([(1,), (2,)], "v int"),
+        "other": spark.range(3),
+    }
+    assert rows(ops.check_registry(tables, spec)) == sorted([
+        ("hub", "k", "primary_key", 3, 2, 1), ("f", "t", "time", 3, 2, 2), ("f", "e", "end_time", 3, 2, 2),
+        ("f", "k", "foreign_key", 3, 2, 1), ("bare", "gone", "time", 2, 0, 0), ("bare", "k", "foreign_key", 2, 0, 0),
+    ], key=repr)
+
+
 def test_latest_matches_a_ranking_window(spark):
     r = random.Random(5)
     data = [(r.choice("abc"), r.choice([None, d(0), d(1)]), r.choice([None, "x", "y"])) for _ in range(60)]

@@ -248,3 +248,13 @@ def test_catalog_tables(spark, tmp_path):
 
 def test_default_spec_is_plain():
     assert TableSpec().primary_key is None and not TableSpec().foreign_keys
+
+
+def test_small_partitions_are_merged_before_the_write(spark, tmp_path):
+    """200 partitions of 10 rows become one part; without merging there are 200."""
+    df = spark.range(2_000).repartition(200)
+    assert sources.export_table(df, str(tmp_path / "merged"), merge=True) == 2_000
+    assert sources.export_table(df, str(tmp_path / "raw")) == 2_000
+    assert sources.part_files(spark, str(tmp_path / "merged")).count() <= 8
+    assert sources.part_files(spark, str(tmp_path / "raw")).count() > 100
+    assert spark.read.parquet(str(tmp_path / "merged")).count() == 2_000
