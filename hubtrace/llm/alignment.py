@@ -14,141 +14,27 @@ hold is ever gathered, and the counts are exact for all.
 from __future__ import annotations
 
 import hashlib
-import json
-import os
-import re
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import sentencepiece
-import tiktoken
-import tokenizers
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from hubtrace.llm.bpe import byte_symbols, gather
+from hubtrace.llm.bpe import gather
 from hubtrace.llm.common import fresh_path
+from hubtrace.llm.vocabularies import ByteLevel, Pieces, Tokens
 
 #: Characters that a step of a task handles at once, whole documents; windows and tokens in windows that a task remembers.
 STEP_CHARS = 1 << 21
 CACHE, CACHE_TOKENS = 200_000, 4_000_000
-#: A space in a piece; how byte-level vocabularies cut a text before they merge.
-MARK = "▁"
-PATTERN = (
-    r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-)
 #: Pairs that documents meet in the map tasks; bounds what is broadcast.
 FREQUENT = 200_000
 
-
-class Tokens:
-    """Bytes of a vocabulary's tokens, their lengths, and which begin with a space."""
-
-    def __init__(self, tokens: list[bytes]):
-        self.tokens = pa.array(tokens, pa.large_binary())
-        self.size = np.array([len(x) for x in tokens], dtype=np.int64)
-        self.spaced = np.array([x[:1] == b" " for x in tokens], dtype=bool)
-
-    def encode(self, text: str) -> list[int]:
-        raise NotImplementedError
-
-    def flat(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all texts behind each other, and how many each has."""
-        found = list(map(self.encode, texts))
-        count = np.array(list(map(len, found)), dtype=np.int64)
-        return np.fromiter(chain.from_iterable(found), dtype=np.int64, count=int(count.sum())), count
-
-    def bytes_of(self, ids: np.ndarray, count: np.ndarray) -> list[bytes]:
-        """The joined bytes of each text's tokens."""
-        joined = self.tokens.take(pa.array(ids))
-        ends = np.concatenate(([0], np.frombuffer(joined.buffers()[1], dtype=np.int64, count=len(ids) + 1)[np.cumsum(count)]))
-        data = memoryview(joined.buffers()[2] or b"")
-        return [bytes(data[x:y]) for x, y in zip(ends.tolist(), ends[1:].tolist())]
-
-
-class ByteLevel(Tokens):
-    """Tokenizer A: a byte-level vocabulary in a file of the tokenizers library.
-
-    Strings of special tokens are plain text. Where a file's merges make the ids in ascending order and its texts are cut by
-    the usual pattern only, tiktoken gives the same ids in a quarter of the time; it cannot take long
-    runs of white space, so texts with such runs, and other files, are the library's.
-    """
-
-    def __init__(self, source: str):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        self.library = tokenizers.Tokenizer.from_str(source)
-        self.library.encode_special_tokens = True
-        self.library.no_truncation()
-        self.library.no_padding()
-        byte_of = {c: b for b, c in enumerate(byte_symbols())}
-        spec = json.loads(source)
-        vocab = spec["model"]["vocab"]
-        added = {t["content"]: t["id"] for t in spec["added_tokens"]}
-        tokens = [b""] * (max([*vocab.values(), *added.values()]) + 1)
-        for token, k in vocab.items():
-            if token not in added:
-                tokens[k] = bytes(byte_of[c] for c in token)
-        super().__init__(tokens)
-        merges = [m.split(" ") if isinstance(m, str) else m for m in spec["model"]["merges"]]
-        made = [vocab[x + y] for x, y in merges]
-        cut = spec.get("pre_tokenizer") or {}
-        usual = cut.get("type") == "ByteLevel" and cut.get("use_regex", True) and not cut.get("add_prefix_space")
-        self.quick = None
-        if usual and spec.get("normalizer") is None and made == sorted(set(made)) and not spec["model"].get("ignore_merges"):
-            ranks = {tokens[k]: k for token, k in vocab.items() if token not in added}
-            self.quick = tiktoken.Encoding("a", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
-        self.long_run = re.compile(r"\s{500}")
-
-    def encode(self, text: str) -> list[int]:
-        if self.quick is None or self.long_run.search(text):
-            return self.library.encode(" " + text, add_special_tokens=False).ids
-        return self.quick.encode_ordinary(" " + text)
-
-
-class Pieces(Tokens):
-    """Tokenizer B: a sentencepiece model, which adds the space in front itself.
-
-    Where no piece goes on over a space behind another character, a text is the sum of its words, each with the space
-    before it; the library then gets each word once a step. Texts with spaces side by side or at an end are the
-    library's as a whole, as are all texts with other models.
-    """
-
-    def __init__(self, model: bytes):
-        self.library = sentencepiece.SentencePieceProcessor(model_proto=model)
-        pieces = [self.library.id_to_piece(k) for k in range(self.library.get_piece_size())]
-        super().__init__([
-            bytes([int(p[3:5], 16)]) if self.library.is_byte(k) else p.replace(MARK, " ").encode("utf-8")
-            for k, p in enumerate(pieces)
-        ])
-        self.by_words = not any(MARK in p.lstrip(MARK) for p in pieces) and self.library.encode(" a") != self.library.encode("a")
-
-    def encode(self, text: str) -> list[int]:
-        return self.library.encode(text)
-
-    def flat(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        odd = [not self.by_words or "  " in x or x[:1] == " " or x[-1:] == " " or MARK in x for x in texts]
-        if all(odd):
-            return super().flat(texts)
-        words = pc.split_pattern(pa.array(["" if o else x for x, o in zip(texts, odd)], pa.large_string()), " ")
-        coded = words.flatten().dictionary_encode()
-        distinct = coded.dictionary.to_pylist()
-        # Odd texts count as one more word each.
-        alone = [x for x, o in zip(texts, odd) if o]
-        found = self.library.encode(distinct + alone, num_threads=1)
-        count = np.array(list(map(len, found)), dtype=np.int64)
-        ids = np.fromiter(chain.from_iterable(found), dtype=np.int64, count=int(count.sum()))
-        which = coded.indices.to_numpy().astype(np.int64)
-        first = words.offsets.to_numpy()[:-1] - words.offsets[0].as_py()
-        which[first[odd]] = len(distinct) + np.arange(len(alone))
-        return gather(ids, np.cumsum(count) - count, count, which), np.add.reduceat(count[which], first)
-
-
 class Runs:
     """Runs of numbers behind each other; none is empty."""
 
@@ -290,7 +176,7 @@ class Aligner:
         digests, nothing = [""] * len(texts), np.zeros(0, dtype=np.int64)
         asked = [k for k, x in enumerate(texts) if x]
         wanted = [texts[k] for k in asked]
-        (flat_a, n_a), (flat_b, n_b) = self.a.flat(wanted), self.b.flat(wanted)
+        (flat_a, n_a), (flat_b, n_b) = self.a.flat([" " + x for x in wanted]), self.b.flat(wanted)
         whole = [b" " + x.encode("utf-8") for x in wanted]
         good = np.array([
             x == y == z for x, y, z in zip(whole, self.a.bytes_of(flat_a, n_a), self.b.bytes_of(flat_b, n_b))

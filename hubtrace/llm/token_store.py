@@ -12,31 +12,23 @@ will do, and a task that is run again replaces what its first attempt wrote.
 
 from __future__ import annotations
 
-import hashlib
-import os
-import sys
 import zlib
 from collections.abc import Iterator
-from itertools import chain, islice
-from types import ModuleType
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
-import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from hubtrace.llm.bpe import WHITE_SPACE, gather
 from hubtrace.llm.common import fresh_path
+from hubtrace.llm.vocabularies import ByteLevel
 
-#: Tokens after which a shard is closed, bits of a rank block, distinct stretches a Python worker keeps.
+#: Tokens after which a shard is closed, bits of a rank block.
 SHARD_TOKENS = 1 << 20
 BLOCK = 512
-CACHE = 800_000
 
 
 class WaveletMatrix:
@@ -157,150 +149,6 @@ class WaveletMatrix:
         return [self.select(token, k) for k in range(self.count(token))]
 
 
-#: Fixed value: how a byte-level vocabulary of this kind cuts text before its merges.
-PIECES = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-
-
-class Stretches:
-    """Token ids by number: those of number k are ids[start[k] : start[k] + count[k]]."""
-
-    def __init__(self) -> None:
-        self.ids = np.zeros(0, dtype=np.uint32)
-        self.start = np.zeros(0, dtype=np.int64)
-        self.count = np.zeros(0, dtype=np.int64)
-
-    def add(self, ids: np.ndarray, count: np.ndarray) -> None:
-        self.start = np.concatenate((self.start, len(self.ids) + np.cumsum(count) - count))
-        self.count = np.concatenate((self.count, count))
-        self.ids = np.concatenate((self.ids, ids.astype(np.uint32)))
-
-    def of(self, which: np.ndarray) -> np.ndarray:
-        return gather(self.ids, self.start, self.count, which)
-
-
-class LibraryEncoder:
-    """Token ids from the tokenizers library; equal stretches of text are given to it once.
-
-    Texts are cut before a space that follows a non-space and precedes one; a byte-level
-    vocabulary has no token across such a place. New stretches are cut on into pieces, and
-    the library encodes the pieces it has not seen, many in one call.
-    """
-
-    def __init__(self, source: str, cache: int = CACHE):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs a task per core
-        from tokenizers import Tokenizer
-
-        self.tokenizer, self.cache = Tokenizer.from_str(source), cache
-        self.tokenizer.no_truncation()
-        self.tokenizer.no_padding()
-        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.line_feed = self.tokenizer.encode("\n", add_special_tokens=False).ids
-        self.cut = regex.compile(f"[{WHITE_SPACE}]*[^{WHITE_SPACE}]+|[{WHITE_SPACE}]+$")
-        self.pieces = regex.compile(PIECES)
-        self.reset()
-
-    def reset(self) -> None:
-        self.known: dict[str, int] = {}
-        self.known_pieces: dict[str, int] = {}
-        self.stretches, self.parts = Stretches(), Stretches()
-
-    def numbers(self, found: list[str]) -> np.ndarray:
-        """Numbers of stretches, new ones learnt."""
-        known, before = self.known, len(self.known)
-        which = np.array([known.setdefault(x, len(known)) for x in found], dtype=np.int64)
-        if len(known) > before:
-            self.learn(list(islice(known, before, None)))
-        return which
-
-    def learn(self, new: list[str]) -> None:
-        known, before = self.known_pieces, len(self.known_pieces)
-        findall, special = self.pieces.findall, self.special
-        cut = [
-            [x] if x.isalpha() or x[1:].isalpha() and x[0] == " " or any(t in x for t in special) else findall(x)
-            for x in new
-        ]
-        which = np.array(
-            [known.setdefault(p, len(known)) for p in chain.from_iterable(cut)], dtype=np.int64
-        )
-        if len(known) > before:
-            self.learn_pieces(list(islice(known, before, None)))
-        ends = np.concatenate(([0], np.cumsum(self.parts.count[which])))
-        bounds = ends[np.concatenate(([0], np.cumsum(np.array(list(map(len, cut)), dtype=np.int64))))]
-        self.stretches.add(self.parts.of(which), np.diff(bounds))
-
-    def learn_pieces(self, new: list[str]) -> None:
-        """Pieces that a line feed cannot join to their neighbour are encoded in lines of one text."""
-        lines = len(self.line_feed) == 1
-        special = self.special
-        odd = [
-            not lines
-            or not x[1:].isalpha() and (x[-1].isspace() or "\n" in x or any(t in x for t in special))
-            for x in new
-        ]
-        count = np.zeros(len(new), dtype=np.int64)
-        found: list[np.ndarray] = [np.zeros(0, dtype=np.uint32)] * len(new)
-        alone = [k for k, x in enumerate(odd) if x]
-        plain = [k for k, x in enumerate(odd) if not x]
-        flat, sizes = [], []
-        for k in range(0, len(plain), 2000):
-            part = plain[k : k + 2000]
-            text = "\n".join(new[i] for i in part) + "\n"
-            ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype=np.int64)
-            ends = np.nonzero(ids == self.line_feed[0])[0]
-            if len(ends) != len(part):
-                raise ValueError("the vocabulary joins line feeds to other characters")
-            flat.append(np.delete(ids, ends))
-            sizes.append(np.diff(ends, prepend=-1) - 1)
-        joined = np.concatenate(flat) if flat else np.zeros(0, dtype=np.int64)
-        count[plain] = np.concatenate(sizes) if sizes else 0
-        for k, own in zip(alone, self.tokenizer.encode_batch_fast([new[k] for k in alone], add_special_tokens=False)):
-            found[k] = np.array(own.ids, dtype=np.uint32)
-            count[k] = len(own.ids)
-        ids = np.zeros(int(count.sum()), dtype=np.uint32)
-        single = np.repeat(np.array(odd, dtype=bool), count)
-        ids[~single] = joined
-        ids[single] = np.concatenate([found[k] for k in alone]) if alone else []
-        self.parts.add(ids, count)
-
-    def encode(self, texts: pa.StringArray) -> list[np.ndarray]:
-        """Ids of each text of an Arrow array without nulls."""
-        if len(self.known) > self.cache:
-            self.reset()
-        odd = pc.or_(pc.match_substring(texts, "  "), pc.ends_with(texts, " ")).to_numpy(zero_copy_only=False)
-        # Spaces in front keep what follows a space apart from what begins a text.
-        words = pc.split_pattern(pc.if_else(pa.array(odd), "", texts), " ")
-        coded = words.flatten().dictionary_encode()
-        value = coded.indices.to_numpy()
-        offset = words.offsets.to_numpy()
-        offset = offset - offset[0]
-        # What follows a space, what begins a text, and the stretches of odd texts, each in one go.
-        flat = self.numbers([" " + x for x in coded.dictionary.to_pylist()])[value]
-        begin = coded.dictionary.take(pa.array(value[offset[:-1]])).to_pylist() if len(texts) else []
-        head = self.numbers([x or " " for x in begin])
-        cuts = {int(k): self.cut.findall(texts[int(k)].as_py()) for k in np.nonzero(odd)[0]}
-        of_odd = self.numbers([x for own in cuts.values() for x in own])
-        out, used = [], 0
-        for k in range(len(texts)):
-            if odd[k]:
-                which = of_odd[used : used + len(cuts[k])]
-                used += len(cuts[k])
-            else:
-                which = flat[offset[k] : offset[k + 1]].copy()
-                which[0] = head[k]
-                which = which if begin[k] else which[1:]
-            out.append(self.stretches.of(which))
-        return out
-
-
-def _shared_encoder(source: str) -> LibraryEncoder:
-    """An encoder that lives as long as the Python worker, so that its next task starts with what it learnt."""
-    held = sys.modules.setdefault("_hubtrace_encoders", ModuleType("_hubtrace_encoders"))
-    key = hashlib.sha256(source.encode("utf-8")).hexdigest()
-    if key not in held.__dict__:
-        setattr(held, key, LibraryEncoder(source))
-    return getattr(held, key)
-
-
 def write_store(
     docs: DataFrame,
     path: str,
@@ -334,7 +182,7 @@ def write_store(
     end = np.array([] if end_id is None else [end_id], dtype=np.uint32)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, part, seq = _shared_encoder(source), TaskContext.get().partitionId(), 0
+        encoder, part, seq = ByteLevel(source, special=True), TaskContext.get().partitionId(), 0
         names, ids, size = [], [], 0
 
         def shard() -> pa.RecordBatch:
@@ -350,12 +198,11 @@ def write_store(
             )
 
         for batch in batches:
-            for k in range(0, batch.num_rows, 2500):
-                chunk = batch.slice(k, 2500)
-                found = encoder.encode(chunk.column(1).cast(pa.large_string()))
-                for name, own in zip(chunk.column(0).to_pylist(), found):
+            for k in range(0, batch.num_rows, 1000):
+                chunk = batch.slice(k, 1000)
+                for name, text in zip(chunk.column(0).to_pylist(), chunk.column(1).to_pylist()):
                     names.append(name)
-                    ids.append(np.concatenate((own, end)))
+                    ids.append(np.concatenate((np.array(encoder.encode(text), dtype=np.uint32), end)))
                     size += len(ids[-1])
                     if size >= shard_tokens:
                         yield shard()

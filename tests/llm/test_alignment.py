@@ -8,7 +8,8 @@ import sentencepiece
 import tokenizers
 
 from hubtrace.llm import queries
-from hubtrace.llm.alignment import Aligner, ByteLevel, Pieces, Runs, cross_tokenizer
+from hubtrace.llm.alignment import Aligner, Runs, cross_tokenizer
+from hubtrace.llm.vocabularies import ByteLevel, Pieces
 from llm_docs import CLASHING, ODD, docs_of
 
 A = public_tokenizers.path("byte_bpe_50k.json")

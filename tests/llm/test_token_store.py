@@ -1,12 +1,13 @@
+import json
 import zlib
 
 import numpy as np
-import pyarrow as pa
 import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
 from hubtrace.llm import token_store as ts
+from hubtrace.llm.vocabularies import ByteLevel
 from llm_docs import ODD, docs_of
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
@@ -45,9 +46,19 @@ def test_encoder_equals_library(library, small):
         "", " ", "  ", "a  b", "a   b", " a", "a ", "a\n b", "a\n  b", "a \n\nb", "a\xa0 b", "a\xa0\xa0 b ", "\n\n x",
         "it's we'll 'tis", "x<|endoftext|> y <|endoftext|>  z", "é日本 😀", "a\x1cb \x1f c", "tab\t end\t\t", "12 345,6",
     ] + [t for _, t in small]
-    encoder = ts.LibraryEncoder(open(PATH, encoding="utf-8").read(), cache=300)
-    got = [x.tolist() for k in range(0, len(texts), 5) for x in encoder.encode(pa.array(texts[k : k + 5], pa.large_string()))]
-    assert got == [library.encode(t, add_special_tokens=False).ids for t in texts]
+    texts += [" <|endoftext|>", "a  <|endoftext|>  b \n<|endoftext|><|endoftext|>", "<|endoftext|", "x" + " " * 900 + "<|endoftext|> y"]
+    encoder = ByteLevel(open(PATH, encoding="utf-8").read(), special=True)
+    assert encoder.quick is not None
+    assert [encoder.encode(t) for t in texts] == [library.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_other_vocabularies_are_the_librarys(library):
+    """A file with a normalizer, or whose merges are in another order, is encoded by the library alone."""
+    spec = json.loads(open(PATH, encoding="utf-8").read())
+    lower = ByteLevel(json.dumps({**spec, "normalizer": {"type": "Lowercase"}}), special=True)
+    assert lower.quick is None and lower.encode("Some TEXT") == library.encode("some text", add_special_tokens=False).ids
+    spec["model"]["merges"] = spec["model"]["merges"][::-1]
+    assert ByteLevel(json.dumps(spec)).quick is None
 
 
 def test_store_round_trip(spark, tmp_path, library, small):
