@@ -202,7 +202,7 @@ def write_store(
                 chunk = batch.slice(k, 1000)
                 for name, text in zip(chunk.column(0).to_pylist(), chunk.column(1).to_pylist()):
                     names.append(name)
-                    ids.append(np.concatenate((np.array(encoder.encode(text), dtype=np.uint32), end)))
+                    ids.append(np.concatenate((encoder.encode(text), end)))
                     size += len(ids[-1])
                     if size >= shard_tokens:
                         yield shard()

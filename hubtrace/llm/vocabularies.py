@@ -29,14 +29,14 @@ class Tokens:
         self.size = np.array([len(x) for x in tokens], dtype=np.int64)
         self.spaced = np.array([x[:1] == b" " for x in tokens], dtype=bool)
 
-    def encode(self, text: str) -> list[int]:
+    def encode(self, text: str) -> np.ndarray:
         raise NotImplementedError
 
     def flat(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts behind each other, and how many each has."""
         found = list(map(self.encode, texts))
         count = np.array(list(map(len, found)), dtype=np.int64)
-        return np.fromiter(chain.from_iterable(found), dtype=np.int64, count=int(count.sum())), count
+        return np.concatenate(found or [np.zeros(0)]).astype(np.int64), count
 
     def bytes_of(self, ids: np.ndarray, count: np.ndarray) -> list[bytes]:
         """The joined bytes of each text's tokens."""
@@ -83,12 +83,10 @@ class ByteLevel(Tokens):
             self.quick = tiktoken.Encoding("a", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=self.special)
         self.long_run = re.compile(r"\s{500}")
 
-    def encode(self, text: str) -> list[int]:
+    def encode(self, text: str) -> np.ndarray:
         if self.quick is None or self.long_run.search(text):
-            return self.library.encode(text, add_special_tokens=False).ids
-        if any(x in text for x in self.special):
-            return self.quick.encode(text, allowed_special="all")
-        return self.quick.encode_ordinary(text)
+            return np.array(self.library.encode(text, add_special_tokens=False).ids, dtype=np.uint32)
+        return self.quick.encode_to_numpy(text, allowed_special="all")
 
 
 class Pieces(Tokens):
@@ -108,8 +106,8 @@ class Pieces(Tokens):
         ])
         self.by_words = not any(MARK in p.lstrip(MARK) for p in pieces) and self.library.encode(" a") != self.library.encode("a")
 
-    def encode(self, text: str) -> list[int]:
-        return self.library.encode(text)
+    def encode(self, text: str) -> np.ndarray:
+        return np.array(self.library.encode(text), dtype=np.uint32)
 
     def flat(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         odd = [not self.by_words or "  " in x or x[:1] == " " or x[-1:] == " " or MARK in x for x in texts]

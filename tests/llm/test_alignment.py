@@ -121,7 +121,7 @@ def test_byte_level_ids_are_the_libraries(small):
         signs = [chr(c) for c in range(k, k + 16) if not 0xD800 <= c <= 0xDFFF]
         texts.append(" ".join(f"a{c}b 1{c}2  {c}\n{c}{c}!{c}?" for c in signs))
     for text in texts:
-        assert a.quick.encode_ordinary(" " + text) == a.library.encode(" " + text, add_special_tokens=False).ids
+        assert a.encode(" " + text).tolist() == a.library.encode(" " + text, add_special_tokens=False).ids
 
 
 def test_windows_that_share_a_hash_stay_apart(small, monkeypatch):
