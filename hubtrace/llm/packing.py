@@ -96,7 +96,8 @@ def pack(
         return F.coalesce(*[F.when(F.col("bucket") == b, F.lit(value(b))) for b in bounds])
 
     bucket = F.coalesce(*[F.when(F.col("n_tokens") <= b, F.lit(b)) for b in bounds]).cast("long")
-    hashed = F.xxhash64("_id", "piece", "n_tokens")
+    # Pieces are settled, so a row's place in its file is its own: equal rows are dealt to different salts too.
+    hashed = F.xxhash64("_id", "piece", "n_tokens", F.monotonically_increasing_id())
     dealt = pieces.withColumn("bucket", bucket).withColumn("_hash", hashed).withColumn(
         "_salt", F.pmod("_hash", by_bound(lambda b: max(1, -(-held[b] // task_rows))).cast("long"))
     )

@@ -162,7 +162,8 @@ def fit_on(
 
     Labels other than 0 and 1 and null ids are left out; an id with several
     labels counts with the smallest. Above `max_rows` labelled ids, those with the smallest
-    hash are used, so what the driver gets is bounded.
+    hash are used; should ids repeat in `docs`, the `max_rows` rows with the smallest hash of id and text are. So
+    what the driver gets is bounded and does not depend on the order of rows.
     """
     usable = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull() & ~held_out(id_col))
     chosen = (
@@ -170,10 +171,10 @@ def fit_on(
         .orderBy(F.xxhash64("_id"), "_id").limit(max_rows)
     )
     texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
-    sample = texts.join(F.broadcast(chosen), "_id")  # at most max_rows rows
+    sample = texts.join(F.broadcast(chosen), "_id")  # at most max_rows ids
     sample = sample.select(F.struct("_label", F.xxhash64("_id", "_text").alias("h")).alias("_key"), "_text")
     numbers = map_texts(sample, "_key", "_text", _numbers, {"x": "array<double>"})
-    rows = sorted(numbers.limit(4 * max_rows).collect(), key=lambda r: (r["_key"]["h"], r["x"]))
+    rows = numbers.orderBy("_key.h", "x", "_key._label").limit(max_rows).collect()
     x = np.array([r["x"] for r in rows], dtype=np.float64).reshape(len(rows), len(STATISTICS))
     return fit(x, np.array([r["_key"]["_label"] for r in rows], dtype=np.float64))
 

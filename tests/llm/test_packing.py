@@ -65,3 +65,19 @@ def test_odd_rows(odd_docs, no_docs):
 def test_repeated_ids(spark):
     docs = docs_of(spark, [(1, "a b"), (1, "a b"), (None, "c")])
     assert pack(docs, F.length("text")).count() == 3
+
+
+def test_equal_rows_are_dealt_over_tasks(spark):
+    """5,000 rows without an id and of one length: no task numbers more than a few times task_rows."""
+    docs = spark.range(5_000).select(F.lit(None).cast("bigint").alias("doc_id"), F.lit("a b c").alias("text"))
+    old = {n: spark.conf.get(n) for n in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.enabled")}
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "64")
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        out = pack(docs, F.lit(4), task_rows=100, token_budget=40)
+        assert max(r["count"] for r in out.groupBy(F.spark_partition_id()).count().collect()) <= 600
+    finally:
+        for n, v in old.items():
+            spark.conf.set(n, v)
+    places = [(r["batch"], r["slot"]) for r in out.collect()]
+    assert sorted(places) == [(k // 10, k % 10) for k in range(5_000)]

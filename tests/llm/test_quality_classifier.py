@@ -68,3 +68,19 @@ def test_odd_rows(spark, odd_docs, no_docs):
     trees = qc.fit_on(odd_docs, labels.where("false"))
     kept = qc.accepted(odd_docs, trees, threshold=0.0)
     assert kept.schema == odd_docs.schema and kept.count() == odd_docs.count()
+
+
+def test_the_fit_is_bounded_and_does_not_hang_on_the_order_of_rows(spark, small):
+    """Ids that repeat many times: at most max_rows rows, the same ones in any order."""
+    rows = [(i, t + " " + str(k)) for i, t in small[:40] for k in range(5)]
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i, _ in small[:40]], "doc_id bigint, quality int")
+    fits = []
+    real = qc.fit
+    try:
+        qc.fit = lambda x, y: fits.append((x, y)) or real(x, y)
+        for some in (rows, rows[::-1]):
+            qc.fit_on(docs_of(spark, some).repartition(4), labels, max_rows=25)
+    finally:
+        qc.fit = real
+    (x, y), (u, v) = fits
+    assert len(x) == 25 and np.array_equal(x, u) and np.array_equal(y, v)
