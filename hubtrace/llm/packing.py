@@ -101,12 +101,14 @@ def pack(
     dealt = pieces.withColumn("bucket", bucket).withColumn("_hash", hashed).withColumn(
         "_salt", F.pmod("_hash", by_bound(lambda b: max(1, -(-held[b] // task_rows))).cast("long"))
     )
-    # Numbers run on over the salts of a bucket, so that batches fill up across them.
-    sizes = dealt.groupBy("bucket", "_salt").agg(F.count("*").alias("_many"))
+    # Numbers run on over the salts of a bucket, so that batches fill up across them. One column names a bucket's salt:
+    # were it two, Spark could bring the rows together by bucket alone.
+    dealt = dealt.withColumn("_cell", F.shiftleft("bucket", 32) + F.col("_salt"))
+    sizes = dealt.groupBy("bucket", "_salt", "_cell").agg(F.count("*").alias("_many"))
     before = F.sum("_many").over(Window.partitionBy("bucket").orderBy("_salt")) - F.col("_many")
-    offsets = sizes.select("bucket", "_salt", before.alias("_before"))
-    order = Window.partitionBy("bucket", "_salt").orderBy("_hash", "_id", "piece", "n_tokens")
-    numbered = dealt.withColumn("_row", F.row_number().over(order) - 1).join(offsets, ["bucket", "_salt"])
+    offsets = sizes.select("_cell", before.alias("_before"))
+    order = Window.partitionBy("_cell").orderBy("_hash", "_id", "piece", "n_tokens")
+    numbered = dealt.withColumn("_row", F.row_number().over(order) - 1).join(offsets, "_cell")
     place = F.col("_before") + F.col("_row")
     fits = by_bound(lambda b: max(1, token_budget // max(b, 1))).cast("long")
     return numbered.select(
