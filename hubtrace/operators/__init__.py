@@ -1,5 +1,5 @@
 from hubtrace.operators.band import band_join, band_rates
-from hubtrace.operators.cooccur import cooccurrence
+from hubtrace.operators.cooccur import cooccurrence, item_sets
 from hubtrace.operators.graph import edges_at, fk_edges, label_table, label_windows
 from hubtrace.operators.keys import check_registry, key_match, top_keys
 from hubtrace.operators.latest import latest_per_key
@@ -40,6 +40,7 @@ __all__ = [
     "events_per_key",
     "fk_edges",
     "id_masks",
+    "item_sets",
     "key_match",
     "label_table",
     "label_windows",

@@ -242,6 +242,23 @@ def test_repeated_rows_of_a_day_count_once(spark):
     assert rows(ops.cooccurrence(df, "k", "t", "x", 1)) == [("x", "y", 1, 1)]
 
 
+@pytest.mark.parametrize("crowd, width", [(1000, 1), (2, 3)])
+def test_days_with_the_same_items_are_one_set(spark, crowd, width):
+    """However many days repeat a set, pairs are expanded from one row of the key and set (or pair of its groups)."""
+    marks = [(k, i, x) for k in "ab" for i in range(200) for x in ("xyzuvw" if i % 2 else "xy")]
+    marks += [("a", 500 + i, f"lone{i}") for i in range(50)]
+    df = spark.createDataFrame(marks, "k string, _day int, _item string")
+    sets = ops.item_sets(df, "k", crowd).collect()
+    assert len(sets) <= 2 * (1 + width * (width + 1) // 2) and {r["_days"] for r in sets} == {100}
+    seen = {}
+    for r in sets:
+        for a, b in itertools.product(r["_left"], r["_right"]):
+            if not r["_same"] or a < b:
+                seen[r["k"], *sorted((a, b))] = seen.get((r["k"], *sorted((a, b))), 0) + r["_days"]
+    want = {(k, a, b): 200 if (a, b) == ("x", "y") else 100 for k in "ab" for a, b in itertools.combinations("uvwxyz", 2)}
+    assert seen == want
+
+
 # --- rates -------------------------------------------------------------------------
 
 
