@@ -5,11 +5,12 @@ document is the sum of its paragraphs' vectors, each lane modulo a power of two.
 Order does not matter, and adding or taking away a paragraph adds or subtracts its vector.
 
 The vector has two parts. EXACT lanes are 32-bit hashes of the whole paragraph, modulo
-2^32: equal multisets have equal lanes. All of them are made from one 64-bit hash of a paragraph, so two
-paragraphs with the same xxhash64 (a chance of about 2^-64 a pair) agree in all EXACT lanes.
+2^32: equal multisets have equal lanes. Each pair of lanes comes from an own 64-bit hash of the
+paragraph under another starting value, so that two paragraphs agree in all of them with a chance of about 2^-256.
 LIKENESS lanes are sums of signs, one per lane for each run of three words of the
 paragraph, modulo 2^32: the squared distance of two such vectors estimates how
-many runs the two documents do not share. They are printed modulo 2^16.
+many runs the two documents do not share. They are printed modulo 2^16. The estimate of the likeness
+has a standard error of about sqrt(1 / LIKENESS), 0.09, at most, and less the more alike the texts are.
 
 Only built-in functions are used.
 """
@@ -34,7 +35,8 @@ def _exact_lanes(text: Column) -> Column:
 
     def lane(p: Column, seed: int, part: Callable[[Column], Column]) -> Column:
         total = F.aggregate(
-            F.transform(p, lambda x: F.xxhash64(x, F.lit(seed))),
+            # The hash of the first argument is the starting value for the second: the paragraph itself is hashed anew.
+            F.transform(p, lambda x: F.xxhash64(F.lit(seed), x)),
             F.lit(0).cast("long"),
             lambda a, h: (a + part(h)).bitwiseAND(F.lit(_LOW)),
         )
@@ -110,6 +112,28 @@ def printed(exact: Column, lanes: Column) -> Column:
     return F.lower(F.concat(exact, F.array_join(F.transform(lanes, digits), "")))
 
 
+def combined_exact(a: Column, b: Column, sign: int = 1) -> Column:
+    """Hex of the EXACT lanes after inserting (sign 1) or deleting (sign -1) what b stands for."""
+
+    def lane(i: Column) -> Column:
+        x, y = (F.conv(F.substr(v, i * 8 + 1, F.lit(8)), 16, 10).cast("long") for v in (a, b))
+        return F.lpad(F.hex((x + sign * y).bitwiseAND(F.lit(_LOW))), 8, "0")
+
+    return F.array_join(F.transform(F.sequence(F.lit(0), F.lit(EXACT - 1)), lane), "")
+
+
+def inserted(a: Column, b: Column) -> Column:
+    """The fingerprint (a struct of exact and lanes) of what a and b stand for together, each paragraph as often as in both."""
+    return F.struct(combined_exact(a["exact"], b["exact"]).alias("exact"), combined(a["lanes"], b["lanes"]).alias("lanes"))
+
+
+def deleted(a: Column, b: Column) -> Column:
+    """The fingerprint (a struct of exact and lanes) of a without the paragraphs of b, which must all be in a."""
+    return F.struct(
+        combined_exact(a["exact"], b["exact"], -1).alias("exact"), combined(a["lanes"], b["lanes"], -1).alias("lanes")
+    )
+
+
 def combined(a: Column, b: Column, sign: int = 1) -> Column:
     """Likeness lanes after inserting (sign 1) or deleting (sign -1) what b stands for."""
     return F.zip_with(a, b, lambda x, y: _wrapped(x.cast("long") + sign * y.cast("long")))

@@ -19,7 +19,7 @@ def exact(text):
         p = line.strip(" \t\n\x0b\x0c\r")
         if p:
             for seed in range(fg.EXACT // 2):
-                h = xx(seed.to_bytes(4, "little"), xx(p.encode()))
+                h = xx(p.encode(), xx(seed.to_bytes(4, "little")))
                 lanes[2 * seed] += h & 0xFFFFFFFF
                 lanes[2 * seed + 1] += h >> 32
     return "".join(f"{x % 2**32:08x}" for x in lanes)
@@ -93,6 +93,66 @@ def test_inserting_and_deleting_paragraphs(spark):
         assert lane[0] == (lane[1] + lane[2]) % 2**32
 
 
+def test_whole_fingerprints_after_inserting_and_deleting(spark):
+    """Exact lanes too, across carries of 2^32: many paragraphs, one of them repeated."""
+    many = [f"line {i} of many" for i in range(300)] + ["line 7 of many"] * 3
+    some = many[::3] + ["line 7 of many"]
+    texts = ["\n".join(many), "\n".join(some), "\n".join(many + some), ""]
+    a, b, both, none = prints(spark, texts)
+    frame = fg.fingerprints(docs_of(spark, list(enumerate(texts))), ["doc_id"], "text")
+    one = lambda i: F.max(F.when(F.col("doc_id") == i, F.struct("exact", "lanes")))
+    wide = frame.agg(*[one(i).alias(n) for i, n in enumerate(("a", "b", "both", "none"))])
+    row = wide.select(
+        fg.inserted(F.col("a"), F.col("b")).alias("more"), fg.deleted(F.col("both"), F.col("b")).alias("less"),
+        fg.inserted(F.col("a"), F.col("none")).alias("same"), fg.deleted(F.col("a"), F.col("a")).alias("gone"),
+    ).first()
+    for got, want in (("more", both), ("less", a), ("same", a), ("gone", none)):
+        assert row[got]["exact"].lower() == want["exact"].lower() and row[got]["lanes"] == want["lanes"], got
+
+
+def test_lanes_do_not_hang_together(spark):
+    """Each pair of exact lanes is a hash of the paragraph itself, not a function of the first pair."""
+    row = prints(spark, ["one paragraph"])[0]
+    first = xx(b"one paragraph")
+    old = [xx(seed.to_bytes(4, "little"), first) for seed in range(fg.EXACT // 2)]
+    new = [int(row["exact"][16 * s + 8 : 16 * s + 16] + row["exact"][16 * s : 16 * s + 8], 16) for s in range(fg.EXACT // 2)]
+    assert not set(old) & set(new) and new == [xx(b"one paragraph", xx(s.to_bytes(4, "little"))) for s in range(fg.EXACT // 2)]
+
+
+def test_error_of_the_likeness(spark):
+    """Against the true share 1 - |a - b|^2 / (|a|^2 + |b|^2) of the counts of runs."""
+    import random
+
+    r = random.Random(5)
+    word = lambda: f"w{r.randrange(5000)}"
+    texts = []
+    for share in (0.0, 0.2, 0.4, 0.6, 0.8, 0.95):
+        for _ in range(6):
+            base = [" ".join(word() for _ in range(12)) for _ in range(30)]
+            keep = round(30 * share)
+            texts += ["\n".join(base), "\n".join(base[:keep] + [" ".join(word() for _ in range(12)) for _ in range(30 - keep)])]
+
+    def runs(text):
+        count = {}
+        for line in text.split("\n"):
+            w = line.split()
+            for i in range(len(w) - 2):
+                count[tuple(w[i : i + 3])] = count.get(tuple(w[i : i + 3]), 0) + 1
+        return count
+
+    frame = fg.fingerprints(docs_of(spark, list(enumerate(texts))), ["doc_id"], "text")
+    pair = F.floor(F.col("doc_id") / 2).alias("pair")
+    half = lambda k: F.max(F.when(F.col("doc_id") % 2 == k, F.struct("exact", "lanes")))
+    wide = frame.groupBy(pair).agg(half(0).alias("a"), half(1).alias("b"))
+    got = wide.select("pair", fg.likeness(F.col("a.exact"), F.col("a.lanes"), F.col("b.exact"), F.col("b.lanes")).alias("near"))
+    errors = []
+    for x in got.collect():
+        a, b = runs(texts[2 * x["pair"]]), runs(texts[2 * x["pair"] + 1])
+        apart = sum((a.get(k, 0) - b.get(k, 0)) ** 2 for k in a.keys() | b.keys())
+        errors.append(abs(x["near"] - max(0.0, 1 - apart / sum(v * v for c in (a, b) for v in c.values()))))
+    assert len(errors) == 36 and sum(errors) / len(errors) < 0.07 and max(errors) < 0.4
+
+
 def test_likeness_of_texts_with_a_run_beyond_16_bits(spark):
     """Lanes of +-n: the likeness is that of the counts of the one run, not of their remainders."""
     texts = ["a " * 42_000, "a " * 36_000, "x y z"]
