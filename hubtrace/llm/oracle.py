@@ -2,13 +2,20 @@
 
 from __future__ import annotations
 
-from hubtrace.llm.license_scan import HINT, LOWER, RULES, SENTENCES, UPPER
+from hubtrace.llm.license_scan import CLAIM, COMMENT, HINT, LOWER, NAMED, OPEN_LINE, RULES, SENTENCES, SPDX_HEAD, UPPER
 
 
 def _license_scan() -> str:
     kinds = "\n".join(f"when regexp_matches(s, '{p}') then '{n}'" for n, p in SENTENCES)
     steps, last = [], "marked"
-    for k, (name, ids) in enumerate(RULES):
+    claims = [rule for rule in RULES if "reserved" in rule[1]]
+    for k, (name, ids) in enumerate([rule for rule in RULES if rule not in claims] + claims):
+        if claims and (name, ids) == claims[0]:
+            steps.append(
+                f"beside as (select doc_id, ids, regexp_replace(regexp_replace(rest, '{CLAIM}/', '/', 'g'), "
+                f"'/{CLAIM}', '/', 'g') as rest, hits from {last})"
+            )
+            last = "beside"
         pattern = "".join(f"<{x}>" for x in ids)
         steps.append(
             f"r{k} as (select doc_id, ids, replace(rest, '{pattern}', '/') as rest, "
@@ -18,7 +25,9 @@ def _license_scan() -> str:
     return f"""
 with cut as (
   select doc_id, case when regexp_matches(coalesce(text, ''), '{HINT}') then string_split(
-    regexp_replace(regexp_replace(text, '\\n([ \\t]*[a-z])', ' \\1', 'g'),
+    regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(
+      text, '{SPDX_HEAD}', chr(10) || 'SPDX-License-Identifier ', 'g'), '{COMMENT}', '\\1', 'g'),
+      '{OPEN_LINE}', '\\1 \\2', 'g'), '\\n([ \\t]*[a-z])', ' \\1', 'g'),
       '([.!?;:][#*$%&|<>]*)[ \\t\\r]+', '\\1' || chr(10), 'g'), chr(10)) else [] end as parts
   from documents),
 plain as (
@@ -28,8 +37,10 @@ named as (
   select doc_id, list_filter(list_transform(parts, lambda s: case when s = '' then null {kinds} end),
     lambda x: x is not null) as ids from plain),
 marked as (
-  select doc_id, ids, array_to_string(list_transform(ids, lambda x: '<' || x || '>'), '') as rest,
-    []::varchar[] as hits from named),
+  select doc_id, ids, regexp_replace(array_to_string(list_transform(ids, lambda x: '<' || x || '>'), ''),
+    '<{NAMED}[^>]*>', '/', 'g') as rest,
+    list_transform(list_filter(ids, lambda x: starts_with(x, '{NAMED}')), lambda x: substr(x, {len(NAMED) + 1})) as hits
+  from named),
 {', '.join(steps)}
 select doc_id, len(ids)::bigint as n_sentences, array_to_string(ids, ',') as identifiers,
   array_to_string(list_filter(hits, lambda h, i: list_position(hits, h) = i), ',') as licences,

@@ -3,7 +3,7 @@ import re
 import duckdb
 
 from hubtrace.llm import queries
-from hubtrace.llm.license_scan import HINT, SENTENCES, license_scan
+from hubtrace.llm.license_scan import HINT, NAMED, SENTENCES, SPDX, license_scan
 from llm_docs import docs_of
 
 MIT = """Copyright (c) 2020 Somebody
@@ -129,6 +129,24 @@ EXAMPLES = {
     "bsd_asis": "this software is provided by the copyright holders and contributors as is",
     "ccbync4_ref": "licensed under cc by nc 4.0", "ccbysa4_ref": "licensed under cc by sa 4.0",
     "ccby4_ref": "licensed under cc by 4.0", "other_ref": "distributed under the quux licence",
+    "spdx_other": "spdx license identifier quux 1.0",
+    "lgpl_free_v3": FSF.replace("general", "lesser general") + "either version 3 of the license",
+    "lgpl_free_v21": FSF.replace("general", "lesser general") + "either version 2.1 of the license",
+    "lgpl_free": FREE.replace("general", "library general"), "agpl_free": FREE.replace("general", "affero general"),
+    "agpl_free_v3": FSF.replace("general", "affero general") + "version 3 of the license",
+    "gnu_v21": "version 2.1 of the license or", "gnu_v3": "either version 3 of the license",
+    "mpl2_notice": "this source code form is subject to the terms of the mozilla public license",
+    "mpl2_copy": "if a copy of the mpl was not distributed with this file you can obtain one at",
+    "isc_grant": "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted",
+    "license_asis": "distributed under the license is distributed on an as is basis",
+    **{NAMED + x: "spdx license identifier " + x.lower().replace("-", " ") for x in SPDX},
+}
+# Creative Commons licences by their names; those with an SPDX tag in SPDX stand there already.
+EXAMPLES |= {
+    name: "under a creative commons attribution" + "".join(
+        f" {word}" for part, word in (("-NC", "noncommercial"), ("-ND", "noderivatives"), ("-SA", "sharealike")) if part in name
+    ) + " " + name[-3:]
+    for name, _ in SENTENCES if name.startswith(NAMED + "CC-")
 }
 
 
@@ -145,6 +163,57 @@ def test_every_pattern_holds_a_hint(spark):
     assert ids == ["copyright"]
 
 
+def commented(notice, mark):
+    return "\n".join(f"{mark} {line}".rstrip() for line in notice.splitlines())
+
+
+MPL = """This Source Code Form is subject to the terms of the Mozilla Public
+License, v. 2.0. If a copy of the MPL was not distributed with this
+file, You can obtain one at https://mozilla.org/MPL/2.0/.
+"""
+
+ISC = """Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies.
+"""
+
+
+def test_notices_behind_comment_marks(spark):
+    notices = {
+        "GPL-3.0-or-later": GPL, "Apache-2.0": APACHE, "BSD-3-Clause": BSD, "MIT": MIT, "MPL-2.0": MPL, "ISC": ISC,
+        "LGPL-2.1": GPL.replace("program", "library").replace("GNU General", "GNU Lesser General").replace("Foundation, either version 3", "Foundation; either version 2.1"),
+        "LGPL-3.0": GPL.replace("GNU General", "GNU Lesser General"),
+        "AGPL-3.0": GPL.replace("GNU General", "GNU Affero General").replace("Foundation, either", "Foundation; either"),
+    }
+    marks = ["", "#", " *", "//", "--", ";;"]
+    texts = [commented(x, m) + "\n\nimport os\n" for x in notices.values() for m in marks]
+    names = [n for n in notices for _ in marks]
+    for name, got, text in zip(names, found(spark, *texts), texts):
+        assert got[1] == [name], (got, text)
+
+
+def test_all_rights_reserved_inside_a_notice(spark):
+    claim = "Copyright (c) 2015, Somebody\nAll rights reserved.\n\n"
+    got = found(spark, claim + BSD, commented(claim + APACHE, "#"), APACHE + claim, claim, claim + "A text.\n" + claim)
+    assert [x[1] for x in got] == [["BSD-3-Clause"], ["Apache-2.0"], ["Apache-2.0"], ["All-rights-reserved"], ["All-rights-reserved"]]
+
+
+def test_spdx_tags_and_creative_commons(spark):
+    got = found(
+        spark,
+        "// SPDX-License-Identifier: BSD-3-Clause\nint x;", "/* SPDX-License-Identifier: MIT */", "# SPDX-License-Identifier: Apache-2.0 and more words",
+        "# SPDX-FileCopyrightText: 2020 X\n# SPDX-License-Identifier: LGPL-2.1-or-later", "SPDX-License-Identifier: MIT-0",
+        "SPDX-License-Identifier: Quux-9", "SPDX-License-Identifier: BSD-3-Clause-Clear", "SPDX-License-Identifier: (MPL-2.0 OR MIT)",
+        "This text is made available under a Creative Commons Attribution-ShareAlike 4.0 International License.",
+        "Licensed under the terms of the Creative Commons\nAttribution-NonCommercial-NoDerivatives 4.0 licence", "Licensed under CC BY-SA 3.0.",
+        "Software\ndistributed under the License is distributed on an \"AS IS\" BASIS.",
+    )
+    assert [x[1] for x in got] == [
+        ["BSD-3-Clause"], ["MIT"], ["Apache-2.0"], ["LGPL-2.1-or-later"], ["MIT-0"], ["Unknown-licence"], ["BSD-3-Clause-Clear"],
+        ["MPL-2.0"], ["CC-BY-SA-4.0"], ["CC-BY-NC-ND-4.0"], ["CC-BY-SA-3.0"], [],
+    ]
+
+
 def test_order_of_rules_and_leftovers(spark):
     got = found(
         spark,
