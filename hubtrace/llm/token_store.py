@@ -77,8 +77,8 @@ class WaveletMatrix:
         for level in reversed(range(self.bits)):
             bit = np.unpackbits(self.planes[level], count=self.size, bitorder="little").view(bool)
             back = np.empty_like(order)
-            back[~bit] = order[: self.zeros[level]]
-            back[bit] = order[self.zeros[level] :] | order.dtype.type(1 << (self.bits - 1 - level))
+            back[np.flatnonzero(~bit)] = order[: self.zeros[level]]
+            back[np.flatnonzero(bit)] = order[self.zeros[level] :] | order.dtype.type(1 << (self.bits - 1 - level))
             order = back
         return order
 

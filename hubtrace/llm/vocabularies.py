@@ -18,7 +18,9 @@ from hubtrace.llm.bpe import byte_symbols, gather
 
 #: A space in a piece; how byte-level vocabularies cut a text before they merge.
 MARK = "▁"
-PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?(?:\p{L}+|\p{N}+|[^\s\p{L}\p{N}]+)|\s+(?!\S)|\s+"
+#: Of white space that tiktoken cannot take, this much side by side.
+LONG_RUN, STEP = 500, 100
 
 
 class Tokens:
@@ -81,10 +83,15 @@ class ByteLevel(Tokens):
         if usual and spec.get("normalizer") is None and made == sorted(set(made)) and not spec["model"].get("ignore_merges"):
             ranks = {tokens[k]: k for token, k in vocab.items() if token not in added}
             self.quick = tiktoken.Encoding("a", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=self.special)
-        self.long_run = re.compile(r"\s{500}")
+        self.long_run = re.compile(rf"\s{{{LONG_RUN}}}")
+        self.sampled_run = re.compile(rf"\s{{{LONG_RUN // STEP}}}")
+
+    def _has_long_run(self, text: str) -> bool:
+        """Whether a long run of white space is there; it holds LONG_RUN / STEP neighbours of every STEP-th place."""
+        return bool(self.sampled_run.search(text[::STEP]) and self.long_run.search(text))
 
     def encode(self, text: str) -> np.ndarray:
-        if self.quick is None or self.long_run.search(text):
+        if self.quick is None or self._has_long_run(text):
             return np.array(self.library.encode(text, add_special_tokens=False).ids, dtype=np.uint32)
         return self.quick.encode_to_numpy(text, allowed_special="all")
 

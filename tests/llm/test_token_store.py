@@ -61,6 +61,37 @@ def test_other_vocabularies_are_the_librarys(library):
     assert ByteLevel(json.dumps(spec)).quick is None
 
 
+def test_only_texts_with_long_runs_are_searched_whole(library):
+    """Most texts show by every hundredth character that they have no long run of white space."""
+    encoder, searched = ByteLevel(open(PATH, encoding="utf-8").read(), special=True), []
+
+    class Recorded:
+        def __init__(self, pattern):
+            self.pattern = pattern
+
+        def search(self, text):
+            searched.append(len(text))
+            return self.pattern.search(text)
+
+    encoder.long_run = Recorded(encoder.long_run)
+    plain = " ".join(f"word{k % 977}\n" for k in range(10_000))
+    assert encoder.encode(plain).tolist() == library.encode(plain, add_special_tokens=False).ids
+    assert not searched
+    for shift in range(0, 201, 7):
+        for size in (499, 500, 501):
+            assert encoder._has_long_run("x" * shift + "\xa0 \n\t\x1c" * 200 + "x" * 5)
+            assert encoder._has_long_run("x" * shift + " " * size + "x" * 300) == (size >= 500)
+
+
+def test_pattern_cuts_like_the_library(library):
+    """Texts of characters that cut words, in all mixtures, have the library's ids."""
+    encoder, rng = ByteLevel(open(PATH, encoding="utf-8").read(), special=True), np.random.default_rng(5)
+    signs = [" ", "  ", "\n", "\t", "\xa0", "\x1c", "\u3000", "\u200b", "a", "B", "é", "日", "\u0301", "1", "²", "'", "'s", "'S", "'ll",
+             "'re", "'ve", "'d", "'m", "'t", "ʼ", ".", "!?", "😀", "<|endoftext|>"]
+    texts = ["".join(rng.choice(signs, size=n)) for n in rng.integers(1, 15, size=3000)]
+    assert [encoder.encode(t).tolist() for t in texts] == [library.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 def test_store_round_trip(spark, tmp_path, library, small):
     path = f"file://{tmp_path}/store"
     ts.write_store(docs_of(spark, small), path, PATH, shard_tokens=20_000)
