@@ -18,6 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import sentencepiece
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -30,7 +31,8 @@ from hubtrace.llm.common import fresh_path
 from hubtrace.llm.vocabularies import ByteLevel, Pieces, Tokens
 
 #: Characters that a step of a task handles at once, whole documents; windows and tokens in windows that a task remembers.
-STEP_CHARS = 1 << 21
+#: A step's arrays take about 80 bytes a character beside those, and an executor runs a worker for each of its cores.
+STEP_CHARS = 1 << 19
 CACHE, CACHE_TOKENS = 200_000, 4_000_000
 #: Pairs that documents meet in the map tasks; bounds what is broadcast.
 FREQUENT = 200_000
@@ -204,6 +206,18 @@ class Aligner:
         return {**numbers, "groups_sha256": digests, "pairs": pairs % space, "times": times}
 
 
+def steps(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, list[str]]]:
+    """Ids and whole texts of the batches, STEP_CHARS at once; only a step's texts become Python strings."""
+    for batch in batches:
+        first, size = 0, 0
+        for k, chars in enumerate(pc.utf8_length(batch.column(1)).to_pylist()):
+            size += chars
+            if size >= STEP_CHARS or k + 1 == batch.num_rows:
+                part = batch.slice(first, k + 1 - first)
+                yield part.column(0), part.column(1).to_pylist()
+                first, size = k + 1, 0
+
+
 def align_documents(
     docs: DataFrame, path: str, byte_vocabulary: str, piece_model: str, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
@@ -226,17 +240,7 @@ def align_documents(
         aligner = Aligner(ByteLevel(source), Pieces(model))
         row = TaskContext.get().partitionId() << 33
 
-        def steps() -> Iterator[tuple[pa.Array, list[str]]]:
-            for batch in batches:
-                texts = batch.column(1).to_pylist()
-                first, size = 0, 0
-                for k, text in enumerate(texts):
-                    size += len(text)
-                    if size >= STEP_CHARS or k + 1 == len(texts):
-                        yield batch.column(0).slice(first, k + 1 - first), texts[first : k + 1]
-                        first, size = k + 1, 0
-
-        for ids, texts in steps():
+        for ids, texts in steps(batches):
             found = aligner(texts)
             offsets = pa.array(np.concatenate(([0], np.cumsum(found["n_pairs"]))), pa.int32())
             lists = [

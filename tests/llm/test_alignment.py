@@ -1,14 +1,16 @@
 import hashlib
 import random
+import tracemalloc
 from collections import Counter
 
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import sentencepiece
 import tokenizers
 
 from hubtrace.llm import queries
-from hubtrace.llm.alignment import Aligner, Runs, cross_tokenizer
+from hubtrace.llm.alignment import STEP_CHARS, Aligner, Runs, cross_tokenizer, steps
 from hubtrace.llm.vocabularies import ByteLevel, Pieces
 from llm_docs import CLASHING, ODD, docs_of
 
@@ -112,6 +114,28 @@ def test_forgetting_windows_changes_nothing(small):
     assert len(forgetting.windows.n_groups) < len(keeping.windows.n_groups)
 
 
+def test_a_step_holds_little_memory(small):
+    """A batch of 10,000 rows: every row once, in order, in steps whose objects and arrays stay below 45 MB (61 with steps of 2^21)."""
+    rows = [(i, x if n % 50 else "") for n, (i, x) in enumerate(small * 50)]
+    batches = [
+        pa.RecordBatch.from_arrays([pa.array([r[c] for r in part], t) for c, t in enumerate((pa.int64(), pa.string()))], ["id", "text"])
+        for part in (rows, [], rows[:3])
+    ]
+    aligner = Aligner(ByteLevel(open(A, encoding="utf-8").read()), Pieces(open(B, "rb").read()))
+    found, longest = [], max(len(x) for _, x in rows)
+    tracemalloc.start()
+    try:
+        for k, (ids, texts) in enumerate(steps(iter(batches))):
+            assert 0 < len(ids) == len(texts) and sum(map(len, texts)) < STEP_CHARS + longest
+            found += zip(ids.to_pylist(), map(hash, texts))
+            if k < 5:
+                aligner(texts)
+        assert tracemalloc.get_traced_memory()[1] < 45 << 20
+    finally:
+        tracemalloc.stop()
+    assert found == [(i, hash(x)) for i, x in rows + rows[:3]]
+
+
 def test_byte_level_ids_are_the_libraries(small):
     """Both ways to encode, on texts and on every code point among letters, digits, signs and blanks."""
     a = ByteLevel(open(A, encoding="utf-8").read())
