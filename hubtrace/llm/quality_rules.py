@@ -5,15 +5,14 @@ tables: one for the raw corpus, one for its trusted part. A document's score
 is the mean log ratio of its n-grams; a fixed threshold decides on every
 document.
 
-Everything runs on built-in functions. The counts are a distributed table with a row for each
-distinct n-gram (64-bit hashes, no modulo), so a ratio means the same whatever the size of the
-corpus. N-grams are combined within each text and meet their ratios by a join on the hash;
-the driver receives two totals.
+Everything runs on built-in functions. Each distinct n-gram has counts of its own (64-bit
+hashes, no modulo), so a ratio means the same whatever the size of the corpus. N-grams are combined within each text and cross one shuffle by their hash, behind which
+they are counted and scored; the driver receives two totals.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hubtrace.llm.common import let, lines_with_words, words_of
@@ -39,19 +38,27 @@ def _grams(words: Column, buckets: int | None) -> Column:
     return let(F.transform(words, lambda w: F.xxhash64(w)), of)
 
 
-def _combined(grams: Column) -> Column:
-    """Distinct hashes with their counts, as an array of structs (gram, n)."""
+def _marked(docs: DataFrame, trusted: DataFrame, id_col: str) -> DataFrame:
+    """The rows of `docs` (_id, ...) with _trusted: 1 where `trusted` lists the id, else null."""
+    ids = trusted.select(F.col(id_col).alias("_id")).where("_id IS NOT NULL").distinct()
+    # The same join at every size: texts are dealt by id once, in whatever way labels grow.
+    return docs.join(ids.withColumn("_trusted", F.lit(1)).hint("merge"), "_id", "left")
+
+
+def _share(texts: DataFrame, trusted: DataFrame, id_col: str) -> float:
+    """The trusted part of all n-grams of the rows (_id, _text); 0 without any."""
+    sizes = texts.select("_id", F.size(words_of(F.col("_text"))).cast("long").alias("n"))
+    sizes = sizes.select("_id", F.when(F.col("n") > 0, 2 * F.col("n") - 1).otherwise(0).alias("n"))
+    total = _marked(sizes, trusted, id_col).agg(
+        F.sum("n").alias("raw"), F.sum(F.when(F.col("_trusted") == 1, F.col("n"))).alias("target")
+    ).first()
+    return total["target"] / total["raw"] if total["target"] else 0.0
 
-    def of(s: Column) -> Column:
-        marked = F.transform(s, lambda x, k: F.struct(x.alias("gram"), (k + 1).alias("end"), F.get(s, k + 1).alias("next")))
-        last = F.filter(marked, lambda x: x["next"].isNull() | (x["next"] != x["gram"]))
-        return let(last, lambda t: F.transform(
-            t, lambda x, k: F.struct(x["gram"].alias("gram"), (
-                x["end"] - F.when(k > 0, F.get(t, k - 1)["end"]).otherwise(F.lit(0))
-            ).alias("n"))
-        ))
 
-    return let(F.sort_array(grams), of)
+def _millionths(raw: Column, target: Column, part: float, pseudo: float) -> Column:
+    """Log of trusted over raw share; `part` is the trusted part of all n-grams."""
+    ratio = F.log((target / F.lit(part) + pseudo) / (raw + pseudo)) if part else F.lit(0)
+    return F.round(ratio * 1_000_000).cast("long")
 
 
 def ngram_ratio(
@@ -72,41 +79,61 @@ def ngram_ratio(
     repeat or be null (a null id is never trusted). Without trusted rows, or
     without any word in them, all ratios are 0.
     """
-    ids = trusted.select(F.col(id_col).alias("_id")).where("_id IS NOT NULL").distinct()
     texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
-    ids = ids.withColumn("_trusted", F.lit(1))
-    # The same join at every size: texts are dealt by id once, in whatever way labels grow.
-    marked = texts.join(ids.hint("merge"), "_id", "left")
-    grams = marked.select("_trusted", F.explode(_grams(words_of(F.col("_text")), buckets)).alias("gram"))
+    grams = _marked(texts, trusted, id_col).select(
+        "_trusted", F.explode(_grams(words_of(F.col("_text")), buckets)).alias("gram")
+    )
     counted = grams.groupBy("gram").agg(
         F.count(F.lit(1)).alias("raw"), F.count("_trusted").alias("target")
     )
-    sizes = texts.select("_id", F.size(words_of(F.col("_text"))).cast("long").alias("n"))
-    sizes = sizes.select("_id", F.when(F.col("n") > 0, 2 * F.col("n") - 1).otherwise(0).alias("n"))
-    total = sizes.join(ids.hint("merge"), "_id", "left").agg(
-        F.sum("n").alias("raw"), F.sum(F.when(F.col("_trusted") == 1, F.col("n"))).alias("target")
-    ).first()
-    if not total["target"]:
-        return counted.select("gram", F.lit(0).cast("long").alias("ratio"))
-    part = total["target"] / total["raw"]
-    ratio = F.log((F.col("target") / F.lit(part) + pseudo) / (F.col("raw") + pseudo))
-    return counted.select("gram", F.round(ratio * 1_000_000).cast("long").alias("ratio"))
+    part = _share(texts, trusted, id_col)
+    return counted.select("gram", _millionths(F.col("raw"), F.col("target"), part, pseudo).alias("ratio"))
+
+
+def _runs(marked: DataFrame, buckets: int | None) -> DataFrame:
+    """Rows (_id, _own, _trusted, gram, n) of rows (_id, _text, _trusted); n of a text's gram sums to its count.
+
+    _own is a hash of the text. The hashes of a text are sorted; a run of equal ones becomes a row
+    with 1 if it is single, else one row for its start and one for its end, with minus the number of
+    hashes before the run and plus the number up to its end. Each row is made from its neighbours
+    alone, so this is compiled code over exploded rows, without lambdas.
+    """
+    found = marked.select(
+        "_id", F.xxhash64("_text").alias("_own"), "_trusted", F.explode(F.array(words_of(F.col("_text")))).alias("_words")
+    )
+    found = found.select(
+        "_id", "_own", "_trusted", F.explode(F.array(F.sort_array(_grams(F.col("_words"), buckets)))).alias("_all")
+    )
+    found = found.select("_id", "_own", "_trusted", "_all", F.posexplode("_all").alias("_at", "gram"))
+    every, at, gram = F.col("_all"), F.col("_at"), F.col("gram")
+    found = found.withColumn("_first", (at == 0) | (F.get(every, at - 1) != gram)).withColumn(
+        "_last", F.coalesce(F.get(every, at + 1) != gram, F.lit(True))
+    )
+    n = F.when(F.col("_first") & F.col("_last"), 1).when(F.col("_last"), at + 1).otherwise(-at)
+    return found.where("_first OR _last").select("_id", "_own", "_trusted", "gram", n.cast("long").alias("n"))
 
 
 def ngram_scores(
-    docs: DataFrame, ratios: DataFrame, id_col: str = "doc_id", text_col: str = "text", buckets: int | None = None
+    docs: DataFrame,
+    trusted: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    buckets: int | None = None,
+    pseudo: float = PSEUDO,
 ) -> DataFrame:
     """Rows (_id, _own, score): the mean ratio of the n-grams of each distinct (id, text) with a word.
 
-    _own is a hash of the text. N-grams are combined within a text and meet their ratios by a
-    join on the hash. Sums are of whole numbers, so their order does not matter.
+    The ratios are those of `ngram_ratio`. N-grams are combined within a text and cross one shuffle by
+    their hash, behind which they are counted and scored where they are. Sums are of whole numbers,
+    so their order does not matter.
     """
-    text = F.col("_text")
-    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).select(
-        "_id", F.xxhash64("_text").alias("_own"), F.explode(_combined(_grams(words_of(text), buckets))).alias("g")
-    )
+    texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
+    part = _share(texts, trusted, id_col)
+    runs = _runs(_marked(texts, trusted, id_col), buckets)
+    same, n = Window.partitionBy("gram"), F.col("n")
+    raw, target = F.sum(n).over(same), F.coalesce(F.sum(F.when(F.col("_trusted") == 1, n)).over(same), F.lit(0))
+    met = runs.select("_id", "_own", "n", _millionths(raw, target, part, pseudo).alias("ratio"))
     # Rows that repeat add to both sums alike and leave the mean as it is.
-    met = rows.select("_id", "_own", "g.gram", "g.n").join(ratios.hint("merge"), "gram")
     sums = met.groupBy("_id", "_own").agg(
         F.sum(F.col("n") * F.col("ratio")).alias("sum"), F.sum("n").alias("n")
     )
@@ -236,7 +263,7 @@ def quality_rules(
         *[c.alias(n) for n, c in base_counts(text).items()],
         _repeat_words(words).alias("n_repeat_words"),
     )
-    scores = ngram_scores(docs, ngram_ratio(docs, trusted, id_col, text_col, buckets), id_col, text_col, buckets)
+    scores = ngram_scores(docs, trusted, id_col, text_col, buckets)
     scores = scores.withColumnsRenamed({"_id": "_id_s", "_own": "_own_s"})
     same = F.col("_id").eqNullSafe(F.col("_id_s")) & (F.col("_own") == F.col("_own_s"))
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]

@@ -94,6 +94,27 @@ def test_every_ngram_has_its_own_ratio(spark):
     assert sorted(r["ratio"] for r in out) == sorted(want)
 
 
+def test_ngrams_cross_one_shuffle(spark):
+    """Counting and scoring share the rows of n-grams; repeats within and between texts count."""
+    texts = [(1, "a a a b a b"), (2, "a c c c c"), (2, "a c c c c"), (3, "b"), (4, None), (None, "c a"), (1, "b b")]
+    docs = docs_of(spark, texts)
+    out = qr.ngram_scores(docs, docs.where("doc_id = 1"))
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert len(re.findall(r"Exchange hashpartitioning\(gram", plan)) == 1
+    raw, target = Counter(), Counter()
+    for i, text in texts:
+        raw.update(grams(text, 1 << 64))
+        target.update(grams(text, 1 << 64) if i == 1 else [])
+    part = sum(target.values()) / sum(raw.values())
+    ratio = {g: math.log((target[g] / part + qr.PSEUDO) / (raw[g] + qr.PSEUDO)) for g in raw}
+    want = {(i, sum(ratio[g] for g in found) / len(found)) for i, text in texts if (found := grams(text, 1 << 64))}
+    got = [(r["_id"], r["score"]) for r in out.collect()]
+    order = lambda x: (x[0] or 0, x[1])
+    assert len(got) == len(want) == 5
+    for (i, score), (k, mean) in zip(sorted(got, key=order), sorted(want, key=order)):
+        assert i == k and score == pytest.approx(mean, abs=2e-6)
+
+
 def test_repeated_windows(spark):
     texts = ["a b c a b c", "a a a a", "a b", "", "a b c d", "x y z q x y z q x y z", "é é é\né é"]
     rows = docs_of(spark, list(enumerate(texts)))
